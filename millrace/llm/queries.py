@@ -30,6 +30,18 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
 
 
+def op5_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.rankmerge import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.linededup import deduplicated
 
@@ -37,5 +49,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op3_line_quality, op4_secret_ledger, op9_line_dedup)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.tokenfiles import read, write
+
+    return read(write(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op9_line_dedup, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
