@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ WIDTH, SIMILARITY = 5, 0.8
 M, ROWS = 128, 4
 #: Differing bits of two 128-bit sketches beyond which texts aren't compared: at similarity 0.8, 13 are expected and more than 32 have odds under 1e-6.
 MOST_BITS = 32
+#: Texts in a block of a large bucket.
+BLOCK = 256
 
 
 def weights(grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,13 +168,106 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, col in slices(batch.column(1)):
+            row, x, w = weights(windows(words(col), WIDTH))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)).take(pa.array(row)), pa.array(x.view(np.int64)), pa.array(w)], names=["uid", "x", "w"])
+
+
+def own_mass(texts: DataFrame) -> DataFrame:
+    """(uid, own): the weight of the windows that no other of these texts has."""
+    found = texts.mapInArrow(_masses, "uid long, x long, w long")
+    single = found.groupBy("x").agg(F.count("*").alias("texts"), F.max("uid").alias("uid"), F.max("w").alias("w")).filter("texts = 1")
+    return single.groupBy("uid").agg(F.sum("w").alias("own"))
+
+
+def bounded(x: str, y: str):
+    """Whether the windows that only one text has leave room for the similarity of two texts."""
+    most = F.least(F.expr(f"{x}.n - {x}.own"), F.expr(f"{y}.n - {y}.own"))
+    return most >= SIMILARITY * (F.expr(f"{x}.n + {y}.n") - most)
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as sets whose Jaccard similarity is that of the multisets: a window's k-th occurrence is an element."""
+    for batch in batches:
+        for at, col in slices(batch.column(1)):
+            row, x, w = weights(windows(words(col), WIDTH))
+            of = np.repeat(np.arange(len(row)), w)
+            with np.errstate(over="ignore"):
+                each = mix(x[of] + (np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w)).astype(U) * GOLDEN)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, w, len(col)).astype(np.int64))])
+            parts = [each[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)), pa.array(parts, pa.binary())], names=["uid", "elements"])
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the left and the right texts of a block that are in different components."""
+    sets = [np.frombuffer(x, U) for x in rows["elements"]]
+    size = np.asarray([len(x) for x in sets])
+    left, right = (np.flatnonzero(rows["side"].to_numpy() == k) for k in (0, 1))
+    both, back = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    many = np.flatnonzero(np.bincount(back, minlength=len(both)) > 1)
+    column = np.full(len(both), -1)
+    column[many] = np.arange(len(many))
+    column = column[back]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    slot = np.zeros(len(sets), np.int64)
+    slot[left], slot[right] = np.arange(len(left)), np.arange(len(right))
+    is_left = rows["side"].to_numpy() == 0
+    for a in range(0, len(many), 1 << 14):
+        own = slice(*np.searchsorted(column, [a, a + (1 << 14)]))
+        flags = [np.zeros((len(v), 1 << 14), np.float32) for v in (left, right)]
+        o, c = owner[own], column[own] - a
+        for k, on in enumerate((is_left[o], ~is_left[o])):
+            flags[k][slot[o[on]], c[on]] = 1
+        common += flags[0] @ flags[1].T
+    alike = common >= SIMILARITY * (size[left][:, None] + size[right][None, :] - common)
+    comp, uid = rows["comp"].to_numpy(), rows["uid"].to_numpy()
+    i, j = np.nonzero(alike & (comp[left][:, None] != comp[right][None, :]))
+    a, b = uid[left[i]], uid[right[j]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links (a, b) across components within the buckets of ``members`` (key, uid, comp), in blocks.
+
+    The texts outside a bucket's largest component are dealt to blocks of
+    ``BLOCK`` and meet each other and the blocks of that component; the latter
+    never meet. A task holds two blocks, and only links leave it.
+    """
+    counts = members.groupBy("key", "comp").count()
+    largest = counts.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("size"))
+    largest = largest.select("key", F.col("top.comp").alias("main"), F.expr(f"ceil(top.count / {BLOCK})").alias("n_main"), F.expr(f"ceil((size - top.count) / {BLOCK})").alias("n_rest"))
+    known = members.select("key", "uid", "comp").join(materialise(largest), "key").withColumn("in_main", F.expr("comp = main"))
+    known = known.withColumn("block", F.expr("pmod(xxhash64(uid), if(in_main, n_main, n_rest))"))
+    zero = "cast(0 as bigint)"
+    into = f"""if(in_main,
+        transform(sequence({zero}, n_rest - 1), i -> struct(i as i, block as j, true as main, 1 as side)),
+        concat(
+            transform(sequence({zero}, n_main - 1), j -> struct(block as i, j as j, true as main, 0 as side)),
+            transform(sequence(block, n_rest - 1), j -> struct(block as i, j as j, false as main, 0 as side)),
+            transform(sequence({zero}, block), i -> struct(i as i, block as j, false as main, 1 as side))))"""
+    dealt = known.select("key", "uid", "comp", F.explode(F.expr(into)).alias("to")).select("key", "uid", "comp", "to.*")
+    elements = materialise(texts.select("uid", "text").mapInArrow(_elements, "uid long, elements binary"))
+    return dealt.join(elements, "uid").groupBy("key", "i", "j", "main").applyInPandas(_block_links, "a long, b long").distinct()
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(uid, comp) of all texts in classes of several different texts; uid is the text's content address.
 
-    First each band's bucket links to one member, chosen anew in each band, as
-    a star. Then the buckets that still hold several components are joined with
-    themselves: only pairs across components whose sketches agree are made, so
-    that a group of copies costs no square of its size and no pair is lost.
+    Each band's bucket first links to one member, chosen anew in each band, as
+    a star. Of the buckets that still hold several components, only texts with
+    a candidate in another component go on, and of these only such as have
+    little weight in windows of their own: the rest of a text bounds its
+    similarity. Their buckets link to the member with the least weight of its
+    own, the likely source of the others. Then buckets that still hold several
+    components are compared in full, under the same bounds: large ones in
+    blocks, small ones by a join with themselves. No pair is lost, and no rows
+    are made for the pairs of a large bucket.
     """
     texts = docs.select(text_key().alias("uid"), "text").filter("uid is not null")
     sketches = materialise(texts.mapInArrow(_sketches, "uid long, n long, s1 long, s2 long, bands array<long>").dropDuplicates(["uid"]))
@@ -183,26 +279,56 @@ def links(docs: DataFrame) -> DataFrame:
     star = shared.filter("uid <> rep").select(F.least("uid", "rep").alias("a"), F.greatest("uid", "rep").alias("b")).distinct()
     sizes = sketches.drop("bands")
     star = star.join(sizes.alias("x"), F.col("a") == F.col("x.uid")).join(sizes.alias("y"), F.col("b") == F.col("y.uid"))
-    star = materialise(star.filter(alike("x", "y")).select("a", "b"))
-
+    tried = materialise(star.filter(alike("x", "y")).select("a", "b"))
     whole = texts.groupBy("uid").agg(F.first("text").alias("text"))
 
-    def of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-        return verified(pairs, materialise(whole.join(needed, "uid", "left_semi")))
+    def only(uids: DataFrame) -> DataFrame:
+        return materialise(whole.join(uids, "uid", "left_semi"))
 
-    near = materialise(of(star))
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+
+    near = materialise(verified(tried, only(ends(tried))))
     labels = components(near)
-    members = shared.filter("size > 2").join(labels, "uid", "left").select("key", "uid", F.coalesce("comp", "uid").alias("comp"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    members = materialise(members.join(mixed, "key").join(sizes, "uid"))
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """The members, with their components, of buckets that hold several."""
+        known = members.join(labels, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+        several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+        return materialise(known.join(several, "key"))
+
+    members = mixed(shared.filter("size > 2").select("key", "uid")).join(sizes, "uid")
+    x, y = members.alias("x"), members.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & alike("x", "y")
+    left = only(x.join(y, meet, "left_semi").select("uid").distinct())
+    rest = left.select("uid").join(own_mass(left), "uid", "left").join(sizes, "uid").withColumn("own", F.coalesce("own", F.lit(0)))
+    rest = materialise(rest.filter(f"n - own >= {SIMILARITY} * n"))
+    members = materialise(shared.select("key", "uid").join(rest, "uid"))
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.expr("own / n"), "uid")).alias("hub")).select("key", F.col("hub.uid").alias("hub"))
+    hubs = members.join(hubs, "key").select("uid", "hub").distinct().join(labels, "uid", "left")
+    hubs = hubs.join(labels.select(F.col("uid").alias("hub"), F.col("comp").alias("other")), "hub", "left")
+    hubs = hubs.filter("uid <> hub and not coalesce(comp, uid) <=> coalesce(other, hub)").select("uid", "hub").alias("p")
+    hubs = hubs.join(rest.alias("x"), F.col("p.uid") == F.col("x.uid")).join(rest.alias("y"), F.col("hub") == F.col("y.uid"))
+    hubs = hubs.filter(alike("x", "y") & bounded("x", "y")).select(F.least("p.uid", "hub").alias("a"), F.greatest("p.uid", "hub").alias("b"))
+    hubs = materialise(hubs.distinct().join(tried, ["a", "b"], "left_anti"))
+    if hubs.limit(1).count():
+        tried = tried.union(hubs)
+        near = near.union(materialise(verified(hubs, left)))
+        labels = components(near)
+
+    members = mixed(members)
+    sized = members.groupBy("key").count().filter(f"count > {BLOCK // 4}").select("key")
+    large = materialise(members.join(sized, "key", "left_semi"))
+    if large.limit(1).count():
+        near = near.union(materialise(block_links(large, left.join(large.select("uid").distinct(), "uid", "left_semi"))))
+        labels = components(near)
+    members = mixed(members.join(sized, "key", "left_anti").drop("comp"))
     x, y = members.alias("x"), members.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & alike("x", "y"))
-    across = across.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    across = materialise(across)
-    if not across.limit(1).count():
-        return labels
-    return components(near.union(of(across)))
+    across = x.join(y, meet & (F.col("x.uid") < F.col("y.uid")) & bounded("x", "y")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+    across = materialise(across.distinct().join(tried, ["a", "b"], "left_anti"))
+    if across.limit(1).count():
+        labels = components(near.union(verified(across, left)))
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
