@@ -16,6 +16,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts")
 
 
+def op2_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licences import licences
+
+    found = licences(table(spark, sf_dir, "documents"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_paragraphs"), families.alias("families"), F.transform("found", lambda x: x["paragraph"]).alias("paragraphs"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality import quality
 
@@ -61,5 +69,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op8_bm25_leaks, op9_line_dedup, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op8_bm25_leaks, op9_line_dedup, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
