@@ -146,7 +146,7 @@ def deduplicated(docs: DataFrame, documents: int = 10, least: int = 1) -> DataFr
     counts = materialise(counts)
     arrays, shards = index(counts, counts.count())
     hits = materialise(frequent(lines, arrays, shards, documents))
-    found = docs.withColumn("text_key_", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(hits.withColumnRenamed("text_key", "text_key_"), "text_key_", "left")
+    found = docs.withColumn("text_key_", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(hits.withColumnRenamed("text_key", "text_key_").hint("merge"), "text_key_", "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.when(F.col("hs").isNull(), split).otherwise(
         F.transform(F.array("hs"), lambda hs: F.filter(split, lambda line: ~F.array_contains(hs, F.xxhash64(line_key(line))) | (F.length(line_key(line)) < least)))[0]
