@@ -50,6 +50,12 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op7_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.pages import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.decontaminate import leaks
 
@@ -69,5 +75,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op8_bm25_leaks, op9_line_dedup, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op7_page_texts, op8_bm25_leaks, op9_line_dedup, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
