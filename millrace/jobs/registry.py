@@ -1,15 +1,14 @@
-"""The registered queries over the given tables, with their SQL equivalents."""
+"""The register of queries over the given tables, with their SQL equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "word_counts"
+FLAGSHIP = "corrective_answers"
 
 
 def register(sql: str | None = None):
@@ -26,9 +25,3 @@ def register(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@register("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) AS BIGINT) AS n_words FROM documents")
-def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"))
