@@ -21,18 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a thousand rows at a time, so that a batch of long ones fits beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Lineage ends there, any executor can read it again after a loss, and the
     planner knows its size, so that it broadcasts a side only if it is small.
     """
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -27,8 +27,8 @@ WIDTH, SIMILARITY = 5, 0.8
 M, ROWS = 128, 4
 #: Differing bits of two 128-bit sketches beyond which texts aren't compared: at similarity 0.8, 13 are expected and more than 32 have odds under 1e-6.
 MOST_BITS = 32
-#: Texts in a block of a large bucket.
-BLOCK = 256
+#: Texts in a block of a large bucket; columns of a block's matrix, and bytes of text, that are in memory at a time.
+BLOCK, COLUMNS, SLICE = 256, 1 << 12, 1 << 18
 
 
 def weights(grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)[1]
         batch = batch.take(pa.array(np.sort(seen)))
-        for at, col in slices(batch.column(1)):
+        for at, col in slices(batch.column(1), SLICE):
             grid = windows(words(col), WIDTH)
             sig = bag_min_hash(*weights(grid), len(col))
             keep = np.flatnonzero(grid.n_words)
@@ -130,7 +130,7 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, col in slices(batch.column(2)):
+        for at, col in slices(batch.column(2), SLICE):
             own = batch.slice(at, len(col))
             yield own.filter(pa.array(overlap(col, own.column(3)) >= SIMILARITY)).select([0, 1])
 
@@ -170,7 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, col in slices(batch.column(1)):
+        for at, col in slices(batch.column(1), SLICE):
             row, x, w = weights(windows(words(col), WIDTH))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)).take(pa.array(row)), pa.array(x.view(np.int64)), pa.array(w)], names=["uid", "x", "w"])
 
@@ -191,7 +191,7 @@ def bounded(x: str, y: str):
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as sets whose Jaccard similarity is that of the multisets: a window's k-th occurrence is an element."""
     for batch in batches:
-        for at, col in slices(batch.column(1)):
+        for at, col in slices(batch.column(1), SLICE):
             row, x, w = weights(windows(words(col), WIDTH))
             of = np.repeat(np.arange(len(row)), w)
             with np.errstate(over="ignore"):
@@ -218,9 +218,9 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     slot = np.zeros(len(sets), np.int64)
     slot[left], slot[right] = np.arange(len(left)), np.arange(len(right))
     is_left = rows["side"].to_numpy() == 0
-    for a in range(0, len(many), 1 << 14):
-        own = slice(*np.searchsorted(column, [a, a + (1 << 14)]))
-        flags = [np.zeros((len(v), 1 << 14), np.float32) for v in (left, right)]
+    for a in range(0, len(many), COLUMNS):
+        own = slice(*np.searchsorted(column, [a, a + (COLUMNS)]))
+        flags = [np.zeros((len(v), COLUMNS), np.float32) for v in (left, right)]
         o, c = owner[own], column[own] - a
         for k, on in enumerate((is_left[o], ~is_left[o])):
             flags[k][slot[o[on]], c[on]] = 1
