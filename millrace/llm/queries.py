@@ -76,4 +76,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op7_page_texts, op8_bm25_leaks, op9_line_dedup, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": f"""
+WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+  keyed AS (SELECT doc_id, k, line, translate(trim(line, ' ' || {_SPACE}), '{_UPPER}', '{_UPPER.lower()}') AS key FROM line),
+  frequent AS (SELECT key AS hit FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(hit) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (hit IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent ON key = hit GROUP BY doc_id""",
+    "op3_line_quality": f"""
+WITH doc AS (SELECT doc_id, source, coalesce(text, '') AS x, list_filter(string_split(translate(coalesce(text, ''), {_SPACE}, '     '), ' '), lambda w: w <> '') AS w FROM documents),
+  line AS (SELECT doc_id, source, x, unnest(string_split(x, chr(10))) AS line FROM doc),
+  worded AS (SELECT doc_id, source, x, line, trim(translate(line, {_SPACE}, '     ')) AS bare FROM line),
+  keyed AS (SELECT *, translate(lower(bare), '123456789', '000000000') AS key FROM worded WHERE bare <> ''),
+  host AS (SELECT source, count(DISTINCT x) AS of FROM doc GROUP BY source),
+  common AS (SELECT source, key, true AS hit FROM (SELECT source, key, count(DISTINCT x) AS n FROM keyed GROUP BY source, key) JOIN host USING (source) WHERE n >= 20 AND n > 0.1 * of),
+  left_ AS (SELECT doc_id, sum(len(list_filter(string_split(bare, ' '), lambda w: w <> ''))) FILTER (hit IS NULL) AS n FROM keyed LEFT JOIN common USING (source, key) GROUP BY doc_id),
+  dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM keyed GROUP BY doc_id),
+  three AS (SELECT doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM doc)),
+  twice AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, t) AS c FROM three) WHERE c > 1),
+  covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM twice) GROUP BY doc_id),
+  facts AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(x, ' ' || {_SPACE}, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(translate(x, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, CAST(coalesce(left_.n, 0) AS BIGINT) AS n_left_words
+    FROM doc d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN left_ USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_left_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left_words >= 0.2 * n_words AS kept FROM facts""",
+}
