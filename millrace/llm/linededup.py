@@ -147,10 +147,10 @@ def deduplicated(docs: DataFrame, documents: int = 10, least: int = 1, copies: b
     counts = materialise(counts)
     arrays, shards = index(counts, counts.count())
     hits = materialise(frequent(lines, arrays, shards, documents))
-    found = docs.withColumn("text_key_", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(hits.withColumnRenamed("text_key", "text_key_").hint("merge"), "text_key_", "left")
+    found = docs.withColumn("text_key_", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(hits.select(F.col("text_key").alias("text_key_"), F.col("hs").alias("hits_")).hint("merge"), "text_key_", "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.when(F.col("hs").isNull(), split).otherwise(
-        F.transform(F.array("hs"), lambda hs: F.filter(split, lambda line: ~F.array_contains(hs, F.xxhash64(line_key(line))) | (F.length(line_key(line)) < least)))[0]
+    kept = F.when(F.col("hits_").isNull(), split).otherwise(
+        F.transform(F.array("hits_"), lambda hs: F.filter(split, lambda line: ~F.array_contains(hs, F.xxhash64(line_key(line))) | (F.length(line_key(line)) < least)))[0]
     )
     out = found.select(*docs.columns, F.size(split).cast("long").alias("n_lines"), kept.alias("kept_"))
     return out.select(*docs.columns, "n_lines", (F.col("n_lines") - F.size("kept_")).alias("n_dropped"), F.array_join("kept_", "\n").alias("clean_text"))

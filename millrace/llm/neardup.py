@@ -344,15 +344,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     replaced by them.
     """
     docs = docs.drop("class_uid", "class_id", "n_texts")
-    labels = materialise(links(docs))
-    has_word = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    keyed = docs.withColumn("class_uid", F.when(has_word, text_key()))
-    firsts = keyed.filter("class_uid is not null").groupBy(F.col("class_uid").alias("uid")).agg(F.min("doc_id").alias("least"))
+    own = docs.select("doc_id", "text")
+    labels = materialise(links(own))
+    uid = F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), text_key())
+    firsts = own.withColumn("uid", uid).filter("uid is not null").groupBy("uid").agg(F.min("doc_id").alias("least"))
     firsts = materialise(firsts.join(labels, "uid", "left").select("uid", "least", F.coalesce("comp", "uid").alias("comp")))
     several = firsts.groupBy("comp").agg(F.min("least").alias("class_id"), F.count("*").alias("n_texts"))
-    of_text = firsts.join(several, "comp").select(F.col("uid").alias("class_uid"), "comp", "class_id", "n_texts")
-    out = keyed.join(materialise(of_text), "class_uid", "left")
-    return out.select(*docs.columns, F.col("comp").alias("class_uid"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
+    of_text = materialise(firsts.join(several, "comp").select("uid", "comp", "class_id", "n_texts")).alias("c")
+    out = docs.withColumn("uid_of_class_", uid).alias("d").join(of_text, F.col("d.uid_of_class_") == F.col("c.uid"), "left")
+    return out.select(
+        *(F.col(f"d.`{c}`") for c in docs.columns),
+        F.col("c.comp").alias("class_uid"),
+        F.when(F.col("c.comp").isNull(), F.col("d.doc_id")).otherwise(F.col("c.class_id")).alias("class_id"),
+        F.coalesce("c.n_texts", F.lit(1)).alias("n_texts"),
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

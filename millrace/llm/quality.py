@@ -100,14 +100,14 @@ def quality(docs: DataFrame, share: float = SHARE, at_least: int = AT_LEAST, lef
         bind(F.col("b.common"), lambda c: F.array_join(F.filter(F.split(F.col("d.text"), "\n"), lambda line: ~has_word(line) | ~F.array_contains(c, line_key(line))), "\n"))
     )
     out = known.select(
-        *(F.col(f"d.{c}") for c in docs.columns),
-        words(text).alias("w"),
+        *(F.col(f"d.`{c}`") for c in docs.columns),
+        words(text).alias("words_"),
         F.length(F.translate(text, " " + SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         bind(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         clean.alias("clean_text"),
     )
-    out = out.select(*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "clean_text", F.size("w").cast("long").alias("n_words"), repeated_words(F.col("w")).alias("n_repeat_words"))
+    out = out.select(*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "clean_text", F.size("words_").cast("long").alias("n_words"), repeated_words(F.col("words_")).alias("n_repeat_words"))
     out = out.withColumn("n_left_words", F.when(F.col("clean_text") == F.col("text"), F.col("n_words")).otherwise(F.size(words(F.coalesce("clean_text", F.lit("")))).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     out = out.withColumn("depleted", F.col("n_left_words") < left * F.col("n_words"))

@@ -100,4 +100,5 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     made = ["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     docs = docs.drop(*made)
     entries = extended(docs, ledger).filter(F.col("rules") == RULES).drop("rules").dropDuplicates(["blob"])
-    return docs.withColumn("blob", blob()).join(entries, "blob", "left").select(*docs.columns, *made)
+    out = docs.withColumn("blob", blob()).alias("d").join(entries.alias("e"), F.col("d.blob") == F.col("e.blob"), "left")
+    return out.select(*(F.col(f"d.`{c}`") for c in docs.columns), *(F.col(f"{'d' if c == 'blob' else 'e'}.{c}") for c in made))
