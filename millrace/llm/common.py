@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(col="text"):
     """A 64-bit content address of a text; null for null."""
     return F.when(F.col(col).isNotNull(), F.xxhash64(F.col(col)))
+
+
+def tidy(run: Callable[[Iterator], Iterator], last: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` on the batches of a task, whose memory goes back to the machine at its end.
+
+    Python workers wait for more tasks beside the heap; what they keep is
+    lacking to other stages.
+    """
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if last is not None:
+                last()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return inner

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import tidy
 from millrace.llm.grid import Grid, slices, windows, words
 
 #: Retrieval takes items of this share of their own score; a hit needs these shares of all windows, and of each part's.
@@ -167,7 +168,7 @@ def _hits(shared):
                     ids = [(doc[r].as_py(), shared.value.item_ids[i], *rest) for r, i, *rest in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*ids, strict=True), kinds, strict=True)], names=names)
 
-    return run
+    return tidy(run)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, most_items: int = MOST_ITEMS) -> DataFrame:
@@ -194,7 +195,7 @@ def _clean(shared, at_text: int):
                 keep = np.asarray([k not in held for k in range(len(texts))], bool)
                 yield batch.slice(at, len(texts)).filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, most_items: int = MOST_ITEMS) -> DataFrame:

@@ -59,6 +59,10 @@ class Encoder:
         self.space = self.bytes[32]
         self.known = Known(self.piece, most)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known.before = {}
+
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 

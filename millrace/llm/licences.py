@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import tidy
 from millrace.llm.grid import GOLDEN, Grid, U, slices, windows, words
 
 # Usual statements of licence families, in plain words.
@@ -159,7 +160,7 @@ def _scan(shared):
                 kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("match", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(out, kind)], names=["doc_id", "found"])
 
-    return run
+    return tidy(run)
 
 
 def licences(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, text_key
+from millrace.llm.common import materialise, text_key, tidy
 from millrace.llm.grid import GOLDEN, Grid, U, mix, slices, windows, words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -139,7 +139,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts reach the similarity."""
     sides = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
     sides = sides.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
-    return sides.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
+    return sides.select("a", "b", "ta", "tb").mapInArrow(tidy(_verified), "a long, b long")
 
 
 def alike(x: str, y: str):
@@ -177,7 +177,7 @@ def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def own_mass(texts: DataFrame) -> DataFrame:
     """(uid, own): the weight of the windows that no other of these texts has."""
-    found = texts.mapInArrow(_masses, "uid long, x long, w long")
+    found = texts.mapInArrow(tidy(_masses), "uid long, x long, w long")
     single = found.groupBy("x").agg(F.count("*").alias("texts"), F.max("uid").alias("uid"), F.max("w").alias("w")).filter("texts = 1")
     return single.groupBy("uid").agg(F.sum("w").alias("own"))
 
@@ -252,7 +252,7 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
             transform(sequence(block, n_rest - 1), j -> struct(block as i, j as j, false as main, 0 as side)),
             transform(sequence({zero}, block), i -> struct(i as i, block as j, false as main, 1 as side))))"""
     dealt = known.select("key", "uid", "comp", F.explode(F.expr(into)).alias("to")).select("key", "uid", "comp", "to.*")
-    elements = materialise(texts.select("uid", "text").mapInArrow(_elements, "uid long, elements binary"))
+    elements = materialise(texts.select("uid", "text").mapInArrow(tidy(_elements), "uid long, elements binary"))
     return dealt.join(elements, "uid").groupBy("key", "i", "j", "main").applyInPandas(_block_links, "a long, b long").distinct()
 
 
@@ -270,7 +270,7 @@ def links(docs: DataFrame) -> DataFrame:
     are made for the pairs of a large bucket.
     """
     texts = docs.select(text_key().alias("uid"), "text").filter("uid is not null")
-    sketches = materialise(texts.mapInArrow(_sketches, "uid long, n long, s1 long, s2 long, bands array<long>").dropDuplicates(["uid"]))
+    sketches = materialise(texts.mapInArrow(tidy(_sketches), "uid long, n long, s1 long, s2 long, bands array<long>").dropDuplicates(["uid"]))
     keys = sketches.select("uid", F.explode("bands").alias("key"))
     turned = F.expr("uid ^ xxhash64(key)")
     buckets = keys.groupBy("key").agg(F.min(turned).alias("least"), F.count("*").alias("size")).filter("size > 1")

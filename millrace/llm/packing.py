@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, tidy
 from millrace.llm.encoding import encoder, vocabulary
 from millrace.llm.grid import slices
 
@@ -67,7 +67,7 @@ def _pieces(path: str, capacity: int, classes: int):
                     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank")
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(columns))
 
-    return run
+    return tidy(run, lambda: encoder(path).forget())
 
 
 def _tail(capacity: int):

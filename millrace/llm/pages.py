@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import tidy
 from millrace.llm.grid import slices
 
 # Fixed values of HTML: elements that begin a block, that have no end tag, whose content is no text, and that an equal start tag ends.
@@ -356,4 +357,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
     empty page and for one without main text. Repeated rows stay; other columns
     are not read.
     """
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")

@@ -12,6 +12,7 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
+from millrace.llm.common import tidy
 from millrace.llm.encoding import SPACE, vocabulary
 from millrace.llm.grid import slices
 
@@ -47,6 +48,9 @@ class Merger:
         self.library = None
         self.path = path
 
+    def forget(self) -> None:
+        self.known = {}
+
     def tokens(self, words: list[bytes]) -> np.ndarray:
         """How many symbols each word ends up with.
 
@@ -136,13 +140,13 @@ def merger(path: str) -> Merger:
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(1), 1 << 22):
+            for at, texts in slices(batch.column(1), 1 << 21):
                 rows = [x or "" for x in texts.to_pylist()]
                 tokens = np.asarray(merger(path).count(rows), np.int64)
                 size = pa.compute.binary_length(texts).fill_null(0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), size, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return run
+    return tidy(run, lambda: merger(path).forget())
 
 
 def token_counts(docs: DataFrame, vocab: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, tidy
 
 RULES = "2"
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge")
@@ -85,7 +85,7 @@ def extended(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     else:
         unseen = texts
     unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-    fresh = materialise(unseen.mapInArrow(_scan, LEDGER))
+    fresh = materialise(unseen.mapInArrow(tidy(_scan), LEDGER))
     return fresh if ledger is None else ledger.select(*(f.name for f in StructType.fromDDL(LEDGER))).union(fresh)
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, shared_dir
+from millrace.llm.common import materialise, shared_dir, tidy
 from millrace.llm.encoding import encoder, vocabulary
 from millrace.llm.grid import slices
 
@@ -80,7 +80,7 @@ def _write(path: str, folder: str, group_ids: int):
                 schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("least", pa.int64()), ("most", pa.int64())]),
             )
 
-    return run
+    return tidy(run, lambda: encoder(path).forget())
 
 
 def write(docs: DataFrame, folder: str | None = None, vocab: str = "byte_bpe_50k.json", group_ids: int = GROUP_IDS) -> DataFrame:
@@ -123,4 +123,4 @@ def read(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")).alias("before"))
     spread = materialise(files).repartition("file")
-    return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
