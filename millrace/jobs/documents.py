@@ -9,6 +9,7 @@ from millrace.functions import text as T
 from millrace.jobs.registry import register, table
 from millrace.operators import checks, chunks, sections
 from millrace.sources.records import manifest
+from millrace.sources.site import site_texts
 
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 
@@ -200,3 +201,14 @@ def corpus_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, found = _as_chunks(spark, sf_dir)
     base = found.withColumn("chunk_id", F.concat(F.lit("baseline_"), F.col("chunk_id")))
     return checks.corpus_checks(found, base)
+
+
+@register(
+    r"""SELECT page_id, sha256(string_agg(trim(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), chr(10) || chr(10) ORDER BY k)) AS text_sha256, count(*) AS n_lines FROM (
+    SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS k FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>(?:<b>)?([^<]+)', 1) AS x FROM pages)) GROUP BY page_id"""
+)
+def minutes_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as minutes, with their articles as content blocks."""
+    as_minutes = F.replace(F.replace("html", F.lit("<article>"), F.lit('<main><div class="page-content">')), F.lit("</article>"), F.lit("</div></main>"))
+    found = site_texts(table(spark, sf_dir, "pages").select("page_id", as_minutes.alias("html"), F.lit("MPC_minutes").alias("document_type")))
+    return found.select("page_id", F.sha2("text", 256).alias("text_sha256"), F.size(F.split("text", "\n\n")).cast("long").alias("n_lines"))
