@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.jobs.ask import ask
 from millrace.jobs.registry import register, table
 from millrace.operators import corrective as C
 
@@ -98,3 +99,16 @@ def item_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rarest.join(found, "term").join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", F.col("item")))
     hits = pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"), "first_doc")
+
+
+@register(
+    f"""{BASE}, v AS (SELECT item_id AS question_id, CASE WHEN item_id % 9 = 0 THEN '' ELSE trim(text) END AS question FROM benchmark),
+    qq AS (SELECT question_id, {TERMS.format('question')} AS t, '' AS want FROM v WHERE question <> ''), {_hits('h', 'qq', 5)},
+    f AS (SELECT question_id, max(CASE WHEN rank = 1 THEN text END) AS top FROM h JOIN d USING (chunk_id) GROUP BY question_id),
+    a AS (SELECT question_id, question, CASE WHEN top IS NULL THEN 'No relevant documents found.' ELSE split_part(top, chr(10), 1) END AS answer FROM v LEFT JOIN f USING (question_id))
+    SELECT question_id, CASE WHEN question <> '' THEN substring(answer, 1, 200) END AS answer_preview, CASE WHEN question <> '' THEN false END AS is_abstain, CASE WHEN question = '' THEN 'blank' END AS error FROM a"""
+)
+def question_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to the items, some of which were left blank."""
+    asked = questions(spark, sf_dir).withColumn("question", F.when(F.col("question_id") % 9 == 0, "  ").otherwise(F.col("question")))
+    return ask(asked, library(spark, sf_dir), "baseline").select("question_id", "answer_preview", "is_abstain", "error")

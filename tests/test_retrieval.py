@@ -103,3 +103,20 @@ def test_stream(spark):
         source = spark.readStream.schema("doc_id long, text string").parquet(f"{root}/in")
         chunk_stream(source, f"{root}/out", f"{root}/state").awaitTermination()
     assert [r.text for r in latest(spark.read.parquet(f"{root}/out")).collect()] == ["new text here"]
+
+
+def test_ask(spark):
+    import pytest
+
+    from millrace.jobs.ask import ask, observed, run_facts, subset
+
+    questions = asked(spark, "bank held rates five", " ", "x" * 2001)
+    got, seen = observed(ask(questions, library(spark)), "answers")
+    rows = {r.question_id: r for r in got.collect()}
+    assert rows["q0"].answer and not rows["q0"].is_abstain and (rows["q1"].error, rows["q2"].error) == ("blank", "too long") and rows["q1"].answer is None
+    assert seen.get == {"rows": 3, "errors": 2}
+    assert [r.question_id for r in subset(questions, ["q1"]).collect()] == ["q1"] and subset(questions, first=2).count() == 2
+    with pytest.raises(ValueError, match="q9"):
+        subset(questions, ["q9"])
+    one, other = (run_facts(spark, q, {"judge": "lexical"}).first() for q in (questions, questions.filter("question_id <> 'q1'")))
+    assert (one.n_queries, other.n_queries, one.judge) == (3, 2, "lexical") and one.test_set_hash != other.test_set_hash
