@@ -19,6 +19,8 @@ from millrace.functions.text import ABSTAIN, NOTHING_FOUND, clean, words
 
 # Chunks that are retrieved and kept, and how often a step is repeated.
 BASELINE_K, CORRECTIVE_K, RERANK_N = 5, 10, 5
+#: Questions whose terms go to all tasks; those of more meet the chunks' terms by a shuffle.
+MOST_BROADCAST = 2_000
 FILTERS = ["document_type", "date", "section_category", "speaker"]
 RESULT = ["question_id", "question", "answer", "pipeline", "chunks_retrieved", "chunks_used", "rewrites", "failures", "is_grounded", "filters", "trace", "pre_rerank_ids", "post_rerank_ids"]
 
@@ -56,16 +58,18 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int, filters: list[str] | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int, filters: list[str] | None = None, posted: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_id, text, score, rank): the k chunks with the most question terms, ties by chunk_id.
 
     Questions and chunks meet on terms, with counts added up before ranking;
     only the k best of a question fetch their texts. Filters with a value must
-    equal the chunk's.
+    equal the chunk's. ``posted`` takes the chunks' postings where they are kept.
     """
     asked = questions.select("question_id", F.explode(terms(F.coalesce("rewritten", "question"))).alias("term"))
+    if questions.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        asked = F.broadcast(asked)
     sizes = questions.select("question_id", F.size(terms(F.coalesce("rewritten", "question"))).alias("n_terms"))
-    hits = asked.join(postings(chunks), "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("hits"))
+    hits = asked.join(postings(chunks) if posted is None else posted, "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("hits"))
     if filters:
         allowed = chunks.select("chunk_id", *[F.col(c).alias(f"c_{c}") for c in filters])
         wanted = questions.select("question_id", *[clean(F.col(c)).alias(f"q_{c}") for c in filters])
@@ -126,9 +130,10 @@ def corrective(questions: DataFrame, chunks: DataFrame, models: Models | None =
     outside = analysed.filter(F.col("out_of_corpus").eqNullSafe(True))
     inside = analysed.filter(~F.col("out_of_corpus").eqNullSafe(True))
     used = [c for c in FILTERS if c in chunks.columns]
+    posted = keep(postings(chunks))
 
     def graded(who: DataFrame, filters: list[str]) -> tuple[DataFrame, DataFrame]:
-        found = keep(retrieve(who, chunks, CORRECTIVE_K, filters))
+        found = keep(retrieve(who, chunks, CORRECTIVE_K, filters, posted))
         counts = found.groupBy("question_id").agg(F.count("*").alias("chunks_retrieved"))
         judged = found.join(who.select("question_id", "question", "rewritten"), "question_id").filter(models.relevant(F.col("question"), F.col("text")))
         return keep(judged), counts
