@@ -13,6 +13,7 @@ latest component are never generated.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -263,11 +264,10 @@ def links(docs: DataFrame) -> DataFrame:
     a star. Of the buckets that still hold several components, only texts with
     a candidate in another component go on, and of these only such as have
     little weight in windows of their own: the rest of a text bounds its
-    similarity. Their buckets link to the member with the least weight of its
-    own, the likely source of the others. Then buckets that still hold several
-    components are compared in full, under the same bounds: large ones in
-    blocks, small ones by a join with themselves. No pair is lost, and no rows
-    are made for the pairs of a large bucket.
+    similarity. What is left of the buckets is compared in full across
+    components, under the same bounds: large ones in blocks, small ones by a
+    join with themselves. No pair is lost, and no rows are made for the pairs
+    of a large bucket.
     """
     texts = docs.select(text_key().alias("uid"), "text").filter("uid is not null")
     sketches = materialise(texts.mapInArrow(tidy(_sketches), "uid long, n long, s1 long, s2 long, bands array<long>").dropDuplicates(["uid"]))
@@ -304,31 +304,19 @@ def links(docs: DataFrame) -> DataFrame:
     rest = left.select("uid").join(own_mass(left), "uid", "left").join(sizes, "uid").withColumn("own", F.coalesce("own", F.lit(0)))
     rest = materialise(rest.filter(f"n - own >= {SIMILARITY} * n"))
     members = materialise(shared.select("key", "uid").join(rest, "uid"))
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.expr("own / n"), "uid")).alias("hub")).select("key", F.col("hub.uid").alias("hub"))
-    hubs = members.join(hubs, "key").select("uid", "hub").distinct().join(labels, "uid", "left")
-    hubs = hubs.join(labels.select(F.col("uid").alias("hub"), F.col("comp").alias("other")), "hub", "left")
-    hubs = hubs.filter("uid <> hub and not coalesce(comp, uid) <=> coalesce(other, hub)").select("uid", "hub").alias("p")
-    hubs = hubs.join(rest.alias("x"), F.col("p.uid") == F.col("x.uid")).join(rest.alias("y"), F.col("hub") == F.col("y.uid"))
-    hubs = hubs.filter(alike("x", "y") & bounded("x", "y")).select(F.least("p.uid", "hub").alias("a"), F.greatest("p.uid", "hub").alias("b"))
-    hubs = materialise(hubs.distinct().join(tried, ["a", "b"], "left_anti"))
-    if hubs.limit(1).count():
-        tried = tried.union(hubs)
-        near = near.union(materialise(verified(hubs, left)))
-        labels = components(near)
-
     members = mixed(members)
     sized = members.groupBy("key").count().filter(f"count > {BLOCK // 4}").select("key")
     large = materialise(members.join(sized, "key", "left_semi"))
-    if large.limit(1).count():
-        near = near.union(materialise(block_links(large, left.join(large.select("uid").distinct(), "uid", "left_semi"))))
-        labels = components(near)
-    members = mixed(members.join(sized, "key", "left_anti").drop("comp"))
-    x, y = members.alias("x"), members.alias("y")
+    more = [block_links(large, left.join(large.select("uid").distinct(), "uid", "left_semi"))] if large.limit(1).count() else []
+    small = members.join(sized, "key", "left_anti")
+    x, y = small.alias("x"), small.alias("y")
     across = x.join(y, meet & (F.col("x.uid") < F.col("y.uid")) & bounded("x", "y")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
     across = materialise(across.distinct().join(tried, ["a", "b"], "left_anti"))
-    if across.limit(1).count():
-        labels = components(near.union(verified(across, left)))
-    return labels
+    more += [verified(across, left)] if across.limit(1).count() else []
+    found = materialise(reduce(DataFrame.union, more)) if more else None
+    if found is None or not found.limit(1).count():
+        return labels
+    return components(near.union(found))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -345,12 +333,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("class_uid", "class_id", "n_texts")
     own = docs.select("doc_id", "text")
-    labels = materialise(links(own))
+    labels = links(own)
     uid = F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), text_key())
     firsts = own.withColumn("uid", uid).filter("uid is not null").groupBy("uid").agg(F.min("doc_id").alias("least"))
     firsts = materialise(firsts.join(labels, "uid", "left").select("uid", "least", F.coalesce("comp", "uid").alias("comp")))
     several = firsts.groupBy("comp").agg(F.min("least").alias("class_id"), F.count("*").alias("n_texts"))
-    of_text = materialise(firsts.join(several, "comp").select("uid", "comp", "class_id", "n_texts")).alias("c")
+    of_text = firsts.join(several, "comp").select("uid", "comp", "class_id", "n_texts").alias("c")
     out = docs.withColumn("uid_of_class_", uid).alias("d").join(of_text, F.col("d.uid_of_class_") == F.col("c.uid"), "left")
     return out.select(
         *(F.col(f"d.`{c}`") for c in docs.columns),
