@@ -283,7 +283,7 @@ def links(docs: DataFrame) -> DataFrame:
     whole = texts.groupBy("uid").agg(F.first("text").alias("text"))
 
     def only(uids: DataFrame) -> DataFrame:
-        return materialise(whole.join(uids, "uid", "left_semi"))
+        return materialise(whole.join(uids.hint("merge"), "uid", "left_semi"))  # at any size alike
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
@@ -316,7 +316,20 @@ def links(docs: DataFrame) -> DataFrame:
     found = materialise(reduce(DataFrame.union, more)) if more else None
     if found is None or not found.limit(1).count():
         return labels
-    return components(near.union(found))
+    return joined(labels, found)
+
+
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The components of ``labels`` after more links (a, b), which now join components only."""
+    ends = found
+    for c in ("a", "b"):
+        own = labels.select(F.col("uid").alias(c), F.col("comp").alias(f"{c}_comp"))
+        ends = ends.join(own, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+    ends = materialise(ends)
+    over = components(ends.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
+    every = labels.union(ends.select("a", "a_comp")).union(ends.select("b", "b_comp")).distinct()
+    over = over.select(F.col("uid").alias("comp"), F.col("comp").alias("top"))
+    return materialise(every.join(over, "comp", "left").select("uid", F.coalesce("top", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
