@@ -69,8 +69,8 @@ def nearest_batch(collection: DataFrame, queries: DataFrame, k: int, columns: li
     """(query_id, vec_id, rank, score): the k nearest rows of each of ``queries`` (query_id, query_vector, filters).
 
     Queries are a stated set, taken in blocks of ``QUERY_BLOCK`` that go to all
-    tasks. Each task keeps the best k of its own rows for a query before any
-    are moved.
+    tasks. The limit on the rank is applied in each task before any rows are
+    moved.
     """
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     numbered = queries.withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
@@ -79,8 +79,6 @@ def nearest_batch(collection: DataFrame, queries: DataFrame, k: int, columns: li
         own = F.broadcast(numbered.filter(F.col("block_") == block))
         pairs = collection.alias("c").join(own.alias("q"), filter_or_null("q", "c", columns or []) & F.col("c.vec_id").isNotNull(), "inner")
         scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("raw"))
-        best = scored.groupBy("query_id", F.spark_partition_id().alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("raw")).alias("d"), "vec_id"))), 1, k).alias("top"))
-        rows = best.select("query_id", F.explode("top").alias("x"))
-        out = rows if out is None else out.unionByName(rows)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("x.d", "x.vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("x.vec_id").alias("vec_id"), "rank", F.round(-F.col("x.d"), 4).alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "vec_id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("raw", 4).alias("score"))
