@@ -4,12 +4,15 @@ A multinomial logistic regression over words, word pairs and word triples is
 fitted to statements made from the templates below and to other prose; its
 probabilities are calibrated by a temperature on held-out statements, and the
 class ``unknown`` takes what is no licence. A predicted family counts only if a
-template of that family is found in the paragraph to a large part.
+template of that family is found in the paragraph to a large part. Beside the
+lines, every stretch of words that holds a large part of a template is
+classified, across line breaks and inside long lines.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +40,7 @@ TEMPLATES = {
     "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "public-domain": ["This is free and unencumbered software released into the public domain", "To the extent possible under law, the author has waived all copyright and related rights to this work", "Released under CC0 1.0 Universal"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited"],
+    "proprietary": ["All rights reserved", "All rights reserved. No part of this publication may be reproduced", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited"],
 }
 # Prose that has licence words without being a licence.
 OTHER = [
@@ -137,10 +140,109 @@ def _pairs(grid: Grid) -> Grid:
     return windows(grid, 2)
 
 
+def _template_pairs() -> dict[str, list[np.ndarray]]:
+    return {f: [np.unique(_pairs(words(pa.array([re.sub(r"[0-9.]+", " ", x)]), punctuation=True, fold=True)).hashes) for x in v] for f, v in TEMPLATES.items()}
+
+
+#: A word as in the pairs, which have no digits; a stretch of them has at most so many words for each of its template.
+_WORD = re.compile(rb"[^\x09-\x0d\x20-\x40\x5b-\x60\x7b-\x7e]+")
+SPREAD = 2
+
+
+def _take(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Adds a to b to the ordered stretches unless it lies on one of them."""
+    k = bisect(taken, (a, b))
+    if (k and taken[k - 1][1] >= a) or (k < len(taken) and taken[k][0] <= b):
+        return False
+    taken.insert(k, (a, b))
+    return True
+
+
+def _best_stretches(place: np.ndarray, pair: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
+    """First and last pair of the stretches of up to ``most`` pairs with ``least`` different ones, the fullest first, none on another."""
+    found, j = [], 0
+    for i in range(len(place)):
+        j = max(j, i)
+        while j < len(place) and place[j] - place[i] < most:
+            j += 1
+        own = pair[i:j]
+        first = np.unique(own, return_index=True)[1]
+        if len(first) >= least:
+            last = i + int(first.max())
+            found.append((-len(first), int(place[last] - place[i]), int(place[i]), int(place[last])))
+    out: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(found):
+        _take(out, a, b)
+    return out
+
+
+class Stretches:
+    """Finds the stretches of words that hold a large part of a template, wherever lines break."""
+
+    def __init__(self, templates: dict[str, list[np.ndarray]]):
+        flat = [x for v in templates.values() for x in v]
+        self.known = np.unique(np.concatenate(flat))
+        self.holds = np.stack([np.isin(self.known, x) for x in flat], 1)
+        self.sizes = self.holds.sum(0)
+
+    def of(self, texts: pa.Array) -> Iterator[tuple[int, bytes, int, int]]:
+        """(row, text, start, end): each stretch in bytes of its text, to the white space around it."""
+        pairs = _pairs(words(pc.replace_substring_regex(texts, "[0-9]", " "), punctuation=True, fold=True))
+        at = np.minimum(np.searchsorted(self.known, pairs.hashes), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == pairs.hashes)
+        row = np.searchsorted(pairs.first, hit, side="right") - 1
+        different = np.unique(row * np.int64(len(self.known)) + at[hit])
+        of, pair = different // len(self.known), different % len(self.known)
+        for r in np.unique(of).tolist():
+            whole = self.holds[pair[of == r]].sum(0)
+            enough = np.flatnonzero(whole >= LEAST_MATCH * self.sizes)
+            if not len(enough):
+                continue
+            own = hit[row == r]
+            text = texts[r].as_py().encode()
+            spans = [m.span() for m in _WORD.finditer(text)]
+            for t in enough.tolist():
+                mine = own[self.holds[at[own], t]]
+                for a, b in _best_stretches(mine - pairs.first[r], at[mine], LEAST_MATCH * self.sizes[t], SPREAD * (int(self.sizes[t]) + 1)):
+                    start, end = spans[a][0], spans[min(b + 1, len(spans) - 1)][1]
+                    while start > 0 and text[start - 1 : start] not in b" \t\n\x0b\x0c\r":
+                        start -= 1
+                    while end < len(text) and text[end : end + 1] not in b" \t\n\x0b\x0c\r":
+                        end += 1
+                    yield r, text, start, end
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias, temperature = shared.value
-        templates = {f: [np.unique(_pairs(words(pa.array([re.sub(r"[0-9.]+", " ", x)]), punctuation=True, fold=True)).hashes) for x in v] for f, v in TEMPLATES.items()}
+        templates = _template_pairs()
+        stretches = Stretches(templates)
+
+        def match(family: str, text: str) -> tuple[float, int]:
+            own = np.unique(_pairs(words(pa.array([re.sub(r"[0-9.]+", " ", text)]), punctuation=True, fold=True)).hashes)
+            return max((float(h.mean()), int(h.sum())) for h in (np.isin(x, own) for x in templates[family]))
+
+        def merge(out: list[list[dict]], found: list, said: list[str], p: np.ndarray) -> None:
+            """Adds the confirmed stretches whose family no line or fuller stretch at their place has."""
+            held = []
+            for (r, text, a, b), x, own in zip(found, said, p, strict=True):
+                family, probability = FAMILIES[own.argmax()], float(own.max())
+                if family == "unknown" or probability < LEAST_PROBABILITY:
+                    continue
+                share, n = match(family, x)
+                if share >= LEAST_MATCH:
+                    held.append((r, -n, -probability, a, b, family, share, text))
+            taken: dict[int, list[tuple[int, int]]] = {}
+            lines = [{(x["paragraph"], x["family"]) for x in own} for own in out]
+            for r, _, probability, a, b, family, share, text in sorted(held, key=lambda x: x[:5]):
+                if not _take(taken.setdefault(r, []), a, b - 1):
+                    continue
+                line = text.count(b"\n", 0, a)
+                if not any((k, family) in lines[r] for k in range(line, line + text.count(b"\n", a, b) + 1)):
+                    out[r].append({"paragraph": line, "family": family, "probability": -probability, "match": share})
+            for r in taken:
+                out[r].sort(key=lambda x: x["paragraph"])
+
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 lines = pc.split_pattern(texts.fill_null(""), "\n")
@@ -152,11 +254,15 @@ def _scan(shared):
                 out: list[list[dict]] = [[] for _ in range(len(texts))]
                 first = lines.offsets.to_numpy()
                 for k in np.flatnonzero((best > 0) & (p.max(1) >= LEAST_PROBABILITY)).tolist():
-                    family, line = FAMILIES[best[k]], flat[k].as_py()
-                    own = np.unique(_pairs(words(pa.array([re.sub(r"[0-9.]+", " ", line)]), punctuation=True, fold=True)).hashes)
-                    match = max(float(np.isin(x, own).mean()) for x in templates[family])
-                    if match >= LEAST_MATCH:
-                        out[doc[k]].append({"paragraph": int(k - first[doc[k]]), "family": family, "probability": float(p[k].max()), "match": match})
+                    family = FAMILIES[best[k]]
+                    share, _ = match(family, flat[k].as_py())
+                    if share >= LEAST_MATCH:
+                        out[doc[k]].append({"paragraph": int(k - first[doc[k]]), "family": family, "probability": float(p[k].max()), "match": share})
+                found = list(stretches.of(texts.fill_null("")))
+                if found:
+                    said = [text[a:b].decode(errors="replace") for _, text, a, b in found]
+                    p = probabilities(_scores(weight, bias, words(pa.array(said), punctuation=True, fold=True)) / temperature)
+                    merge(out, found, said, p)
                 kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("match", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(out, kind)], names=["doc_id", "found"])
 
@@ -166,9 +272,10 @@ def _scan(shared):
 def licences(docs: DataFrame) -> DataFrame:
     """(doc_id, found) of each row of ``docs`` (doc_id, text); found lists the licence paragraphs.
 
-    A paragraph is a line; found has its number from 0, the family, the
-    calibrated probability and the share of the best template's word pairs in
-    it. A null or empty text, like one without a confirmed family, has an empty
+    A paragraph is a line, or a stretch of words with a large part of a
+    template, which may be wrapped or lie in a long line; found has the number
+    from 0 of its first line, the family, the calibrated probability and the
+    share of the best template's word pairs in it. A null or empty text, like one without a confirmed family, has an empty
     list. Repeated rows stay; other columns of docs are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model())

@@ -155,6 +155,24 @@ def test_licences(spark):
     assert {r.doc_id: set(r.families.split(",")) - {""} for r in Q.op2_licence_paragraphs(spark, SF).collect()} == want
 
 
+def test_short_wrapped_and_long_licences(spark):
+    from millrace.llm.licences import licences
+
+    prose = "lorem ipsum dolor " * 100
+    wrapped = "Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software and\n * associated documentation files"
+    affero = "redistribute it and/or modify it\nunder the terms of the GNU Affero General Public\nLicense as published by the Free Software Foundation"
+    cases = [
+        ("x\nAll rights reserved.\ny", [(1, "proprietary")]), (wrapped, [(0, "mit")]), (f"a\n{prose}Licensed under the Apache License, Version 2.0 {prose}", [(1, "apache")]), (affero, [(1, "agpl")]),
+        ("Licensed under CC\nBY-NC 4.0", [(0, "cc-by-nc")]), ("Released under the MIT License.\nAll rights reserved.", [(0, "mit"), (1, "proprietary")]), ("7 \x01 \x7f é, all rights\nreserved", [(0, "proprietary")]),
+        ("All rights reserved. " * 3000, [(0, "proprietary")]), ("she reserved all seats\nrights and duties are equal", []),
+    ]
+    got = {r.doc_id: [(x.paragraph, x.family) for x in r.found] for r in licences(spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+    names = {"CC BY-NC": "cc-by-nc", "GNU General": "gpl", "Apache License": "apache", "MIT License": "mit", "All rights reserved": "proprietary"}
+    want = {r["doc_id"]: {f for k, f in names.items() if k in r["text"]} for r in rows_of("documents")}
+    assert {r.doc_id: set(r.families.split(",")) - {""} for r in Q.op2_licence_paragraphs(spark, SF).collect()} == want
+
+
 # --- quality
 
 
