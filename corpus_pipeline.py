@@ -31,12 +31,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that ten different texts hold; one of which nothing is left goes.
+    """Documents without lines that ten documents hold; one of which nothing is left goes.
 
-    Copies of a text count once here: the next stage keeps one of them, which
-    would otherwise have lost all its lines.
+    A line that only copies of one single text hold stays: the next stage keeps
+    one of them, which would otherwise have lost all its lines.
     """
-    return _with_text(without_lines(docs, copies=False).filter("n_dropped < n_lines"), docs.columns)
+    return _with_text(without_lines(docs, spare_single=True).filter("n_dropped < n_lines"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

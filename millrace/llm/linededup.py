@@ -97,11 +97,18 @@ def line_hashes(text: Column, least: int) -> Column:
     return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
 
 
-def line_counts(docs: DataFrame, least: int = 1, copies: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(text_key, h) of each text's lines, and (h, n) with the documents that hold each; copies count each time or once."""
+def line_counts(docs: DataFrame, least: int = 1, copies: bool = True, spare_single: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(text_key, h) of each text's lines, and (h, n) with the documents that hold each.
+
+    Copies count each time or once; with ``spare_single`` they count each time
+    but where all are of one text, which then counts once.
+    """
     lines = docs.filter("text is not null").select(F.xxhash64("text").alias("text_key"), F.explode(line_hashes(F.col("text"), least)).alias("h"))
     lines = materialise(lines.groupBy("text_key", "h").agg(F.count("*").alias("copies")))
-    return lines, lines.groupBy("h").agg((F.sum("copies") if copies else F.count("*")).alias("n"))
+    each, once = F.sum("copies"), F.count("*")
+    if spare_single:
+        each = F.when(once == 1, F.lit(1).cast("long")).otherwise(each)
+    return lines, lines.groupBy("h").agg((each if copies else once).alias("n"))
 
 
 def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -132,18 +139,19 @@ def frequent(lines: DataFrame, arrays: DataFrame, shards: int, documents: int) -
     return hits.groupBy("text_key").agg(F.collect_list("h").alias("hs"))
 
 
-def deduplicated(docs: DataFrame, documents: int = 10, least: int = 1, copies: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, documents: int = 10, least: int = 1, copies: bool = True, spare_single: bool = False) -> DataFrame:
     """``docs`` (text, any more) with n_lines, n_dropped and clean_text.
 
     Lines end at \\n only; the key of a line is the line without outer ASCII
     white space, with A to Z in lower case. Keys of ``least`` code points or
     more that ``documents`` or more rows hold lose all their lines, the others
     are joined again. A null text is one empty line: clean_text is then "".
-    Repeated rows and copies of a text count each, or once without ``copies``.
+    Repeated rows and copies of a text count each, or once without ``copies``;
+    with ``spare_single`` a key counts once if only copies of one text hold it.
     Columns of docs named like results are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped", "clean_text")
-    lines, counts = line_counts(docs, least, copies)
+    lines, counts = line_counts(docs, least, copies, spare_single)
     counts = materialise(counts)
     arrays, shards = index(counts, counts.count())
     hits = materialise(frequent(lines, arrays, shards, documents))

@@ -42,3 +42,14 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert np.isfinite(docs.count())
+
+
+def test_lines_of_copies(spark):
+    passage = "a passage that is repeated"
+    rows = [(k, f"{passage}\nown words of text {k % 2}", "en", "a", 0) for k in range(12)]
+    rows += [(20 + k, "only copies of one text\nhold these two lines", "en", "a", 0) for k in range(12)]
+    rows += [(40 + k, "Bare line" if k % 2 else "bare line", "en", "a", 0) for k in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, SF).collect()}
+    assert {d: t for d, t in got.items() if d >= 12} == {20 + k: rows[12 + k][1] for k in range(12)} and not any(d >= 40 for d in got)
+    assert {d: t for d, t in got.items() if d < 12} == {k: f"own words of text {k % 2}" for k in range(12)}
