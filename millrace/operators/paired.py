@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -11,6 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESAMPLES, SEED, CONFIDENCE = 10_000, 42, 0.95
+#: Pairs of a group that are resampled one by one; larger groups are resampled by the counts of their values.
+SMALL = 1_000
+#: Different values in a block, by expectation, and resamples that a task draws at once.
+BLOCK_VALUES, CHUNK = 4_096, 250
 
 
 def differences(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -51,15 +56,20 @@ def interval(d: np.ndarray, resamples: int = RESAMPLES, seed: int = SEED, confid
     n = len(d)
     if n < 3 or np.ptp(d) == 0:
         return None, None
-    normal, mean = NormalDist(), d.mean()
+    mean = d.mean()
     drawn = d[np.random.default_rng(seed).integers(0, n, (resamples, n))].mean(1)
-    low = ((drawn < mean).sum() + (drawn <= mean).sum()) / (2 * resamples)
+    left_out = (d.sum() - d) / (n - 1)
+    u = (n - 1) * (left_out.mean() - left_out)
+    return _ends(drawn, mean, (u**3).sum() / n**3 / (6 * ((u**2).sum() / n**2) ** 1.5), confidence)
+
+
+def _ends(drawn: np.ndarray, mean: float, skew: float, confidence: float) -> tuple[float | None, float | None]:
+    """The interval from the resamples' means and the acceleration; none if all means lie on one side."""
+    normal = NormalDist()
+    low = ((drawn < mean).sum() + (drawn <= mean).sum()) / (2 * len(drawn))
     if low in (0, 1):
         return None, None
     bias = normal.inv_cdf(low)
-    left_out = (d.sum() - d) / (n - 1)
-    u = (n - 1) * (left_out.mean() - left_out)
-    skew = (u**3).sum() / n**3 / (6 * ((u**2).sum() / n**2) ** 1.5)
     ends = []
     for q in ((1 - confidence) / 2, (1 + confidence) / 2):
         z = bias + normal.inv_cdf(q)
@@ -67,12 +77,66 @@ def interval(d: np.ndarray, resamples: int = RESAMPLES, seed: int = SEED, confid
     return ends[0], ends[1]
 
 
-def bootstrap(diffs: DataFrame, group: str) -> DataFrame:
-    """(group, n, low, high); the differences of a group are resampled in one task, as the statistic needs them all."""
+def _draw(seed: int, resamples: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                first = int(row.chunk) * CHUNK
+                n = min(CHUNK, resamples - first)
+                sizes = np.asarray([x["size"] for x in row.sizes], np.int64)
+                at = [x["block"] for x in row.sizes].index(row.block)
+                # The same for all blocks of a group, so that the blocks' shares of a resample add up to its pairs.
+                shares = np.random.default_rng([seed, int(row.chunk)]).multinomial(int(sizes.sum()), sizes / sizes.sum(), n)[:, at]
+                t = np.asarray([x["t"] for x in row.own], np.int64)
+                own = np.random.default_rng([seed, int(row.chunk), int(row.block) + 1])
+                values = np.asarray([x["d"] for x in row.own], np.float64)
+                part = [float(own.multinomial(m, t / t.sum()) @ values) for m in shares]
+                yield pd.DataFrame({"id": row.id, "resample": np.arange(first, first + n), "part": part})
+
+    return run
+
+
+def bootstrap_counted(diffs: DataFrame, group: str, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
+    """(group, n, low, high) from the counts of each group's different values.
+
+    A resample is a multinomial over blocks of values, and one over the values
+    of each block; blocks and runs of resamples go to tasks, and only a
+    group's means of resamples come together.
+    """
+    values = diffs.groupBy(group, "d").agg(F.count("*").alias("t"))
+    parts = max(1, -(-values.count() // BLOCK_VALUES))
+    values = values.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(parts)))
+    blocks = values.groupBy(group, "block").agg(F.sum("t").alias("size"), F.array_sort(F.collect_list(F.struct("d", "t"))).alias("own"))
+    facts = values.groupBy(group).agg(F.sum("t").alias("n"), (F.sum(F.col("t") * F.col("d")) / F.sum("t")).alias("mean"), F.count("*").alias("different"))
+    same = F.col(f"v.{group}").eqNullSafe(F.col(f"f.{group}"))
+    off = F.col("v.d") - F.col("f.mean")
+    power = lambda k: F.sum(F.col("v.t") * F.pow(off, k))
+    skewed = values.alias("v").join(facts.alias("f"), same).groupBy(f"f.{group}", "f.n", "f.mean", "f.different").agg(power(3).alias("u3"), power(2).alias("u2"))
+    skewed = skewed.withColumn("id", F.to_json(F.struct(group)))
+    dealt = blocks.alias("v").join(blocks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("block", "size"))).alias("sizes")).alias("f"), same)
+    dealt = dealt.select(F.to_json(F.struct(f"v.{group}")).alias("id"), "v.block", "v.own", "f.sizes", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // CHUNK) - 1))).alias("chunk"))
+    drawn = dealt.repartition("id", "block", "chunk").mapInPandas(_draw(seed, resamples), "id string, resample long, part double").groupBy("id", "resample").agg(F.sum("part").alias("total"))
+    means = drawn.groupBy("id").agg(F.collect_list("total").alias("totals"))
+
+    @F.pandas_udf("low double, high double")
+    def ends(totals: pd.Series, n: pd.Series, mean: pd.Series, different: pd.Series, u3: pd.Series, u2: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, k, m, kinds, a, b in zip(totals, n, mean, different, u3, u2, strict=True):
+            out.append((None, None) if k < 3 or kinds < 2 else _ends(np.asarray(x) / k, m, a / k**3 / (6 * (b / k**2) ** 1.5), confidence))
+        return pd.DataFrame(out, columns=["low", "high"], dtype="float64")
+
+    found = skewed.join(means, "id").select(group, "n", ends("totals", "n", "mean", "different", "u3", "u2").alias("x"))
+    return found.select(group, "n", "x.low", "x.high")
+
+
+def bootstrap(diffs: DataFrame, group: str, small: int = SMALL) -> DataFrame:
+    """(group, n, low, high); groups of up to ``small`` pairs are resampled in one task, larger ones by the counts of their values."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         low, high = interval(np.sort(rows["d"].to_numpy()) if "at" not in rows else rows.sort_values("at")["d"].to_numpy())
         return pd.DataFrame({group: [rows[group].iloc[0]], "n": [len(rows)], "low": pd.Series([low], dtype="float64"), "high": pd.Series([high], dtype="float64")})
 
     kind = diffs.schema[group].dataType.simpleString()
-    return diffs.groupBy(group).applyInPandas(run, f"{group} {kind}, n long, low double, high double")
+    sized = diffs.alias("d").join(diffs.groupBy(group).agg(F.count("*").alias("pairs_")).alias("s"), F.col(f"d.{group}").eqNullSafe(F.col(f"s.{group}"))).select("d.*", "pairs_")
+    few = sized.filter(F.col("pairs_") <= small).drop("pairs_").groupBy(group).applyInPandas(run, f"{group} {kind}, n long, low double, high double")
+    return few.unionByName(bootstrap_counted(sized.filter(F.col("pairs_") > small), group))

@@ -41,6 +41,25 @@ def test_bootstrap(spark):
     assert (r.low, r.high) == pytest.approx(paired.interval(np.sort(d))) and r.n == 30
 
 
+def test_bootstrap_of_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    d = rng.choice([-1.0, 0.0, 1.0], 1500, p=[0.2, 0.3, 0.5])
+    want = paired.interval(np.sort(d))
+    many = pairs(spark, [(0.0, float(x)) for x in d])
+    monkeypatch.setattr(paired, "interval", lambda rows: pytest.fail("a large group in one task"))
+    r = paired.bootstrap(many, "g").first()
+    assert r.n == 1500 and (r.low, r.high) == pytest.approx(want, abs=0.006)
+    monkeypatch.setattr(paired, "BLOCK_VALUES", 100)
+    fine = np.round(rng.normal(0.3, 1, 1200), 4)
+    monkeypatch.undo()
+    want = paired.interval(np.sort(fine))
+    monkeypatch.setattr(paired, "BLOCK_VALUES", 100)
+    r = paired.bootstrap_counted(pairs(spark, [(0.0, float(x)) for x in fine]), "g").first()
+    assert r.n == 1200 and (r.low, r.high) == pytest.approx(want, abs=0.01)
+    same = paired.bootstrap_counted(pairs(spark, [(0.0, 1.0)] * 20), "g").first()
+    assert (same.n, same.low, same.high) == (20, None, None)
+
+
 RESULT = "question_id string, rewrites int, failures int, is_grounded boolean, filters string, chunks_retrieved int, chunks_used int, trace array<string>, pre_rerank_ids array<string>, post_rerank_ids array<string>, answer string"
 
 
