@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clean, word_count
-from millrace.operators.chunks import pack
 
 # Records and words of an embedding batch.
 BATCH_RECORDS, BATCH_WORDS = 100, 30_000
+#: Texts in a partition, by expectation, of which only the numbers of words come together.
+RUN_ROWS = 200_000
 #: Query vectors that go to all tasks at once; more are taken in blocks of so many.
 QUERY_BLOCK = 2_000
 
@@ -40,12 +45,84 @@ def in_sync(old: DataFrame, new: DataFrame) -> bool:
     return old.count() == new.count()
 
 
-def batches(records: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """(group, batch, records, words): each group's texts in order, in batches within both limits; a larger text is alone."""
-    listed = records.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, word_count(F.col(text)).alias("w")))), lambda x: x["w"].cast("string")).alias("sizes"))
-    packed = pack(F.col("sizes"), lambda w: w.cast("long"), BATCH_WORDS, ",", BATCH_RECORDS)
-    found = listed.select(group, F.posexplode(packed).alias("batch", "b")).withColumn("w", F.split("b", ","))
-    return found.select(group, "batch", F.size("w").alias("records"), F.aggregate("w", F.lit(0).cast("long"), lambda t, x: t + x.cast("long")).alias("words"))
+def _after(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words before each place, and for a batch that begins at each text the place where it ends."""
+    total = np.concatenate([[0], np.cumsum(w)])
+    at = np.arange(len(w))
+    return total, np.maximum(at + 1, np.minimum(at + BATCH_RECORDS, np.searchsorted(total, total[:-1] + BATCH_WORDS, side="right") - 1))
+
+
+def _begins(words: int, records: int, heads: np.ndarray) -> int:
+    """The text of a run at which the open batch of so many words and records ends; the number of ``heads`` if it goes on."""
+    full = (words + np.cumsum(heads) > BATCH_WORDS) | (records + np.arange(len(heads)) >= BATCH_RECORDS)
+    return int(full.argmax()) if full.any() else len(heads)
+
+
+def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a run does for each text at which its first batch may begin: batches after it, words and records of the last."""
+    for frame in frames:
+        out = []
+        for ws in frame["ws"]:
+            w = np.asarray(ws, np.int64)
+            total, after = _after(w)
+            n = len(w)
+            starts = min(BATCH_RECORDS, n - 1) + 1
+            steps, last = [0] * n, list(range(n))
+            for k in range(n - 1, -1, -1):
+                if after[k] < n:
+                    steps[k], last[k] = 1 + steps[after[k]], last[after[k]]
+            last = np.asarray(last[:starts])
+            out.append((n, int(total[-1]), w[: BATCH_RECORDS + 1].tolist(), steps[:starts], (total[-1] - total[last]).tolist(), (n - last).tolist()))
+        yield pd.concat([frame[["id", "part"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "total", "heads", "steps", "words", "records"])], axis=1)
+
+
+def _starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """(id, part, batch, words, records): the open batch with which each run of a group begins."""
+    out, batch, words, records = [], -1, 0, BATCH_RECORDS
+    for r in rows.sort_values("part").itertuples(index=False):
+        out.append((r.id, r.part, batch, words, records))
+        k = _begins(words, records, np.asarray(r.heads, np.int64))
+        if k >= r.n:
+            words, records = words + r.total, records + r.n
+        else:
+            batch, words, records = batch + 1 + int(r.steps[k]), int(r.words[k]), int(r.records[k])
+    return pd.DataFrame(out, columns=["id", "part", "batch", "words", "records"])
+
+
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for r in frame.itertuples(index=False):
+            w = np.asarray(r.ws, np.int64)
+            total, after = _after(w)
+            k, batch, found = _begins(int(r.words), int(r.records), w[: BATCH_RECORDS + 1]), int(r.batch), []
+            if k:
+                found.append((r.id, batch, k, int(total[k])))
+            while k < len(w):
+                end, batch = int(after[k]), batch + 1
+                found.append((r.id, batch, end - k, int(total[end] - total[k])))
+                k = end
+            yield pd.DataFrame(found, columns=["id", "batch", "records", "words"])
+
+
+def batches(records: DataFrame, group: str, order: str, text: str, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(group, batch, records, words): each group's texts in order, in batches within both limits; a larger text is alone.
+
+    Texts are ranged by group and order, so that a group may lie in many
+    partitions. Each run of a group in a partition is summed up for every text
+    at which its first batch may begin; the summaries in order give the open
+    batch that each run begins with.
+    """
+    spark = records.sparkSession
+    sized = records.select(group, order, word_count(F.col(text)).cast("long").alias("w"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // run_rows))
+    ranged = sized.repartitionByRange(parts, group, order, "w").withColumn("part", F.spark_partition_id())
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "w"))), lambda x: x["w"])
+    runs = ranged.groupBy(group, "part").agg(listed.alias("ws")).withColumn("id", F.to_json(F.struct(group))).persist(StorageLevel.MEMORY_AND_DISK)
+    facts = runs.select("id", "part", "ws").mapInPandas(_summaries, "id string, part int, n long, total long, heads array<long>, steps array<long>, words array<long>, records array<long>")
+    starts = facts.groupBy("id").applyInPandas(_starts, "id string, part int, batch int, words long, records long")
+    pieces = runs.select("id", "part", "ws").join(starts, ["id", "part"]).mapInPandas(_pieces, "id string, batch int, records int, words long")
+    found = pieces.groupBy("id", "batch").agg(F.sum("records").cast("int").alias("records"), F.sum("words").alias("words"))
+    return found.join(runs.select("id", group).distinct(), "id").select(group, "batch", "records", "words")
 
 
 def matches(filters: dict[str, str | None]) -> Column:

@@ -37,6 +37,27 @@ def test_vectors(spark):
     assert not vectors.in_sync(rows, new)
 
 
+def test_batches_across_partitions(spark):
+    import random
+
+    rng = random.Random(4)
+    sizes = {k: rng.choice([0, 1, 40, 900, 900, 15_000, 40_000]) if k % 600 < 300 else rng.choice([0, 1, 2]) for k in range(1500)}
+    rows = [("hot", k, "w " * n) for k, n in sizes.items()] + [(None, 1, "a b"), (None, 2, None), ("small", 1, "w " * 40_000), ("small", 2, "")]
+    want, batch, words, records = [], -1, 0, 100
+    for n in sizes.values():
+        if words + n > 30_000 or records >= 100:
+            batch, words, records = batch + 1, 0, 0
+            want.append(None)
+        words, records = words + n, records + 1
+        want[batch] = (batch, records, words)
+    frame = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    for run_rows in (40, 333):
+        got = vectors.batches(frame, "source", "doc_id", "text", run_rows).collect()
+        assert sorted((r.batch, r.records, r.words) for r in got if r.source == "hot") == want
+        assert [(r.batch, r.records, r.words) for r in got if r.source is None] == [(0, 2, 2)]
+        assert sorted((r.batch, r.records, r.words) for r in got if r.source == "small") == [(0, 1, 40_000), (1, 1, 0)]
+
+
 def test_batches(spark):
     rows = spark.createDataFrame([("g", k, "w " * n) for k, n in enumerate([20_000, 15_000, 40_000, *[1] * 150])], "g string, k long, text string")
     assert [(r.records, r.words) for r in vectors.batches(rows, "g", "k", "text").orderBy("batch").collect()] == [(1, 20_000), (1, 15_000), (1, 40_000), (100, 100), (50, 50)]
