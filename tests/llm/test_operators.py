@@ -201,6 +201,22 @@ def test_boilerplate_goes(spark):
     assert not any(r.depleted for r in other)
 
 
+def test_quality_sql_where_lines_go(spark, tmp_path, monkeypatch):
+    from tests import test_queries
+
+    prose = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    rows = [(k, f"Menu {10 + k}\n{prose(k)}" if k < 25 else prose(k), "en", "a" if k < 60 else "b", 0) for k in range(90)]
+    rows += [(100 + k, "Menu 10\n" * 70 + "last words", "en", "a", 0) for k in range(3)] + [(200 + k, f"Copied line\n{prose(500)}", "en", "b", 0) for k in range(25)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/made")
+    (part,) = tmp_path.glob("made/*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    monkeypatch.setattr(test_queries, "SF", str(tmp_path))
+    monkeypatch.setattr(test_queries, "TABLES", ["documents"])
+    same(spark, Q.op3_line_quality, Q.ORACLE_SQL["op3_line_quality"])
+    got = {r.doc_id: r for r in Q.op3_line_quality(spark, str(tmp_path)).collect()}
+    assert got[0].n_left_words == got[0].n_words - 2 and got[100].n_left_words == 2 and got[200].n_left_words == got[200].n_words
+
+
 # --- secrets
 
 
