@@ -28,6 +28,8 @@ from millrace.llm.grid import slices
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul button".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style template noscript iframe textarea svg title object canvas".split())
+#: What may stand in a head; any other element, or text, ends one without an end tag.
+IN_HEAD = set("html head base basefont bgsound link meta title style script noscript template".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"body", "html", "head", "button", "label", "option", "select", "legend", "summary", "td", "th", "tr"}
 SCOPE = {"ul", "ol", "table", "dl", "select", "article", "section", "div", "aside", "nav", "main", "body"}
@@ -54,8 +56,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             out.append((path, joined, min(linked / len(joined), 1.0)))
         text, linked = [], 0
 
+    def leave_head() -> None:
+        nonlocal path
+        if any(x == "head" for x, _ in stack):
+            close()
+            while stack.pop()[0] != "head":
+                pass
+            path = tuple(x for _, x in stack)
+
     def say(raw: str) -> None:
         nonlocal linked
+        if raw.strip():
+            leave_head()
         plain = entities.unescape(raw) if "&" in raw else raw
         text.append(plain)
         if in_link:
@@ -79,11 +91,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                         pass
                     path = tuple(x for _, x in stack)
             continue
+        if name not in IN_HEAD:
+            leave_head()
         if name == "br":
             text.append(" ")
         elif name == "a":
             in_link = True
-        if name in RAW:
+        if name in RAW and not (name == "svg" and more.endswith("/")):
             end = re.compile(f"</{name}", re.I).search(page, at)
             at = end.start() if end else len(page)
             rest = page.find(">", at)

@@ -373,6 +373,17 @@ def test_pages(spark):
     assert main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").filter("false")).count() == 0
 
 
+def test_open_heads_and_closed_svg():
+    from millrace.llm.pages import blocks
+
+    said = lambda page: [t for _, t, _ in blocks(page)]
+    assert said("<html><head><title>no</title><meta charset=utf-8><body><article><h1>A</h1><p>one</article></body>") == ["A", "one"]
+    assert said("<head><title>no</title><style>p {}</style><p>one<p>two") == ["one", "two"] and said("<head><title>no</title>\n bare <b>text") == ["bare text"]
+    assert said("<head><meta name=a></head><body><p>one") == ["one"] and said("<head><script>x</script><a href=b>link</a>") == ["link"]
+    assert said("<body><p>one <svg class='icon'/> two<p>three") == ["one two", "three"]
+    assert said("<body><p>one <svg><text>no</text></svg> two") == ["one two"]
+
+
 def test_gradients():
     from millrace.llm.pages import Net, labelled
 
