@@ -47,6 +47,7 @@ class Index:
     rest: np.ndarray  # by block: the most that other terms add
     parts: list  # window hashes of question and answer of each item
     length: int  # words of the longest item
+    width: np.ndarray  # words of an item's windows: WIDTH, or all of a shorter item
 
 
 def build(item_ids: list, texts: list[str | None]) -> Index:
@@ -84,7 +85,7 @@ def build(item_ids: list, texts: list[str | None]) -> Index:
         own = win.hashes[win.first[k] : win.first[k + 1]]
         half = -(-len(own) // 2)
         parts.append((own[:half], own[half:]))
-    return Index(list(item_ids), vocab, first, item, share, essential, np.searchsorted(key // n_blocks, np.arange(len(vocab) + 1)), key % n_blocks, top, rest, parts, int(size.max()) if n else 0)
+    return Index(list(item_ids), vocab, first, item, share, essential, np.searchsorted(key // n_blocks, np.arange(len(vocab) + 1)), key % n_blocks, top, rest, parts, int(size.max()) if n else 0, np.minimum(size, WIDTH))
 
 
 def _spread(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +136,12 @@ def search(index: Index, col: pa.Array, score: float = SCORE) -> Iterator[tuple[
         found = np.flatnonzero((total >= score) & np.isin(np.arange(len(total)) // BLOCK, blocks))
         if not len(found):
             continue
-        seen = windows(Grid(grid.hashes[start:end], np.asarray([0, end - start])), WIDTH).hashes
+        passage, seen_by = Grid(grid.hashes[start:end], np.asarray([0, end - start])), {}
         for item in found.tolist():
+            width = int(index.width[item])
+            if width not in seen_by:
+                seen_by[width] = windows(passage, width).hashes
+            seen = seen_by[width]
             question, answer = index.parts[item]
             hit = [int(np.isin(x, seen).sum()) for x in (question, answer)]
             shares = [h / len(x) if len(x) else 1.0 for h, x in zip(hit, (question, answer), strict=True)]
@@ -175,7 +180,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_items: int = MOST_ITEMS) -
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of each row of docs and item that it holds.
 
     Words end at ASCII white space or punctuation, A to Z in any case. The
-    question is the first half of an item's windows, the answer the rest. Null
+    question is the first half of an item's windows, the answer the rest. An
+    item of fewer than five words is held where all of them follow each other. Null
     or empty texts hold nothing, null or empty items are never held; rows with
     the same or no doc_id each give their own rows. Other columns are not read.
     """

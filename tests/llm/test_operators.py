@@ -445,6 +445,17 @@ def test_leaks_in_odd_rows(spark):
     assert leaks(frame, bench.filter("false")).count() == 0 and leaks(frame.filter("false"), bench).count() == 0 and decontaminated(frame, bench.filter("false")).count() == 9
 
 
+def test_leaks_of_short_items(spark):
+    from millrace.llm.decontaminate import leaks
+
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(n))
+    items = [(1, "tiny item"), (2, "zeta"), (3, "one two three four"), (4, prose(40))]
+    docs = [(1, f"{prose(300)} Tiny item, {prose(300)}"), (2, f"tiny {prose(30)} item"), (3, f"{prose(30)} zeta"), (4, f"one two three four {prose(9)}"), (5, f"one two four three {prose(9)}"), (6, "tiny item")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaks(frame, bench).collect()) == [(1, 1), (3, 2), (4, 3), (6, 1)]
+
+
 # --- lines
 
 
