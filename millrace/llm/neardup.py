@@ -12,8 +12,8 @@ latest component are never generated.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,15 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, text_key, tidy
+from millrace.llm.common import materialise, tidy
 from millrace.llm.grid import GOLDEN, Grid, U, mix, slices, windows, words
 
 WIDTH, SIMILARITY = 5, 0.8
 M, ROWS = 128, 4
 #: Differing bits of two 128-bit sketches beyond which texts aren't compared: at similarity 0.8, 13 are expected and more than 32 have odds under 1e-6.
 MOST_BITS = 32
-#: Texts in a block of a large bucket; columns of a block's matrix, and bytes of text, that are in memory at a time.
-BLOCK, COLUMNS, SLICE = 256, 1 << 12, 1 << 18
+#: Texts and their windows in a block of a cluster; columns of a block's matrix, and bytes of text, that are in memory at a time.
+BLOCK, BLOCK_WORDS, COLUMNS, SLICE = 1024, 1 << 18, 1 << 12, 1 << 18
+
+
+def uid_of(seed: int):
+    """A 64-bit name of a text; null for null."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text", F.lit(seed))).alias("uid")
 
 
 def weights(grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,9 +96,9 @@ def bag_min_hash(row: np.ndarray, x: np.ndarray, w: np.ndarray, n_rows: int) ->
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ones = U(1) << np.arange(64, dtype=U)
     for batch in batches:
-        seen = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)[1]
-        batch = batch.take(pa.array(np.sort(seen)))
-        for at, col in slices(batch.column(1), SLICE):
+        both = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)], 1)
+        batch = batch.take(pa.array(np.sort(np.unique(both, axis=0, return_index=True)[1])))
+        for at, col in slices(batch.column(2), SLICE):
             grid = windows(words(col), WIDTH)
             sig = bag_min_hash(*weights(grid), len(col))
             keep = np.flatnonzero(grid.n_words)
@@ -106,12 +111,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = (sig >> U(17)) & U(1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(at, len(col)).take(pa.array(keep)),
+                    *(batch.column(k).slice(at, len(col)).take(pa.array(keep)) for k in (0, 1)),
                     pa.array(grid.n_words[keep]),
                     *(pa.array((bits[:, h : h + 64] * ones).sum(1, dtype=U).view(np.int64)) for h in (0, 64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, M // ROWS, dtype=np.int32)), pa.array(band.ravel().view(np.int64))),
                 ],
-                names=["uid", "n", "s1", "s2", "bands"],
+                names=["uid", "check", "n", "s1", "s2", "bands"],
             )
 
 
@@ -183,12 +188,6 @@ def own_mass(texts: DataFrame) -> DataFrame:
     return single.groupBy("uid").agg(F.sum("w").alias("own"))
 
 
-def bounded(x: str, y: str):
-    """Whether the windows that only one text has leave room for the similarity of two texts."""
-    most = F.least(F.expr(f"{x}.n - {x}.own"), F.expr(f"{y}.n - {y}.own"))
-    return most >= SIMILARITY * (F.expr(f"{x}.n + {y}.n") - most)
-
-
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as sets whose Jaccard similarity is that of the multisets: a window's k-th occurrence is an element."""
     for batch in batches:
@@ -202,8 +201,25 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)), pa.array(parts, pa.binary())], names=["uid", "elements"])
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest pairs that connect what the pairs (a, b) connect: each name with the least that it leads to."""
+    names, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = back[: len(a)], back[len(a) :]
+    least = np.arange(len(names))
+    while True:
+        now = least.copy()
+        np.minimum.at(now, x, least[y])
+        np.minimum.at(now, y, least[x])
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    moved = np.flatnonzero(least != np.arange(len(names)))
+    return names[moved], names[least[moved]]
+
+
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between the left and the right texts of a block that are in different components."""
+    """Links between the components of the left and of the right texts of a block, no more than connect them."""
     sets = [np.frombuffer(x, U) for x in rows["elements"]]
     size = np.asarray([len(x) for x in sets])
     left, right = (np.flatnonzero(rows["side"].to_numpy() == k) for k in (0, 1))
@@ -220,30 +236,32 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     slot[left], slot[right] = np.arange(len(left)), np.arange(len(right))
     is_left = rows["side"].to_numpy() == 0
     for a in range(0, len(many), COLUMNS):
-        own = slice(*np.searchsorted(column, [a, a + (COLUMNS)]))
+        own = slice(*np.searchsorted(column, [a, a + COLUMNS]))
         flags = [np.zeros((len(v), COLUMNS), np.float32) for v in (left, right)]
         o, c = owner[own], column[own] - a
         for k, on in enumerate((is_left[o], ~is_left[o])):
             flags[k][slot[o[on]], c[on]] = 1
         common += flags[0] @ flags[1].T
     alike = common >= SIMILARITY * (size[left][:, None] + size[right][None, :] - common)
-    comp, uid = rows["comp"].to_numpy(), rows["uid"].to_numpy()
+    comp = rows["comp"].to_numpy()
     i, j = np.nonzero(alike & (comp[left][:, None] != comp[right][None, :]))
-    a, b = uid[left[i]], uid[right[j]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    a, b = _spanning(comp[left[i]], comp[right[j]])
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links (a, b) across components within the buckets of ``members`` (key, uid, comp), in blocks.
+    """(a, b): links between components that hold texts of one ``cluster`` of ``members`` (cluster, uid, comp, n) which are alike.
 
-    The texts outside a bucket's largest component are dealt to blocks of
-    ``BLOCK`` and meet each other and the blocks of that component; the latter
-    never meet. A task holds two blocks, and only links leave it.
+    The texts outside a cluster's largest component are dealt to blocks of at
+    most about ``BLOCK`` texts and ``BLOCK_WORDS`` windows, and meet each other
+    and the blocks of that component; the latter never meet. A task holds two
+    blocks, and only links that connect components leave it.
     """
-    counts = members.groupBy("key", "comp").count()
-    largest = counts.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("size"))
-    largest = largest.select("key", F.col("top.comp").alias("main"), F.expr(f"ceil(top.count / {BLOCK})").alias("n_main"), F.expr(f"ceil((size - top.count) / {BLOCK})").alias("n_rest"))
-    known = members.select("key", "uid", "comp").join(materialise(largest), "key").withColumn("in_main", F.expr("comp = main"))
+    counts = members.groupBy("cluster", "comp").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct("texts", "n", "comp")).alias("top"), F.sum("texts").alias("texts"), F.sum("n").alias("n"))
+    blocks = lambda texts, n: f"greatest(1, ceil(({texts}) / {BLOCK}), ceil(({n}) / {BLOCK_WORDS}))"
+    largest = largest.select("cluster", F.col("top.comp").alias("main"), F.expr(blocks("top.texts", "top.n")).alias("n_main"), F.expr(blocks("texts - top.texts", "n - top.n")).alias("n_rest"))
+    known = members.select("cluster", "uid", "comp").join(largest, "cluster").withColumn("in_main", F.expr("comp = main"))
     known = known.withColumn("block", F.expr("pmod(xxhash64(uid), if(in_main, n_main, n_rest))"))
     zero = "cast(0 as bigint)"
     into = f"""if(in_main,
@@ -252,84 +270,96 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
             transform(sequence({zero}, n_main - 1), j -> struct(block as i, j as j, true as main, 0 as side)),
             transform(sequence(block, n_rest - 1), j -> struct(block as i, j as j, false as main, 0 as side)),
             transform(sequence({zero}, block), i -> struct(i as i, block as j, false as main, 1 as side))))"""
-    dealt = known.select("key", "uid", "comp", F.explode(F.expr(into)).alias("to")).select("key", "uid", "comp", "to.*")
-    elements = materialise(texts.select("uid", "text").mapInArrow(tidy(_elements), "uid long, elements binary"))
-    return dealt.join(elements, "uid").groupBy("key", "i", "j", "main").applyInPandas(_block_links, "a long, b long").distinct()
+    elements = texts.select("uid", "text").mapInArrow(tidy(_elements), "uid long, elements binary")
+    dealt = elements.join(known, "uid").select("cluster", "comp", "elements", F.explode(F.expr(into)).alias("to")).select("cluster", "comp", "elements", "to.*")
+    return dealt.groupBy("cluster", "i", "j", "main").applyInPandas(_block_links, "a long, b long").distinct()
+
+
+def mixed(texts: DataFrame) -> DataFrame:
+    """Those of ``texts`` (uid, comp, n, keys) that share a bucket with another component, with such buckets only.
+
+    least_n is the size of the smallest text in any of these buckets. A text
+    is one row throughout.
+    """
+    rows = texts.select("uid", "comp", "n", F.explode("keys").alias("key"))
+    several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least_n")).filter("low <> high")
+    kept = rows.join(several.select("key", "least_n"), "key").groupBy("uid", "comp", "n")
+    return materialise(kept.agg(F.collect_list("key").alias("keys"), F.min("least_n").alias("least_n")))
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(uid, comp) of all texts in classes of several different texts; uid is the text's content address.
+def linkable(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``live`` whose windows that another text has are enough for the similarity to any text of their buckets.
+
+    Alike texts of n and m windows have at least n m-wise shares
+    s / (1 + s) * (n + m) windows in common, and m is at least s * n.
+    """
+    while True:
+        own = own_mass(texts.join(live.select("uid"), "uid", "left_semi"))
+        least = SIMILARITY / (1 + SIMILARITY)
+        room = live.join(own, "uid", "left").filter(f"n - coalesce(own, 0) >= {least} * (n + greatest(least_n, {SIMILARITY} * n)) - 1e-6")
+        left = mixed(room)
+        if 2 * left.count() >= live.count():
+            return left
+        live = left
+
+
+def links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(uid, comp) of all texts in classes of several different texts.
 
     Each band's bucket first links to one member, chosen anew in each band, as
-    a star. Of the buckets that still hold several components, only texts with
-    a candidate in another component go on, and of these only such as have
-    little weight in windows of their own: the rest of a text bounds its
-    similarity. What is left of the buckets is compared in full across
-    components, under the same bounds: large ones in blocks, small ones by a
-    join with themselves. No pair is lost, and no rows are made for the pairs
-    of a large bucket.
+    a star. Of the buckets that still hold several components, only texts go
+    on whose weight in windows of their own leaves room for the similarity.
+    What is left is compared in full across components, in blocks inside
+    tasks: components that share a bucket are a cluster, and each text of a
+    cluster is dealt once for each block that it meets. No pair is lost, no
+    rows are made for pairs, and from a block come only links that connect
+    components.
     """
-    texts = docs.select(text_key().alias("uid"), "text").filter("uid is not null")
-    sketches = materialise(texts.mapInArrow(tidy(_sketches), "uid long, n long, s1 long, s2 long, bands array<long>").dropDuplicates(["uid"]))
     keys = sketches.select("uid", F.explode("bands").alias("key"))
     turned = F.expr("uid ^ xxhash64(key)")
     buckets = keys.groupBy("key").agg(F.min(turned).alias("least"), F.count("*").alias("size")).filter("size > 1")
-    buckets = materialise(buckets.select("key", "size", F.expr("least ^ xxhash64(key)").alias("rep")))
-    shared = materialise(keys.join(buckets, "key"))
-    star = shared.filter("uid <> rep").select(F.least("uid", "rep").alias("a"), F.greatest("uid", "rep").alias("b")).distinct()
+    shared = keys.join(buckets.select("key", F.expr("least ^ xxhash64(key)").alias("rep")), "key")
+    shared = materialise(shared.groupBy("uid").agg(F.collect_list(F.struct("key", "rep")).alias("in_")))
+    texts = materialise(texts.join(shared.select("uid").hint("merge"), "uid", "left_semi"))  # at any size alike
+    star = shared.select("uid", F.explode(F.array_distinct("in_.rep")).alias("rep")).filter("uid <> rep")
+    star = star.select(F.least("uid", "rep").alias("a"), F.greatest("uid", "rep").alias("b")).distinct()
     sizes = sketches.drop("bands")
     star = star.join(sizes.alias("x"), F.col("a") == F.col("x.uid")).join(sizes.alias("y"), F.col("b") == F.col("y.uid"))
-    tried = materialise(star.filter(alike("x", "y")).select("a", "b"))
-    whole = texts.groupBy("uid").agg(F.first("text").alias("text"))
-
-    def only(uids: DataFrame) -> DataFrame:
-        return materialise(whole.join(uids.hint("merge"), "uid", "left_semi"))  # at any size alike
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-
-    near = materialise(verified(tried, only(ends(tried))))
+    near = materialise(verified(star.filter(alike("x", "y")).select("a", "b"), texts))
     labels = components(near)
-
-    def mixed(members: DataFrame) -> DataFrame:
-        """The members, with their components, of buckets that hold several."""
-        known = members.join(labels, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-        several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-        return materialise(known.join(several, "key"))
-
-    members = mixed(shared.filter("size > 2").select("key", "uid")).join(sizes, "uid")
-    x, y = members.alias("x"), members.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & alike("x", "y")
-    left = only(x.join(y, meet, "left_semi").select("uid").distinct())
-    rest = left.select("uid").join(own_mass(left), "uid", "left").join(sizes, "uid").withColumn("own", F.coalesce("own", F.lit(0)))
-    rest = materialise(rest.filter(f"n - own >= {SIMILARITY} * n"))
-    members = materialise(shared.select("key", "uid").join(rest, "uid"))
-    members = mixed(members)
-    sized = members.groupBy("key").count().filter(f"count > {BLOCK // 4}").select("key")
-    large = materialise(members.join(sized, "key", "left_semi"))
-    more = [block_links(large, left.join(large.select("uid").distinct(), "uid", "left_semi"))] if large.limit(1).count() else []
-    small = members.join(sized, "key", "left_anti")
-    x, y = small.alias("x"), small.alias("y")
-    across = x.join(y, meet & (F.col("x.uid") < F.col("y.uid")) & bounded("x", "y")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-    across = materialise(across.distinct().join(tried, ["a", "b"], "left_anti"))
-    more += [verified(across, left)] if across.limit(1).count() else []
-    found = materialise(reduce(DataFrame.union, more)) if more else None
-    if found is None or not found.limit(1).count():
+    known = shared.select("uid", F.col("in_.key").alias("keys")).join(sizes.select("uid", "n"), "uid").join(labels, "uid", "left")
+    live = mixed(known.withColumn("comp", F.coalesce("comp", "uid")))
+    live = linkable(live, texts)
+    if not live.limit(1).count():
         return labels
-    return joined(labels, found)
+    met = live.select("comp", F.explode("keys").alias("key")).distinct()
+    least = met.groupBy("key").agg(F.min("comp").alias("b"))
+    clusters = components(met.join(least, "key").select(F.col("comp").alias("a"), "b").filter("a <> b").distinct())
+    members = materialise(live.join(clusters.select(F.col("uid").alias("comp"), F.col("comp").alias("cluster")), "comp"))
+    return joined(labels, materialise(block_links(members, texts)))
 
 
 def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """The components of ``labels`` after more links (a, b), which now join components only."""
-    ends = found
-    for c in ("a", "b"):
-        own = labels.select(F.col("uid").alias(c), F.col("comp").alias(f"{c}_comp"))
-        ends = ends.join(own, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-    ends = materialise(ends)
-    over = components(ends.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
-    every = labels.union(ends.select("a", "a_comp")).union(ends.select("b", "b_comp")).distinct()
-    over = over.select(F.col("uid").alias("comp"), F.col("comp").alias("top"))
-    return materialise(every.join(over, "comp", "left").select("uid", F.coalesce("top", "comp").alias("comp")))
+    """The components of ``labels`` after more links (a, b) between components."""
+    over = components(found)
+    over = over.select(F.col("uid").alias("of"), F.col("comp").alias("top"))
+    alone = over.join(labels, F.col("of") == F.col("uid"), "left_anti").select(F.col("of").alias("uid"), F.col("of").alias("comp"))
+    every = labels.unionByName(alone).join(over, F.col("comp") == F.col("of"), "left")
+    return materialise(every.select("uid", F.coalesce("top", "comp").alias("comp")))
+
+
+def sketched(docs: DataFrame) -> tuple[int, DataFrame]:
+    """The sketches of the different texts of ``docs`` (text) with a word, and the seed of the uids, which name these texts.
+
+    A uid is a 64-bit hash of the text. A second hash tells whether two texts
+    have the same uid; if so, all get others from the next seed.
+    """
+    for seed in itertools.count():
+        texts = docs.filter("text is not null").select(uid_of(seed), F.hash(F.lit(7), F.length("text"), "text").alias("check"), "text")
+        found = texts.mapInArrow(tidy(_sketches), "uid long, check int, n long, s1 long, s2 long, bands array<long>").groupBy("uid")
+        found = materialise(found.agg(*(F.first(c).alias(c) for c in ("n", "s1", "s2", "bands")), F.min("check").alias("low"), F.max("check").alias("high")))
+        if not found.filter("low <> high").limit(1).count():
+            return seed, found.drop("low", "high")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -346,8 +376,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("class_uid", "class_id", "n_texts")
     own = docs.select("doc_id", "text")
-    labels = links(own)
-    uid = F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), text_key())
+    seed, sketches = sketched(own)
+    whole = own.filter("text is not null").select(uid_of(seed), "text").groupBy("uid").agg(F.first("text").alias("text"))
+    labels = links(whole, sketches)
+    uid = F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), uid_of(seed))
     firsts = own.withColumn("uid", uid).filter("uid is not null").groupBy("uid").agg(F.min("doc_id").alias("least"))
     firsts = materialise(firsts.join(labels, "uid", "left").select("uid", "least", F.coalesce("comp", "uid").alias("comp")))
     several = firsts.groupBy("comp").agg(F.min("least").alias("class_id"), F.count("*").alias("n_texts"))
