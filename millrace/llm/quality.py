@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
 
-SPACES = "\t\n\x0b\x0c\r"
-#: A line is boilerplate of its host if more of the host's different texts than this share hold it, and at least so many.
-SHARE, AT_LEAST = 0.1, 20
+SPACE = r"[\x20\x09-\x0D]"
+#: A line is boilerplate of its host if more than this share of the host's documents hold it, at least so many, of two texts or more.
+SHARE, AT_LEAST = 0.1, 5
 #: A document is depleted if less than this share of its words is left without boilerplate.
 LEFT = 0.2
 MIN_WORDS, MOST_REPEATED = 50, 50
+#: Parts among which the documents of a host are dealt where its list of lines is too large to go to all tasks.
+SALTS = 64
 
 
 def bind(value: Column, use) -> Column:
@@ -22,20 +24,28 @@ def bind(value: Column, use) -> Column:
 
 def words(text: Column) -> Column:
     """The runs of characters other than ASCII white space."""
-    trimmed = F.trim(F.translate(text, SPACES, " " * len(SPACES)))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " +"))
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
+
+
+def lines(text: Column) -> Column:
+    """The lines with a word."""
+    return F.filter(F.split(text, "\n"), has_word)
 
 
 def has_word(line: Column) -> Column:
-    return F.trim(F.translate(line, SPACES, " " * len(SPACES))) != ""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def line_key(line: Column) -> Column:
     """Hash of a line without outer white space, in lower case, digits alike."""
-    trimmed = F.trim(F.translate(line, SPACES, " " * len(SPACES)))
+    trimmed = F.trim(F.translate(line, "\t\n\x0b\x0c\r", " " * 5))
     return F.xxhash64(F.translate(F.lower(trimmed), "123456789", "000000000"))
 
 
+def line_keys(text: Column) -> Column:
+    return F.array_distinct(F.transform(lines(text), line_key))
+
+
 def repeated_words(found: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more."""
 
@@ -44,7 +54,7 @@ def repeated_words(found: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
 
         def spread(h: Column) -> Column:
-            paired = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+            paired = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
             def places(s: Column) -> Column:
                 m = F.size(s)
@@ -64,20 +74,31 @@ def repeated_words(found: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, share: float = SHARE, at_least: int = AT_LEAST) -> DataFrame:
-    """(source, common): the keys of each host's lines that too many of its different texts hold.
+    """(source, common): the keys of each host's lines that too many of its documents hold.
+
+    A line that only copies of one text hold is none: it tells nothing of the
+    host. No host has more such keys than 1 / share times the lines of its
+    mean document. Written to the shared folder, so that the planner
+    broadcasts it only if its size allows.
+    """
+    held = docs.filter("text is not null").select("source", F.xxhash64("text").alias("t"), F.explode(line_keys(F.col("text"))).alias("key"))
+    counts = held.groupBy("source", "key").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).filter((F.col("n") >= at_least) & (F.col("low") != F.col("high")))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("of"))
+    common = counts.alias("c").join(sizes.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).filter(F.col("n") > share * F.col("of"))
+    return materialise(common.groupBy("c.source").agg(F.collect_list("key").alias("common")))
+
+
+def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``docs`` with the list ``common`` of their source, if it has one, as columns d.* and b.common.
 
-    Copies of a text count once. No host has more such keys than 1 / share
-    times the lines of its mean text. Written to the shared folder, so that
-    the planner broadcasts it only if its size allows.
+    The documents of a host are dealt to ``SALTS`` parts, each with a copy of
+    the list, so that no host is one key of the join.
     """
-    split = F.filter(F.split("text", "\n"), has_word)
-    texts = docs.filter("text is not null").select("source", F.xxhash64("text").alias("t"), F.array_distinct(F.transform(split, line_key)).alias("keys"))
-    lines = materialise(texts.select("source", "t", F.explode_outer("keys").alias("key")).distinct())
-    sizes = lines.select("source", "t").distinct().groupBy("source").count().withColumnRenamed("count", "of")
-    counts = lines.filter("key is not null").groupBy("source", "key").count()
-    common = counts.filter(F.col("count") >= at_least).alias("c").join(sizes.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
-    common = common.filter(F.col("count") > share * F.col("of")).groupBy("c.source").agg(F.collect_list("key").alias("common"))
-    return materialise(common)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    dealt = docs.withColumn("salt_", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(SALTS)))
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    lists = lists.select(F.col("source").alias("host"), "common", F.explode(parts).alias("part"))
+    return dealt.alias("d").join(lists.alias("b"), F.col("d.source").eqNullSafe(F.col("b.host")) & (F.col("d.salt_") == F.col("b.part")), "left")
 
 
 def quality(docs: DataFrame, share: float = SHARE, at_least: int = AT_LEAST, left: float = LEFT) -> DataFrame:
@@ -92,23 +113,28 @@ def quality(docs: DataFrame, share: float = SHARE, at_least: int = AT_LEAST, lef
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left_words", "base_failed", "depleted", "kept", "clean_text"]
     docs = docs.drop(*made)
-    known = docs.alias("d").join(boilerplate(docs, share, at_least).withColumnRenamed("source", "host").alias("b"), F.col("d.source").eqNullSafe(F.col("b.host")), "left")
+    known = with_lists(docs, boilerplate(docs, share, at_least))
     text = F.coalesce(F.col("d.text"), F.lit(""))
-    split = F.split(text, "\n")
-    full = F.filter(split, has_word)
-    clean = F.when(F.col("b.common").isNull(), F.col("d.text")).otherwise(
-        bind(F.col("b.common"), lambda c: F.array_join(F.filter(F.split(F.col("d.text"), "\n"), lambda line: ~has_word(line) | ~F.array_contains(c, line_key(line))), "\n"))
-    )
+    gone = F.when(F.col("b.common").isNotNull(), F.array_intersect(line_keys(text), F.col("b.common")))
     out = known.select(
         *(F.col(f"d.`{c}`") for c in docs.columns),
         words(text).alias("words_"),
-        F.length(F.translate(text, " " + SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        bind(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        clean.alias("clean_text"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        bind(lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        gone.alias("gone_"),
+    )
+    without = bind(F.col("gone_"), lambda g: F.array_join(F.filter(F.split("text", "\n"), lambda line: ~has_word(line) | ~F.array_contains(g, line_key(line))), "\n"))
+    out = out.select(
+        *docs.columns,
+        F.size("words_").cast("long").alias("n_words"),
+        F.length(F.array_join("words_", "")).cast("long").alias("word_chars"),
+        "n_symbols",
+        "n_dup_lines",
+        repeated_words(F.col("words_")).alias("n_repeat_words"),
+        F.when(F.size("gone_") > 0, without).otherwise(F.col("text")).alias("clean_text"),
+        F.coalesce(F.size("gone_") > 0, F.lit(False)).alias("lost_"),
     )
-    out = out.select(*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "clean_text", F.size("words_").cast("long").alias("n_words"), repeated_words(F.col("words_")).alias("n_repeat_words"))
-    out = out.withColumn("n_left_words", F.when(F.col("clean_text") == F.col("text"), F.col("n_words")).otherwise(F.size(words(F.coalesce("clean_text", F.lit("")))).cast("long")))
+    out = out.withColumn("n_left_words", F.when(F.col("lost_"), F.size(words(F.coalesce("clean_text", F.lit("")))).cast("long")).otherwise(F.col("n_words")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     out = out.withColumn("depleted", F.col("n_left_words") < left * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).select(*docs.columns, *made)

@@ -91,8 +91,8 @@ WITH doc AS (SELECT doc_id, source, coalesce(text, '') AS x, list_filter(string_
   line AS (SELECT doc_id, source, x, unnest(string_split(x, chr(10))) AS line FROM doc),
   worded AS (SELECT doc_id, source, x, line, trim(translate(line, {_SPACE}, '     ')) AS bare FROM line),
   keyed AS (SELECT *, translate(lower(bare), '123456789', '000000000') AS key FROM worded WHERE bare <> ''),
-  host AS (SELECT source, count(DISTINCT x) AS of FROM doc GROUP BY source),
-  common AS (SELECT source, key, true AS hit FROM (SELECT source, key, count(DISTINCT x) AS n FROM keyed GROUP BY source, key) JOIN host USING (source) WHERE n >= 20 AND n > 0.1 * of),
+  host AS (SELECT source, count(*) AS of FROM doc GROUP BY source),
+  common AS (SELECT source, key, true AS hit FROM (SELECT source, key, count(DISTINCT doc_id) AS n, count(DISTINCT x) AS texts FROM keyed GROUP BY source, key) JOIN host USING (source) WHERE n >= 5 AND texts >= 2 AND n > 0.1 * of),
   left_ AS (SELECT doc_id, sum(len(list_filter(string_split(bare, ' '), lambda w: w <> ''))) FILTER (hit IS NULL) AS n FROM keyed LEFT JOIN common USING (source, key) GROUP BY doc_id),
   dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM keyed GROUP BY doc_id),
   three AS (SELECT doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM doc)),
