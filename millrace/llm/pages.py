@@ -13,6 +13,7 @@ import html as entities
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,18 +34,80 @@ IN_HEAD = set("html head base basefont bgsound link meta title style script nosc
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"body", "html", "head", "button", "label", "option", "select", "legend", "summary", "td", "th", "tr"}
 SCOPE = {"ul", "ol", "table", "dl", "select", "article", "section", "div", "aside", "nav", "main", "body"}
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Elements that end others of their kind, of which the innermost open one is looked up.
+ENDED = {"p"}.union(*CLOSES_ITSELF.values())
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+#: What is left of a tag: up to the first > outside quotes.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 PATHS, WORDS, D_PATH, D_WORD, D_MORE, HIDDEN = 512, 512, 20, 8, 4, 16
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "blocks.npz")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
+class Path:
+    """An open block element within another: its name with class, id and role. The root has no label."""
+
+    __slots__ = ("label", "parent", "depth", "in_head", "ended_by")
+
+    def __init__(self, label: str = "", parent: Path | None = None, at: int = 0):
+        name = label.split(" ", 1)[0]
+        self.label, self.parent, self.depth = label, parent, parent.depth + 1 if parent else 0
+        self.in_head = name == "head" or parent is not None and parent.in_head
+        #: Where in the stack the innermost open elements are that a start tag may end.
+        around = parent.ended_by if parent else {}
+        self.ended_by = {} if name in SCOPE else {**around, name: at} if name in ENDED else around
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __iter__(self) -> Iterator[str]:
+        labels, at = [], self
+        while at.parent is not None:
+            labels.append(at.label)
+            at = at.parent
+        return reversed(labels)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, is it an end tag, name, attributes) of each tag; comments and declarations have no name.
+
+    A tag ends at the first > outside quotes; after a tag whose quotes never
+    close, all end at the first >. What no > follows is no tag. Every
+    character is passed over a fixed number of times. The caller sends the
+    place to go on from, if it is another than the end.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    while found := _OPEN.search(page, at):
+        start, at = found.span()
+        name = found[2] or ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", at) + 3
+            end = len(page) if end < 3 else end
+        elif start > last:
+            at = start + 1 if page.find("<!--", at) < 0 else page.index("<!--", at)
+            if page.startswith("<!--", at):
+                continue
+            return
+        elif not name:
+            end = page.find(">", at) + 1
+        else:
+            rest = _REST.match(page, at) if quoted else None
+            quoted = rest is not None
+            end = rest.end() if rest else page.find(">", at) + 1
+        if not end:
+            at = start + 1
+            continue
+        to = yield start, end, found[1] == "/", name.lower(), page[found.end() : end - 1] if name else ""
+        at = end if to is None else to
+
+
+def blocks(page: str) -> list[tuple[Path, str, float]]:
     """Leaf blocks of a page in order: tag path, text, share of the text in links."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
-    path: tuple[str, ...] = ()
+    out: list[tuple[Path, str, float]] = []
+    root = path = Path()
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = at = 0
     in_link = False
@@ -56,13 +119,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             out.append((path, joined, min(linked / len(joined), 1.0)))
         text, linked = [], 0
 
-    def leave_head() -> None:
+    def cut_to(depth: int) -> None:
         nonlocal path
-        if any(x == "head" for x, _ in stack):
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
+        path = stack[-1][1] if stack else root
+
+    def leave(name: str) -> None:
+        """End the innermost open element of the name."""
+        depth = len(stack) - 1
+        while stack[depth][0] != name:
+            depth -= 1
+        cut_to(depth)
+
+    def leave_head() -> None:
+        if opened["head"]:
             close()
-            while stack.pop()[0] != "head":
-                pass
-            path = tuple(x for _, x in stack)
+            leave("head")
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -73,23 +146,25 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if in_link:
             linked += len(plain)
 
-    while found := _TAG.search(page, at):
-        if found.start() > at:
-            say(page[at : found.start()])
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
+    walk, to = tags(page), None
+    while True:
+        try:
+            start, end, ends, name, more = walk.send(to)
+        except StopIteration:
+            break
+        to = None
+        if start > at:
+            say(page[at:start])
+        at = end
         if not name:
             continue
-        ends, more = bool(found[1] or found[4]), found[3] if found[2] else found[6]
         if ends:
             if name == "a":
                 in_link = False
             if name in BLOCK:
                 close()
-                if any(x == name for x, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
-                    path = tuple(x for _, x in stack)
+                if opened[name]:
+                    leave(name)
             continue
         if name not in IN_HEAD:
             leave_head()
@@ -98,40 +173,43 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         elif name == "a":
             in_link = True
         if name in RAW and not (name == "svg" and more.endswith("/")):
-            end = re.compile(f"</{name}", re.I).search(page, at)
-            at = end.start() if end else len(page)
-            rest = page.find(">", at)
-            at = len(page) if rest < 0 else rest + 1
+            shut = re.compile(f"</{name}", re.I).search(page, at)
+            rest = page.find(">", shut.start()) if shut else -1
+            at = to = len(page) if rest < 0 else rest + 1
             if name == "title":
                 close()
             continue
         if name in BLOCK:
             close()
-            shut = CLOSES_ITSELF.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] not in shut and stack[k][0] not in SCOPE:
-                k -= 1
-            if k >= 0 and stack[k][0] in shut:
-                del stack[k:]
+            shut_here = CLOSES_ITSELF.get(name, set()) | ({"p"} if name in CLOSES_P else set())
+            if (depth := max((path.ended_by.get(x, -1) for x in shut_here), default=-1)) >= 0:
+                cut_to(depth)
             if name not in VOID and not more.endswith("/"):
                 parts = " ".join(next(filter(None, m), "") for m in _NAMES.findall(more)) if "=" in more else ""
-                stack.append((name, f"{name} {parts.lower()}".strip()))
-            path = tuple(x for _, x in stack)
+                path = Path(f"{name} {parts.lower()}".strip(), path, len(stack))
+                stack.append((name, path))
+                opened[name] += 1
     if at < len(page):
         say(page[at:])
     close()
-    return [x for x in out if not any(y.split(" ", 1)[0] == "head" for y in x[0])]
+    return [x for x in out if not x[0].in_head]
+
+
+@lru_cache(maxsize=10_000)
+def label_slots(label: str) -> np.ndarray:
+    """Slots of a path's part: its tag and each word of its class, id and role."""
+    name, *more = re.split(r"[\s_-]+", label)
+    return np.asarray([zlib.crc32(x.encode()) % PATHS for x in (name, *(f".{w}" for w in more if w))])
+
+
+@lru_cache(maxsize=1_000)
+def last_slot(label: str) -> int:
+    return zlib.crc32(f"/{label.split(' ', 1)[0]}".encode()) % PATHS
 
 
-@lru_cache(maxsize=50_000)
-def path_slots(path: tuple[str, ...]) -> np.ndarray:
-    """Slots of a path's parts: each tag, each word of its class, id and role, and the last tag."""
-    parts = []
-    for x in path:
-        name, *more = re.split(r"[\s_-]+", x)
-        parts += [name, *(f".{w}" for w in more if w)]
-    parts.append("/" + (path[-1].split(" ", 1)[0] if path else ""))
-    return np.asarray([zlib.crc32(x.encode()) % PATHS for x in parts])
+def path_slots(path: Path) -> np.ndarray:
+    """Slots of a path: those of each part, and that of the last tag."""
+    return np.concatenate([*(label_slots(x) for x in path), [last_slot(path.label)]]).astype(np.int64)
 
 
 def word_slots(text: str) -> np.ndarray:
@@ -152,10 +230,27 @@ class Net:
             w |= {f"x{k}": rng.normal(0, d**-0.5, (d, 4 * HIDDEN)), f"h{k}": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN)), f"b{k}": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
         return cls(w)
 
-    def vectors(self, page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-        out = np.zeros((len(page), D_PATH + D_WORD + D_MORE), np.float32)
+    def of_path(self, path: Path, known: dict[Path, np.ndarray]) -> np.ndarray:
+        """The sum of the vectors of a path's parts, from that of the nearest path around it in ``known``."""
+        todo = []
+        while path not in known:
+            todo.append(path)
+            path = path.parent
+        total = known[path]
+        for path in reversed(todo):
+            known[path] = total = total + self.w["path"][label_slots(path.label)].sum(0)
+        return total
+
+    def vectors(self, page: list[tuple[Path, str, float]]) -> np.ndarray:
+        out = np.zeros((len(page), D_PATH + D_WORD + D_MORE), self.w["path"].dtype)
+        known: dict[Path, np.ndarray] = {}
         for k, (path, text, link) in enumerate(page):
-            out[k, :D_PATH] = self.w["path"][path_slots(path)].sum(0)
+            if not known:
+                root = path
+                while root.parent is not None:
+                    root = root.parent
+                known[root] = np.zeros(D_PATH, self.w["path"].dtype)
+            out[k, :D_PATH] = self.of_path(path, known) + self.w["path"][last_slot(path.label)]
             out[k, D_PATH : D_PATH + D_WORD] = self.w["word"][word_slots(text)].mean(0)
             out[k, -D_MORE:] = link, min(len(text), 2000) ** 0.5 / 20, text[-1] in ".!?", len(path) / 10
         return out
