@@ -30,22 +30,23 @@ def class_of(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> i
     return min(capacity // length, classes)
 
 
-def cut(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:
+def cut(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES, whole: bool = False) -> list[int]:
     """Lengths of the pieces of a document, in order.
 
     Each but the last is the largest reciprocal of the capacity that fits; what
     is left below an eighth of it stays whole, as little is lost in its class.
+    If ``whole``, all that is left after full sequences stays whole.
     """
     out = [capacity] * (tokens // capacity)
     left = tokens % capacity
-    while left > capacity // 8:
+    while left > capacity // 8 and not whole:
         share = capacity // -(-capacity // left)
         out.append(share)
         left -= share
     return out + [left] * (left > 0)
 
 
-def _pieces(path: str, capacity: int, classes: int):
+def _pieces(path: str, capacity: int, classes: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, int] = {}
         part = TaskContext.get().partitionId()
@@ -56,7 +57,7 @@ def _pieces(path: str, capacity: int, classes: int):
                 for name, ids in zip(names, encoder(path).encode([x or "" for x in texts.to_pylist()]), strict=True):
                     ids = memoryview(ids + bytes(4))
                     start, total = 0, len(ids) // 4
-                    for length in cut(total, capacity, classes):
+                    for length in cut(total, capacity, classes, whole):
                         kind = class_of(length, capacity, classes)
                         rank = made.get(kind, 0)
                         made[kind] = rank + 1
@@ -70,7 +71,7 @@ def _pieces(path: str, capacity: int, classes: int):
     return tidy(run, lambda: encoder(path).forget())
 
 
-def _tail(capacity: int):
+def _tail(capacity: int, classes: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """First fit, longest first, of what the classes leave: less than one sequence of each."""
         rows = rows.sort_values(["length", "class", "bin", "rank"], ascending=[False, True, True, True], kind="stable")
@@ -83,22 +84,26 @@ def _tail(capacity: int):
             bins.append(k)
             offsets.append(capacity - free[k])
             free[k] -= length
-        return rows.assign(sequence_id=np.asarray(bins, np.int64) * (CLASSES + 1), offset=np.asarray(offsets, np.int64))[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return rows.assign(sequence_id=np.asarray(bins, np.int64) * (classes + 1), offset=np.asarray(offsets, np.int64))[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     return run
 
 
-def packed(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
+def packed(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPACITY, classes: int = CLASSES, whole: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with their places in sequences of ``capacity`` ids.
 
     A document is the ids of its text and then id 0; a null or empty text is
     that id alone. Each id is in exactly one piece (doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset); the pieces of a sequence leave
     no gap. Rows with the same or no doc_id are packed each. Other columns of
-    docs are not read. A sequence of class j > 0 has id bin * 129 + j; sequences
+    docs are not read. A sequence of class j > 0 has id bin * (classes + 1) + j; sequences
     of class 0 hold what the classes leave over, fewer than j pieces of each.
+
+    Cutting what is left of a document to exact shares makes two to three
+    pieces of it and leaves little padding. With ``whole`` a document that fits
+    in a sequence is one piece, at the padding that its class leaves.
     """
-    pieces = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(vocabulary(vocab), capacity, classes), PIECES))
+    pieces = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(vocabulary(vocab), capacity, classes, whole), PIECES))
     counts = pieces.groupBy("class", "part").agg(F.max("rank").alias("top")).withColumn("n", F.col("top") + 1)
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -110,5 +115,5 @@ def packed(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CA
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     full = placed.filter("full").withColumn("sequence_id", F.col("bin") * (classes + 1) + F.col("class"))
     full = full.withColumn("offset", F.coalesce(F.sum("length").over(place), F.lit(0).cast("long"))).select(columns)
-    tail = placed.filter("not full").withColumn("all_", F.lit(0)).groupBy("all_").applyInPandas(_tail(capacity), full.schema)
+    tail = placed.filter("not full").withColumn("all_", F.lit(0)).groupBy("all_").applyInPandas(_tail(capacity, classes), full.schema)
     return full.union(tail)

@@ -117,10 +117,28 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(manifest: DataFrame) -> DataFrame:
     """Each document of the files: doc_id, start (ids of all before it), n_tokens, ids_crc32.
 
-    Files are read by row groups. Where they start follows from the manifest,
-    which has a row a file, so no task sees the documents of another.
+    Each file has a task of its own, which reads it by row groups. Where files
+    start follows from the manifest, which has a row a file.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")).alias("before"))
-    spread = materialise(files).repartition("file")
+    files = materialise(files)
+    spread = files.repartition(max(1, files.count()))
     return spread.mapInArrow(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def opened(manifest: DataFrame) -> DataFrame:
+    """The files of ``manifest`` as a table (doc_id, n_tokens, ids) for selective reading; no row for an empty manifest.
+
+    Spark reads the columns that are asked for only, so that counts cost no
+    ids, and a filter on doc_id reaches the files, where statistics of row
+    groups and page indexes pass over what it rules out. Files of attempts
+    that failed, which the manifest lacks, are left out.
+    """
+    spark, schema = manifest.sparkSession, "doc_id long, n_tokens long, ids array<int>"
+    first = manifest.select("file").first()
+    if first is None:
+        return spark.createDataFrame([], schema)
+    names = manifest.select(F.substring_index("file", "/", -1).alias("name_"))
+    rows = spark.read.schema(schema).parquet(first["file"].rsplit("/", 1)[0]).withColumn("name_", F.col("_metadata.file_name"))
+    return rows.join(names, "name_", "left_semi").drop("name_")
