@@ -2,12 +2,17 @@
 
 Scores are shares of an item's score for its own text, so that one threshold
 fits items of any length. The index is dealt to blocks of items; for each term
-it holds the greatest share that the term adds to any item of a block. The
-terms that all items have, whose shares together stay under half the
-threshold, are never looked up on their own: a passage reaches a block only if
-its other terms and that bound pass the threshold together. What is left is
-scored exactly, and five-word windows of the question part and the answer part
-of the item confirm it.
+it holds the greatest share that the term adds to any item of a block. As the
+threshold is fixed and passages come in columns, bounds are summed for all
+passages of a batch and all blocks at once, instead of moving one passage's
+pivot along sorted lists as WAND does: terms that all items have, whose shares
+together stay under half the threshold, are never looked up on their own, and
+a passage reaches a block only if its other terms and that bound pass the
+threshold together. What is left is scored exactly, and five-word windows of
+the question part and the answer part of the item confirm it.
+
+Statistics of terms and lengths are those of all items, and a passage's length
+follows from the item's own, so how items are dealt to indexes changes no hit.
 """
 
 from __future__ import annotations
@@ -21,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import tidy
-from millrace.llm.grid import Grid, slices, windows, words
+from millrace.llm.common import materialise, tidy
+from millrace.llm.grid import Grid, U, slices, windows, words
 
 #: Retrieval takes items of this share of their own score; a hit needs these shares of all windows, and of each part's.
 SCORE, OVERLAP, PART_OVERLAP = 0.6, 0.5, 0.25
 WIDTH, BLOCK, LEAST_WINDOW = 5, 8, 64
-#: Items of an index that goes to all tasks; a larger benchmark is taken in several such blocks.
-MOST_ITEMS = 20_000
+#: Bytes of item texts whose indexes go to all tasks at once, at about ten times as many; documents are scanned once for each.
+MOST_BYTES = 1 << 25
 K1, B = 1.2, 0.75
 HITS = "item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
@@ -46,22 +51,41 @@ class Index:
     block_share: np.ndarray
     rest: np.ndarray  # by block: the most that other terms add
     parts: list  # window hashes of question and answer of each item
-    length: int  # words of the longest item
+    step: int  # half the words of a passage, no less than those of any item
     width: np.ndarray  # words of an item's windows: WIDTH, or all of a shorter item
 
 
-def build(item_ids: list, texts: list[str | None]) -> Index:
-    """The index of some items; an item without words is never found."""
+@dataclass
+class Statistics:
+    """Of all items: how many, words of the mean item, and in how many a term is (by sorted word hashes)."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def statistics(texts: list[str | None]) -> Statistics:
+    """Those of a few items."""
+    grid = words(pa.array([x or "" for x in texts], pa.string()), punctuation=True, fold=True)
+    of, terms = grid.row, grid.hashes
+    terms, df = np.unique(np.unique(np.stack([terms, of.astype(U)], 1), axis=0)[:, 0], return_counts=True)
+    return Statistics(len(texts), float(grid.n_words.mean()) if texts else 0.0, terms, df)
+
+
+def build(item_ids: list, texts: list[str | None], known: Statistics | None = None, step: int | None = None) -> Index:
+    """The index of some items among those that ``known`` tells of; an item without words is never found."""
+    known = known or statistics(texts)
     col = pa.array([x or "" for x in texts], pa.string())
     grid = words(col, punctuation=True, fold=True)
     n = len(texts)
     vocab, term = np.unique(grid.hashes, return_inverse=True)
     pair, tf = np.unique(grid.row * np.int64(max(len(vocab), 1)) + term, return_counts=True)
     item, term = pair // max(len(vocab), 1), pair % max(len(vocab), 1)
-    df = np.bincount(term, minlength=len(vocab))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    df = known.df[np.searchsorted(known.terms, vocab)]
+    idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
     size = grid.n_words
-    add = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(size.mean(), 1))) if n else np.zeros(0)
+    add = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(known.mean, 1))) if n else np.zeros(0)
     share = add / np.bincount(item, add, n)[item] if n else add
     order = np.lexsort((item, term))
     item, term, share = item[order], term[order], share[order]
@@ -85,7 +109,15 @@ def build(item_ids: list, texts: list[str | None]) -> Index:
         own = win.hashes[win.first[k] : win.first[k + 1]]
         half = -(-len(own) // 2)
         parts.append((own[:half], own[half:]))
-    return Index(list(item_ids), vocab, first, item, share, essential, np.searchsorted(key // n_blocks, np.arange(len(vocab) + 1)), key % n_blocks, top, rest, parts, int(size.max()) if n else 0, np.minimum(size, WIDTH))
+    return Index(list(item_ids), vocab, first, item, share, essential, np.searchsorted(key // n_blocks, np.arange(len(vocab) + 1)), key % n_blocks, top, rest, parts, step or half_passage(int(size.max()) if n else 0), np.minimum(size, WIDTH))
+
+
+def half_passage(n_words: int) -> int:
+    """The least power of two times ``LEAST_WINDOW`` that is no less than the words of an item."""
+    step = LEAST_WINDOW
+    while step < n_words:
+        step *= 2
+    return step
 
 
 def _spread(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,19 +127,18 @@ def _spread(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[terms][of]
 
 
-def search(index: Index, col: pa.Array, score: float = SCORE) -> Iterator[tuple[int, int, float, float, float, float]]:
+def search(index: Index, grid: Grid, score: float = SCORE) -> Iterator[tuple[int, int, float, float, float, float]]:
     """(row, item, score, overlap, question's, answer's) of all confirmed items of each row, the best passage of each.
 
-    Passages are windows of twice the longest item's words (128 at least) that
-    overlap by half, so every stretch as long as an item lies in one.
+    Passages are stretches of ``2 * index.step`` words that overlap by half, so
+    every stretch as long as an item lies in one.
     """
-    grid = words(col, punctuation=True, fold=True)
     if not len(grid.hashes) or not len(index.vocab):
         return
     at = np.searchsorted(index.vocab, grid.hashes)
     at[at == len(index.vocab)] = 0
     term = np.where(index.vocab[at] == grid.hashes, at, -1)
-    step = max(LEAST_WINDOW, index.length)
+    step = index.step
     row = grid.row
     place = np.arange(len(row)) - grid.first[row]
     n_windows = np.maximum(-(-grid.n_words // step), 1)
@@ -152,13 +183,38 @@ def search(index: Index, col: pa.Array, score: float = SCORE) -> Iterator[tuple[
         yield r, item, total, overlap, q, a
 
 
-def indexes(benchmark: DataFrame, most_items: int = MOST_ITEMS) -> Iterator[Index]:
-    """Indexes of at most about ``most_items`` items each, by a hash of the item."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = max(1, -(-items.count() // most_items))
-    for k in range(n):
-        rows: pd.DataFrame = items.filter(F.expr(f"pmod(xxhash64(item_id, text), {n}) = {k}")).orderBy("item_id", "text").toPandas()
-        yield build([None if pd.isna(x) else int(x) for x in rows["item_id"]], rows["text"].tolist())
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with their word counts and different terms."""
+    for batch in batches:
+        for at, texts in slices(batch.column(1)):
+            grid = words(texts, punctuation=True, fold=True)
+            terms = [np.unique(grid.hashes[a:b]).view(np.int64) for a, b in zip(grid.first[:-1], grid.first[1:], strict=True)]
+            own = batch.slice(at, len(texts))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(grid.n_words), pa.array(terms, pa.list_(pa.int64()))], names=["item_id", "text", "n", "terms"])
+
+
+def indexes(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> Iterator[list[Index]]:
+    """For each scan of the documents, the indexes of about ``most_bytes`` of items, one for each length of passages."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = materialise(items.mapInArrow(tidy(_described), "item_id long, text string, n long, terms array<long>"))
+    total = items.agg(F.count("*").alias("items"), F.sum("n").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not total["n"]:
+        return
+    df = materialise(items.select(F.explode("terms").alias("term")).groupBy("term").count())
+    scans = max(1, -(-total["bytes"] // most_bytes))
+    for k in range(scans):
+        own = items.filter(F.expr(f"n > 0 and pmod(xxhash64(item_id, text), {scans}) = {k}"))
+        counts = df.join(own.select(F.explode("terms").alias("term")).distinct(), "term").toPandas() if scans > 1 else df.toPandas()
+        terms = counts["term"].to_numpy(np.int64).view(U)
+        order = np.argsort(terms)
+        known = Statistics(total["items"], total["n"] / total["items"], terms[order], counts["count"].to_numpy()[order])
+        rows: pd.DataFrame = own.select("item_id", "text", "n").orderBy("item_id", "text").toPandas()
+        step = rows["n"].map(half_passage)
+        found = []
+        for size in sorted(step.unique()):
+            some = rows[step == size]
+            found.append(build([None if pd.isna(x) else int(x) for x in some["item_id"]], some["text"].tolist(), known, int(size)))
+        yield found
 
 
 def _hits(shared):
@@ -167,16 +223,16 @@ def _hits(shared):
         names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                rows = list(search(shared.value, texts))
-                if rows:
-                    doc = batch.column(0).slice(at, len(texts))
-                    ids = [(doc[r].as_py(), shared.value.item_ids[i], *rest) for r, i, *rest in rows]
+                grid = words(texts, punctuation=True, fold=True)
+                doc = batch.column(0).slice(at, len(texts))
+                ids = [(doc[r].as_py(), index.item_ids[i], *rest) for index in shared.value for r, i, *rest in search(index, grid)]
+                if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*ids, strict=True), kinds, strict=True)], names=names)
 
     return tidy(run)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, most_items: int = MOST_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of each row of docs and item that it holds.
 
     Words end at ASCII white space or punctuation, A to Z in any case. The
@@ -184,12 +240,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_items: int = MOST_ITEMS) -
     item of fewer than five words is held where all of them follow each other. Null
     or empty texts hold nothing, null or empty items are never held; rows with
     the same or no doc_id each give their own rows. Other columns are not read.
+    The rows are the same for any ``most_bytes``.
     """
-    out = None
-    for index in indexes(benchmark, most_items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hits(shared), f"doc_id long, {HITS}")
-        out = found if out is None else out.union(found)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = docs.sparkSession.createDataFrame([], f"doc_id long, {HITS}")
+    for k, found in enumerate(indexes(benchmark, most_bytes)):
+        shared = docs.sparkSession.sparkContext.broadcast(found)
+        held = ids.mapInArrow(_hits(shared), out.schema)
+        out = out.union(held) if k else held
     return out
 
 
@@ -197,16 +255,17 @@ def _clean(shared, at_text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(at_text)):
-                held = {r for r, *_ in search(shared.value, texts)}
+                grid = words(texts, punctuation=True, fold=True)
+                held = {r for index in shared.value for r, *_ in search(index, grid)}
                 keep = np.asarray([k not in held for k in range(len(texts))], bool)
                 yield batch.slice(at, len(texts)).filter(pa.array(keep))
 
     return tidy(run)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, most_items: int = MOST_ITEMS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows of ``docs`` (text, any more) that hold no item, as they are; nothing is shuffled."""
-    for index in indexes(benchmark, most_items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for found in indexes(benchmark, most_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(found)
         docs = docs.mapInArrow(_clean(shared, docs.columns.index("text")), docs.schema)
     return docs
