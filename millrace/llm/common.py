@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,21 +14,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``.
+#: Bytes of a batch that goes to Python, besides its last row.
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    Where the session names none (tests), a temporary folder is set for it once.
-    """
+
+def _session_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session of one machine (tests) gets a temporary
+    folder for it once; on a cluster that is an error.
+    """
+    return f"{_session_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this session has materialised: to be called when results have been read or written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python a thousand rows at a time, so that a batch of long ones fits beside the heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Bound the bytes of a batch, so that one of long texts fits beside the heap."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -36,22 +55,24 @@ def materialise(df: DataFrame) -> DataFrame:
     Lineage ends there, any executor can read it again after a loss, and the
     planner knows its size, so that it broadcasts a side only if it is small.
     """
-    small_batches(df.sparkSession)
-    path = shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH, None)
+    small_batches(spark)
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if before is None:
+        spark.conf.unset(_BATCH)
+    else:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a registered query, which is run later, so that the bound on batches stays set."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_key(col="text"):
-    """A 64-bit content address of a text; null for null."""
-    return F.when(F.col(col).isNotNull(), F.xxhash64(F.col(col)))
-
-
 def tidy(run: Callable[[Iterator], Iterator], last: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
     """``run`` on the batches of a task, whose memory goes back to the machine at its end.
 
