@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import shared_dir, table
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,14 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.secrets import findings
+    """The ledger is written for an earlier version of the table, without the other languages, and extended over the whole."""
+    from millrace.llm.secrets import findings, update
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, ledger = table(spark, sf_dir, "documents"), shared_dir(spark)
+    update(docs.filter("lang = 'es'"), ledger)
+    docs = docs.select("doc_id", "text")
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return findings(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
+    return findings(docs, update(docs, ledger)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
 
 
 def op5_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

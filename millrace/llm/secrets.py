@@ -1,10 +1,11 @@
 """Secret scanning with a ledger of blobs: each text is scanned once for each version of the rules.
 
 A blob is a text by its SHA-256. The ledger holds (blob, rules, spans) for
-every blob that was scanned under a rule version, with or without findings.
-A scan takes the distinct blobs of all versions of all paths, drops those that
-the ledger has for the current rules, scans the rest, and joins the findings
-back to every path.
+every blob that was scanned under a rule version, with or without findings;
+it is a Parquet folder that each update extends. An update takes the distinct
+blobs of all rows, be they versions of one path or copies at several, drops
+those that the ledger has for the current rules, and scans the rest. Findings
+are joined back to every row. The rule version is a hash of the rules.
 """
 
 from __future__ import annotations
@@ -14,13 +15,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from millrace.llm.common import materialise, tidy
+from millrace.llm.common import shared_dir, tidy
 
-RULES = "2"
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge")
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 _names = "|".join(_either(x) for x in ("password", "passwd", "secret", "token", "api_?key"))
@@ -33,14 +32,16 @@ MORE = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "forge": re.compile("(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
 }
+LEAST_VALUE, LEAST_ACCESS = 6, 20
+RULES = hashlib.sha256(repr([LEAST_VALUE, LEAST_ACCESS, *((k, x.pattern) for k, x in [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), *MORE.items()])]).encode()).hexdigest()[:16]
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:long,end:long>>"
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) in code points, by start, then kind as listed."""
-    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
     if "AKIA" in text:
-        found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for kind, rule in MORE.items():
         found += [(kind, *m.span()) for m in rule.finditer(text)]
@@ -72,33 +73,44 @@ def blob(col: str = "text"):
     return F.sha2(F.coalesce(F.col(col), F.lit("")), 256)
 
 
-def extended(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger with an entry for each blob of ``docs`` under the current rules.
+def unseen(docs: DataFrame, ledger: DataFrame | None, rules: str = RULES) -> DataFrame:
+    """(blob, text) of each text of ``docs`` that the ledger lacks for the rules, once.
 
-    Copies are folded within each task before any text is moved; only blobs
-    that the ledger lacks are moved and scanned.
+    Copies are folded within each task before any text is moved.
     """
-    texts = docs.select(blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    if ledger is not None:
-        known = ledger.filter(F.col("rules") == RULES).select("blob")
-        unseen = texts.join(known, "blob", "left_anti")
-    else:
-        unseen = texts
-    unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-    fresh = materialise(unseen.mapInArrow(tidy(_scan), LEDGER))
-    return fresh if ledger is None else ledger.select(*(f.name for f in StructType.fromDDL(LEDGER))).union(fresh)
+    texts = docs.select(blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    return texts if ledger is None else texts.join(ledger.filter(F.col("rules") == rules).select("blob").hint("merge"), "blob", "left_anti")
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger in the folder; None if there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return spark.read.schema(LEDGER).parquet(folder) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+
+
+def update(docs: DataFrame, folder: str) -> DataFrame:
+    """The ledger in ``folder``, extended by an entry for each blob of ``docs`` (text, any more) under the current rules.
+
+    Only unseen blobs are scanned. An update that is run again, or two at
+    once, may give a blob the same entry twice, which readers pass over.
+    """
+    spark = docs.sparkSession
+    unseen(docs, load(spark, folder)).mapInArrow(tidy(_scan), LEDGER).write.mode("append").parquet(folder)
+    return load(spark, folder)
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """``docs`` (text, any more) with blob, n_assign, n_access, n_hex, base_sha256, spans.
+    """``docs`` (text, any more, such as path and version) with blob, n_assign, n_access, n_hex, base_sha256, spans.
 
-    A null text is scanned as an empty one. Repeated rows each get the
-    findings of their blob. Columns of docs named like results are replaced.
-    Spans count code points, the end is exclusive; they may overlap between
-    kinds, not within one.
+    ``ledger`` is one that ``update`` gave for these rows; without one, all
+    blobs are scanned into a new one. A null text is scanned as an empty one.
+    Repeated rows each get the findings of their blob. Columns of docs named
+    like results are replaced. Spans count code points, the end is exclusive;
+    they may overlap between kinds, not within one.
     """
     made = ["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     docs = docs.drop(*made)
-    entries = extended(docs, ledger).filter(F.col("rules") == RULES).drop("rules").dropDuplicates(["blob"])
+    ledger = update(docs, shared_dir(docs.sparkSession)) if ledger is None else ledger
+    entries = ledger.filter(F.col("rules") == RULES).drop("rules").dropDuplicates(["blob"])
     out = docs.withColumn("blob", blob()).alias("d").join(entries.alias("e"), F.col("d.blob") == F.col("e.blob"), "left")
     return out.select(*(F.col(f"d.`{c}`") for c in docs.columns), *(F.col(f"{'d' if c == 'blob' else 'e'}.{c}") for c in made))
