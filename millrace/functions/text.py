@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Titles that names are compared without.
 HONORIFICS = ["professor", "prof", "dr", "doctor", "mr", "mrs", "ms", "sir", "dame"]
@@ -37,18 +40,25 @@ PREVIEW = 200
 
 def words(text: Column) -> Column:
     """The words of a text between Unicode white space; null for null."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
 
 def word_count(text: Column) -> Column:
     return F.size(words(F.coalesce(text, F.lit("")))).cast("long")
 
 
+@F.arrow_udf(StringType())
+def compatible(text: pa.Array) -> pa.Array:
+    """A text in its compatible composed form (NFKC), a batch at a time."""
+    form = lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
+    return pa.array(map(form, text.to_pylist()), pa.string())
+
+
 def normalise_text(text: Column) -> Column:
-    """Plain quotes, dashes and spaces, and no inline footnote marks."""
-    plain = F.translate(text, " ‘’“”–", " ''\"\"-")
+    """Plain quotes, dashes and spaces, no inline footnote marks, and characters in their compatible form."""
+    plain = F.translate(text, "\u00a0‘’“”–", " ''\"\"-")
     plain = F.replace(plain, F.lit("—"), F.lit(" - "))
-    return F.regexp_replace(plain, r"(?i)\s*footnote\s*\[\d+\]", "")
+    return compatible(F.regexp_replace(plain, r"(?i)\s*footnote\s*\[\d+\]", ""))
 
 
 def normalise_speaker(name: Column) -> Column:

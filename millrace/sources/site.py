@@ -8,8 +8,7 @@ parser knows.
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -37,17 +36,30 @@ class Node:
 
     def all(self) -> Iterator[Node]:
         """Elements below this one, in order."""
-        for x in self.items:
-            if isinstance(x, Node):
-                yield x
-                yield from x.all()
+        todo = [x for x in reversed(self.items) if isinstance(x, Node)]
+        while todo:
+            x = todo.pop()
+            yield x
+            todo.extend(y for y in reversed(x.items) if isinstance(y, Node))
+
+    def under(self, *tests: Callable[[Node], bool]) -> Iterator[tuple[Node, list[bool]]]:
+        """Elements below this one, in order, and which of the tests an element above each passes."""
+        here = [any(test(a) for a in (self, *self.above())) for test in tests]
+        todo = [(x, here) for x in reversed(self.items) if isinstance(x, Node)]
+        while todo:
+            x, here = todo.pop()
+            yield x, here
+            own = [a or test(x) for a, test in zip(here, tests, strict=True)]
+            todo.extend((y, own) for y in reversed(x.items) if isinstance(y, Node))
 
     def strings(self) -> Iterator[str]:
-        for x in self.items:
-            if isinstance(x, Node):
-                yield from x.strings() if x.name not in ("script", "style") else ()
-            else:
+        todo = list(reversed(self.items))
+        while todo:
+            x = todo.pop()
+            if not isinstance(x, Node):
                 yield x
+            elif x.name not in ("script", "style"):
+                todo.extend(reversed(x.items))
 
     def text(self) -> str:
         return " ".join(filter(None, (s.strip() for s in self.strings())))
@@ -136,10 +148,14 @@ def paragraph(p: Node) -> str:
     return p.text()
 
 
+def is_item(x: Node) -> bool:
+    return x.name == "li"
+
+
 def box(node: Node) -> str:
     head = node.find(cls="box__h2") or node.find("h2")
     summary = node.find("p", "text-box-highlight")
-    body = [x.text() for x in node.all() if x.name == "p" and x is not summary and not any(a.name == "li" for a in x.above())]
+    body = [x.text() for x, (in_item,) in node.under(is_item) if x.name == "p" and x is not summary and not in_item]
     told = [f"[BOX START: {head.text() if head else 'Box'}]", f"[Summary: {summary.text()}]" if summary and summary.text() else "", *body, "[BOX END]"]
     return "\n\n".join(filter(None, told))
 
@@ -148,15 +164,13 @@ def lines(root: Node, kind: str) -> Iterator[str]:
     """The document's lines with their marks, in order."""
     marks = {"h2": "## ", "h3": "### "} | ({"h1": "## "} if kind == "speech" else {})
     report = kind in ("MPR", "FSR")
-    boxes = [x for x in root.all() if report and x.has("box-highlight")]
-    for x in root.all():
-        if x in boxes:
-            if not any(a in boxes for a in x.above()):
-                yield box(x)
+    is_box = lambda x: report and x.has("box-highlight")
+    for x, (in_box, below_item) in root.under(is_box, is_item):
+        if is_box(x) and not in_box:
+            yield box(x)
+        if in_box or is_box(x):
             continue
-        if report and any(a in boxes for a in x.above()):
-            continue
-        in_item = any(a.name == "li" for a in x.above()) if kind != "MPC_minutes" else x.parent is not None and x.parent.name == "li"
+        in_item = below_item if kind != "MPC_minutes" else x.parent is not None and is_item(x.parent)
         if x.name in marks and not (report and in_item):
             told = x.text()
             yield marks[x.name] + told if told else ""
@@ -175,7 +189,7 @@ def extract(page: str | None, kind: str) -> tuple:
     whole = reader.root
     one = lambda x: " ".join(x.text().split()) if x else ""
     title = next((x for x in whole.all() if x.name == "h1" and x.attrs.get("itemprop") == "name"), None)
-    speaker = next((x for x in whole.all() if x.name == "h3" and any(a.has("med-block-cta") for a in x.above()) and any(a.has("col3") for a in x.above())), None)
+    speaker = next((x for x, within in whole.under(lambda a: a.has("med-block-cta"), lambda a: a.has("col3")) if x.name == "h3" and all(within)), None)
     facts = (one(title), one(speaker), one(whole.find("div", "published-date")))
     root = root_of(whole, kind)
     if root is None:
@@ -183,7 +197,8 @@ def extract(page: str | None, kind: str) -> tuple:
     charts = [x.find("h3", "img-title") for x in root.all() if kind in ("MPR", "FSR") and x.name == "div" and x.has("img-block") and not x.find("table")]
     found = tables(root) if kind in ("MPR", "FSR") else []
     titles = [f"[CHART: {x.text()}]" for x in charts if x]
-    hero = next((x for x in (root.parent.all() if kind == "speech" and root.parent else ()) if x.has("hero") and any(a.has("hero-paragraph") for a in x.above())), None)
+    heroes = root.parent.under(lambda a: a.has("hero-paragraph")) if kind == "speech" and root.parent else ()
+    hero = next((x for x, (within,) in heroes if x.has("hero") and within), None)
     for x in list(root.all()):
         if any(x.name == n and x.has(c) for n, c in CUT) or x.name == "a" and (x.attrs.get("id") or "").startswith("_Hlk"):
             x.drop()
@@ -191,14 +206,24 @@ def extract(page: str | None, kind: str) -> tuple:
     return ("\n\n".join(filter(None, told)), *facts, None)
 
 
+def told_or_error(page: str | None, kind: str) -> tuple:
+    """``extract``, with the error of a page that can't be read in its last place."""
+    try:
+        return extract(page, kind)
+    except Exception as failure:
+        return (None, "", "", "", f"{type(failure).__name__}: {failure}"[:500])
+
+
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        made = pd.DataFrame([extract(h, k) for h, k in zip(rows["html"], rows["document_type"], strict=True)], columns=[x.split()[0] for x in OUT.split(", ")], index=rows.index)
+        made = pd.DataFrame([told_or_error(h, k) for h, k in zip(rows["html"], rows["document_type"], strict=True)], columns=[x.split()[0] for x in OUT.split(", ")], index=rows.index)
         yield pd.concat([rows[["page_id"]], made], axis=1)
 
 
 def site_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, text, title, speaker, published, error) of ``pages`` (page_id, html, document_type)."""
+    """(page_id, text, title, speaker, published, error) of ``pages`` (page_id, html, document_type).
+
+    A page without a document or that can't be read has a null text and an error.
+    """
     found = pages.select("page_id", "html", "document_type").mapInPandas(_pages, f"page_id long, {OUT}")
-    compatible = F.pandas_udf(lambda s: s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore"), "string")
-    return found.withColumn("text", compatible(normalise_text(F.col("text"))))
+    return found.withColumn("text", normalise_text(F.col("text")))
