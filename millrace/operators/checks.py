@@ -48,7 +48,7 @@ def document_checks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     missing = F.array_except(required, F.coalesce("present", F.array().cast("array<string>")))
     in_source = reduce(lambda a, k: a | (F.array_contains(missing, k) & F.coalesce(F.col("text"), F.lit("")).rlike(MARKS[k])), MARKS, F.lit(False))
     no = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, "fail").otherwise("pass")
-    ratio = (F.col("tokens") - OVERLAP * (F.col("n") - 1)) / word_count(F.col("text"))
+    ratio = F.try_divide(F.col("tokens") - OVERLAP * (F.col("n") - 1), word_count(F.col("text")))
     results = {
         "chunk_count": F.when(F.col("n") < low, "fail").when(F.col("n") > high, "warn").otherwise("pass"),
         "required_categories": F.when(F.size(missing) == 0, "pass").when(in_source, "fail").otherwise("warn"),
@@ -69,7 +69,7 @@ def corpus_checks(enhanced: DataFrame, baseline: DataFrame) -> DataFrame:
     ids = enhanced.select("chunk_id").unionByName(baseline.select("chunk_id"))
     copies = ids.groupBy("chunk_id").count().agg(F.count_if(F.col("count") > 1).alias("copies"))
     own = enhanced.groupBy("doc_id").agg((F.sum("token_count") - OVERLAP * (F.count("*") - 1)).alias("t")).agg(F.sum("t").alias("t"))
-    ratio = own.crossJoin(baseline.agg(F.sum("token_count").alias("b"))).select((F.col("t") / F.col("b")).alias("ratio"))
+    ratio = own.crossJoin(baseline.agg(F.sum("token_count").alias("b"))).select(F.try_divide("t", "b").alias("ratio"))
     unique = copies.select(F.lit("unique_chunk_ids").alias("check"), F.when(F.col("copies") > 0, "fail").otherwise("pass").alias("status"))
     return unique.unionByName(ratio.select(F.lit("corpus_token_balance").alias("check"), F.when(F.col("ratio").between(*CORPUS_BALANCE), "pass").otherwise("warn").alias("status")))
 

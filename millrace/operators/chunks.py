@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import box_label, chapter_label, normalise_speaker, subsection_label, word_count, words
+from millrace.operators.folds import bind, cut_at, packed_at
 from millrace.operators.sections import body, categorised, merged, sections
 
 # The limits of chunks.
@@ -15,35 +16,19 @@ DROP_BELOW = 15
 KEEP_ANY_SIZE = ["vote", "member", "box"]
 
 
-def pack(units: Column, sizes, most: int, separator: str, most_units: int | None = None) -> Column:
+def pack(units: Column, sizes, most: int | Column, separator: str, most_units: int | None = None) -> Column:
     """Units joined in order to pieces of at most ``most``; a larger unit is a piece of its own.
 
     ``sizes`` gives a unit's size. ``most_units`` bounds the units of a piece.
-    The accumulator holds the finished pieces and the open one.
+    Null units give no pieces.
     """
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).cast("long").alias("size"))
+    return bind(F.coalesce(units, F.array().cast("array<string>")), lambda own: bind(F.transform(own, sizes), lambda w: cut_at(own, packed_at(w, most, most_units), lambda x: F.array_join(x, separator))))
 
-    def step(acc: Column, unit: Column) -> Column:
-        size = sizes(unit)
-        full = (F.size(acc["open"]) > 0) & (acc["size"] + size > most)
-        if most_units is not None:
-            full = full | (F.size(acc["open"]) >= most_units)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(unit)).otherwise(F.concat(acc["open"], F.array(unit))).alias("open"),
-            F.when(full, size).otherwise(acc["size"] + size).alias("size"),
-        )
 
-    def finish(acc: Column) -> Column:
-        pieces = F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        return F.transform(pieces, lambda p: F.array_join(p, separator))
-
-    return F.aggregate(units, start, step, finish)
-
-
-def word_slices(text: Column, most: int) -> Column:
+def word_slices(text: Column, most: int | Column) -> Column:
     """A text cut after every ``most`` words."""
-    found = F.transform(F.array(words(text)), lambda w: F.transform(F.sequence(F.lit(0), F.greatest((F.size(w) - 1).cast("int"), F.lit(0)), F.lit(most)), lambda k: F.array_join(F.slice(w, k + 1, F.lit(most)), " ")))
+    step = most if isinstance(most, Column) else F.lit(most)
+    found = F.transform(F.array(words(text)), lambda w: F.transform(F.sequence(F.lit(0), F.greatest((F.size(w) - 1).cast("int"), F.lit(0)), step), lambda k: F.array_join(F.slice(w, k + 1, step), " ")))
     return F.filter(F.get(found, F.lit(0)), lambda x: x != "")
 
 
@@ -51,9 +36,9 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
 
 
-def capped(pieces: Column, most: int) -> Column:
+def capped(pieces: Column, most: Column) -> Column:
     """Pieces that are still too large cut by words, with a margin."""
-    return F.flatten(F.transform(pieces, lambda p: F.when(word_count(p) <= most, F.array(p)).otherwise(word_slices(p, max(1, most - MARGIN)))))
+    return F.flatten(F.transform(pieces, lambda p: F.when(word_count(p) <= most, F.array(p)).otherwise(word_slices(p, F.greatest(most - MARGIN, F.lit(1))))))
 
 
 def overlapped(pieces: Column, overlap: int = OVERLAP) -> Column:
@@ -71,21 +56,17 @@ def marked(pieces: Column, heading: Column) -> Column:
     return F.transform(pieces, lambda p, i: F.when((i == 0) | p.startswith("[BOX START:"), p).otherwise(F.concat(mark, p)))
 
 
-def pieces_of(text: Column, is_box: Column, heading: Column) -> Column:
-    """The pieces of a section: whole within its limit, else packed paragraphs."""
-
-    def cut(most: int) -> Column:
-        blocks = paragraphs(text)
-        whole = F.when(F.size(blocks) > 1, pack(blocks, word_count, most, "\n\n")).otherwise(F.array(text))
-        return capped(whole, most)
-
-    size = word_count(text)
-    return (
-        F.when(text == "", F.array().cast("array<string>"))
-        .when(size <= F.when(is_box, BOX_MOST_WORDS).otherwise(MOST_WORDS), F.array(text))
-        .when(is_box, marked(cut(MOST_WORDS - BOX_MARK), heading))
-        .otherwise(overlapped(cut(MOST_WORDS - OVERLAP)))
-    )
+def with_pieces(found: DataFrame) -> DataFrame:
+    """``found`` (text, category, heading) with the pieces of each section: whole within its limit, else packed paragraphs."""
+    box = F.col("category") == "box_analysis"
+    sized = found.withColumn("fits_", word_count(F.col("text")) <= F.when(box, BOX_MOST_WORDS).otherwise(MOST_WORDS))
+    sized = sized.withColumn("most_", F.when(box, MOST_WORDS - BOX_MARK).otherwise(MOST_WORDS - OVERLAP))
+    # What fits has no blocks, so that nothing is packed there.
+    cut = sized.withColumn("blocks_", F.when(~F.col("fits_"), paragraphs(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    cut = cut.withColumn("whole_", F.when(F.size("blocks_") > 1, pack(F.col("blocks_"), word_count, F.col("most_"), "\n\n")).when(~F.col("fits_"), F.array("text")))
+    cut = cut.withColumn("cut_", capped(F.col("whole_"), F.col("most_")))
+    pieces = F.when(F.col("text") == "", F.array().cast("array<string>")).when(F.col("fits_"), F.array("text")).when(box, marked(F.col("cut_"), F.col("heading"))).otherwise(overlapped(F.col("cut_")))
+    return cut.withColumn("pieces", pieces).drop("fits_", "most_", "blocks_", "whole_", "cut_")
 
 
 def paragraph_range(document_type: Column, piece: Column, n_pieces: Column) -> Column:
@@ -114,7 +95,7 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     facts = docs.select("doc_id", "document_type", "date", "title", "source_url", F.col("speaker").alias("doc_speaker"))
     known = sections(docs.select("doc_id", "text")).join(docs.select("doc_id", F.col("document_type")), "doc_id")
     joined = merged(categorised(known, F.col("document_type"))).withColumn("text", body(F.col("lines")))
-    found = joined.withColumn("pieces", pieces_of(F.col("text"), F.col("category") == "box_analysis", F.col("heading"))).drop("text")
+    found = with_pieces(joined).drop("text")
     found = found.select("*", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece", "text")).drop("pieces")
     found = found.withColumn("token_count", word_count(F.col("text"))).filter(F.col("section_type").isin(KEEP_ANY_SIZE) | (F.col("token_count") >= DROP_BELOW))
     found = found.join(facts, "doc_id").withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "piece")))

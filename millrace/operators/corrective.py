@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ABSTAIN, NOTHING_FOUND, clean, words
+from millrace.functions.text import ABSTAIN, NOTHING_FOUND, clean
 
 # Chunks that are retrieved and kept, and how often a step is repeated.
 BASELINE_K, CORRECTIVE_K, RERANK_N = 5, 10, 5
@@ -27,8 +27,7 @@ RESULT = ["question_id", "question", "answer", "pipeline", "chunks_retrieved", "
 
 def terms(text: Column) -> Column:
     """The different lower-case words of a text, without outer punctuation."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+", " ")
-    return F.array_distinct(words(plain))
+    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
 
 
 def share(of: Column, among: Column) -> Column:
@@ -53,23 +52,26 @@ class Models:
     grounded: Callable[[Column, Column], Column] = field(default=lambda answer, texts: share(answer, F.array_join(texts, " ")) >= 1.0)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id) of each chunk."""
-    return chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term"))
+def term_lists(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, terms) of each chunk."""
+    return chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int, filters: list[str] | None = None, posted: DataFrame | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int, filters: list[str] | None = None, listed: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_id, text, score, rank): the k chunks with the most question terms, ties by chunk_id.
 
-    Questions and chunks meet on terms, with counts added up before ranking;
-    only the k best of a question fetch their texts. Filters with a value must
-    equal the chunk's. ``posted`` takes the chunks' postings where they are kept.
+    Only terms that a question has leave their chunk. They are dealt by chunk,
+    where each meets the questions and all terms of a pair are counted; the k
+    best of each task alone are moved, and only the k best of a question fetch
+    their texts. Filters with a value must equal the chunk's. ``listed`` takes
+    the chunks' terms where they are kept.
     """
     asked = questions.select("question_id", F.explode(terms(F.coalesce("rewritten", "question"))).alias("term"))
     if questions.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         asked = F.broadcast(asked)
     sizes = questions.select("question_id", F.size(terms(F.coalesce("rewritten", "question"))).alias("n_terms"))
-    hits = asked.join(postings(chunks) if posted is None else posted, "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("hits"))
+    posted = (term_lists(chunks) if listed is None else listed).select("chunk_id", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = posted.repartition("chunk_id").join(asked, "term").groupBy("chunk_id", "question_id").agg(F.count("*").alias("hits"))
     if filters:
         allowed = chunks.select("chunk_id", *[F.col(c).alias(f"c_{c}") for c in filters])
         wanted = questions.select("question_id", *[clean(F.col(c)).alias(f"q_{c}") for c in filters])
@@ -130,10 +132,10 @@ def corrective(questions: DataFrame, chunks: DataFrame, models: Models | None =
     outside = analysed.filter(F.col("out_of_corpus").eqNullSafe(True))
     inside = analysed.filter(~F.col("out_of_corpus").eqNullSafe(True))
     used = [c for c in FILTERS if c in chunks.columns]
-    posted = keep(postings(chunks))
+    listed = keep(term_lists(chunks))
 
     def graded(who: DataFrame, filters: list[str]) -> tuple[DataFrame, DataFrame]:
-        found = keep(retrieve(who, chunks, CORRECTIVE_K, filters, posted))
+        found = keep(retrieve(who, chunks, CORRECTIVE_K, filters, listed))
         counts = found.groupBy("question_id").agg(F.count("*").alias("chunks_retrieved"))
         judged = found.join(who.select("question_id", "question", "rewritten"), "question_id").filter(models.relevant(F.col("question"), F.col("text")))
         return keep(judged), counts

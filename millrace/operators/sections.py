@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import category, word_count
+from millrace.operators.folds import cut_at, merged_at
 
 # The marks of sections.
 H2, H3 = r"^## (.+)$", r"^### (.+)$"
@@ -89,7 +90,7 @@ def categorised(found: DataFrame, document_type: Column) -> DataFrame:
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """Neighbouring small sections of one category joined, in a fold over each document's sections.
+    """Neighbouring small sections of one category joined.
 
     A section joins the one before it, with all that has joined that, if both
     are of the same category, which is not one of ``APART``, and both are
@@ -97,20 +98,16 @@ def merged(found: DataFrame) -> DataFrame:
     """
     fields = ["heading", "section_type", "lines", "paragraph_numbers", "speaker", "parent_h2", "parent_h3", "category", "tokens"]
     listed = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("s"))
-    kind = f"array<{found.select(F.struct(*fields).alias('x')).schema['x'].dataType.simpleString()}>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = (last["category"] == x["category"]) & ~x["category"].isin(APART) & (last["tokens"] < MERGE_BELOW) & (x["tokens"] < MERGE_BELOW)
-        either = lambda c: F.coalesce(F.when(last[c] != "", last[c]), x[c])
-        lines = F.concat(last["lines"], x["lines"])
-        both = F.struct(
-            either("heading").alias("heading"), last["section_type"].alias("section_type"), lines.alias("lines"),
-            F.concat(last["paragraph_numbers"], x["paragraph_numbers"]).alias("paragraph_numbers"), either("speaker").alias("speaker"),
-            either("parent_h2").alias("parent_h2"), either("parent_h3").alias("parent_h3"), x["category"].alias("category"), word_count(body(lines)).alias("tokens"),
+    facts = F.transform("s", lambda x: F.struct(F.when(~x["category"].isin(APART), x["category"]).alias("kind"), x["tokens"].alias("size")))
+
+    def joined(run: Column) -> Column:
+        first = lambda c: F.get(run, F.lit(0))[c]
+        either = lambda c: F.coalesce(F.get(F.filter(F.transform(run, lambda x: x[c]), lambda v: v != ""), F.lit(0)), F.element_at(run, -1)[c])
+        every = lambda c: F.flatten(F.transform(run, lambda x: x[c]))
+        return F.struct(
+            either("heading").alias("heading"), first("section_type").alias("section_type"), every("lines").alias("lines"), every("paragraph_numbers").alias("paragraph_numbers"), either("speaker").alias("speaker"),
+            either("parent_h2").alias("parent_h2"), either("parent_h3").alias("parent_h3"), first("category").alias("category"), F.aggregate(run, F.lit(0).cast("long"), lambda t, x: t + x["tokens"]).alias("tokens"),
         )
-        own = F.struct(*[x[c].alias(c) for c in fields])
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(own)))
 
-    folded = listed.select("doc_id", F.aggregate("s", F.array().cast(kind), step).alias("s"))
-    return folded.select("doc_id", F.posexplode("s").alias("seq", "x")).select("doc_id", (F.col("seq") + 1).alias("seq"), "x.*")
+    folded = listed.select("doc_id", F.posexplode(cut_at(F.col("s"), merged_at(facts, MERGE_BELOW), joined)).alias("seq", "x"))
+    return folded.select("doc_id", (F.col("seq") + 1).alias("seq"), "x.*")

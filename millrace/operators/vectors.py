@@ -26,7 +26,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """The cosine of two vectors; null if one is null or has no length."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -136,9 +137,9 @@ def filter_or_null(x: str, y: str, columns: list[str]) -> Column:
 
 
 def nearest(collection: DataFrame, query: list[float], k: int, filters: dict | None = None) -> DataFrame:
-    """The k rows of ``collection`` (vec_id, embedding) nearest to one vector, ties by vec_id."""
+    """The k rows of ``collection`` (vec_id, embedding) nearest to one vector, ties by vec_id; vectors without length are no one's neighbours."""
     score = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
-    scored = collection.filter(matches(filters or {})).select("vec_id", score.alias("raw"))
+    scored = collection.filter(matches(filters or {})).select("vec_id", score.alias("raw")).filter("raw is not null")
     return scored.orderBy(F.desc("raw"), "vec_id").limit(k).select("vec_id", F.round("raw", 4).alias("score"))
 
 
@@ -155,7 +156,7 @@ def nearest_batch(collection: DataFrame, queries: DataFrame, k: int, columns: li
     for block in range(parts):
         own = F.broadcast(numbered.filter(F.col("block_") == block))
         pairs = collection.alias("c").join(own.alias("q"), filter_or_null("q", "c", columns or []) & F.col("c.vec_id").isNotNull(), "inner")
-        scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("raw"))
+        scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("raw")).filter("raw is not null")
         out = scored if out is None else out.unionByName(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("raw", 4).alias("score"))
