@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.jobs.ask import ask
 from millrace.jobs.registry import register, table
 from millrace.operators import corrective as C
+from millrace.operators.collection import search
 
 TERMS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda w: w <> ''))"
 #: Term counts of each question and document, and the documents in order for each question.
@@ -112,3 +113,61 @@ def question_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses to the items, some of which were left blank."""
     asked = questions(spark, sf_dir).withColumn("question", F.when(F.col("question_id") % 9 == 0, "  ").otherwise(F.col("question")))
     return ask(asked, library(spark, sf_dir), "baseline").select("question_id", "answer_preview", "is_abstain", "error")
+
+
+def _odd(question: str, texts: list[str], strict: bool) -> str:
+    if len(question) % 5 == 0:
+        raise ValueError(f"length {len(question)}")
+    return texts[0].split("\n", 1)[0]
+
+
+@register(
+    f"""{BASE}, qq AS (SELECT *, '' AS want FROM q), {_hits('h', 'qq', 5)}, f AS (SELECT question_id, count(*) AS n, max(CASE WHEN rank = 1 THEN text END) AS top FROM h JOIN d USING (chunk_id) GROUP BY question_id),
+    a AS (SELECT question_id, n, top, length(question) AS size, n IS NOT NULL AND length(question) % 5 = 0 AS bad FROM q LEFT JOIN f USING (question_id))
+    SELECT question_id, CASE WHEN n IS NULL THEN 'No relevant documents found.' WHEN bad THEN '[Pipeline error: ValueError: length ' || size || ']' ELSE split_part(top, chr(10), 1) END AS answer,
+    CASE WHEN bad THEN 0 ELSE coalesce(n, 0) END AS chunks_used, CASE WHEN bad THEN 'error' WHEN n IS NULL THEN 'retrieve' ELSE 'retrieve,generate' END AS trace FROM a"""
+)
+def answers_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model in Python that fails for some questions, each of which gets an error row."""
+    found = C.baseline(questions(spark, sf_dir), library(spark, sf_dir), C.Models(generate=C.guarded(_odd)))
+    return found.select("question_id", "answer", "chunks_used", F.array_join("trace", ",").alias("trace"))
+
+
+VECTORS = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, text FROM embeddings JOIN documents ON vec_id = doc_id),
+  n AS (SELECT question_id, vec_id, text, question, raw, row_number() OVER (PARTITION BY question_id ORDER BY raw DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS question_id, e.vec_id, e.text, q.text AS question, list_cosine_similarity(e.v, q.v) AS raw FROM e, e q WHERE q.vec_id % 100 = 0{}))"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, C.Retriever]:
+    """Questions that are documents' texts, the documents with their vectors as records, and search among them."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("document_type"))
+    records = vectors.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    asked = records.filter("id % 100 = 0").select(F.col("id").alias("question_id"), F.col("text").alias("question"), "document_type")
+    embed = lambda df: df.join(vectors.select(F.col("id").alias("question_id"), "embedding"), "question_id")
+    return asked, records, lambda who, k, filters: search(records, embed, who, k, filters)
+
+
+@register(
+    VECTORS.format("") + """ SELECT question_id, split_part(max(CASE WHEN rank = 1 THEN text END), chr(10), 1) AS answer, count(*) AS chunks_used, 'retrieve,generate' AS trace FROM n WHERE rank <= 5 GROUP BY question_id"""
+)
+def vector_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain pipeline over vectors."""
+    asked, _, search_ = _vectors(spark, sf_dir)
+    found = C.baseline(asked, None, search=search_)
+    return found.select("question_id", "answer", "chunks_used", F.array_join("trace", ",").alias("trace"))
+
+
+@register(
+    VECTORS.format(" AND e.label = q.label") + f""", t AS (SELECT question_id, vec_id, rank, {TERMS.format('question')} AS qt, {TERMS.format('text')} AS dt FROM n WHERE rank <= 10),
+    g AS (SELECT question_id, vec_id, rank, {_share('qt', 'dt')} AS value FROM t WHERE {_share('qt', 'dt')} >= 0.5),
+    p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(value, 6) DESC, rank) AS place FROM g)
+    SELECT question_id, max(CASE WHEN place = 1 THEN vec_id END) AS top_id, least(count(*), 5) AS chunks_used, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY place) FILTER (place <= 5) AS ids FROM p GROUP BY question_id"""
+)
+def corrective_vector_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrective pipeline over vectors, each question among records of its own label."""
+    asked, _, search_ = _vectors(spark, sf_dir)
+    labels = asked.select("question_id", "document_type")
+    models = C.Models(analyse=lambda df: df.join(labels, "question_id"))
+    found = C.corrective(asked, None, models, search_, ["document_type"])
+    ids = F.array_join(F.transform("post_rerank_ids", lambda x: x.cast("string")), ",")
+    return found.select("question_id", F.get("post_rerank_ids", F.lit(0)).cast("long").alias("top_id"), "chunks_used", ids.alias("ids"))

@@ -41,6 +41,20 @@ def nearest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_batch(all_, queries, 5, ["label"])
 
 
+@register(
+    f"""SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(raw, 4) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, {COSINE.format('c.embedding', 'q.embedding')} AS raw FROM embeddings c, embeddings q
+    WHERE q.vec_id % 100 = 0 AND q.vec_id % 7 <> 0 AND q.vec_id % 11 <> 0 AND c.vec_id % 7 <> 0 AND c.vec_id % 11 <> 0)) WHERE rank <= 3"""
+)
+def nearest_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of which some are null or have no length, as records and as queries."""
+    own = F.when(F.col("vec_id") % 11 == 0, None).when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("embedding"))
+    all_ = table(spark, sf_dir, "embeddings").select("vec_id", own.alias("embedding"))
+    queries = all_.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors.nearest_batch(all_, queries, 3)
+
+
 @register(
     """SELECT vec_id, label, sha256(CAST(vec_id AS VARCHAR) || ':' || CAST(label AS VARCHAR)) AS mark FROM (
     SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0)"""

@@ -132,3 +132,34 @@ def corrective_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_chars") % 11).alias("chunks_retrieved"), (F.col("n_chars") % 6).alias("chunks_used"), F.when(top > 0, ids).otherwise(none).alias("pre_rerank_ids"), F.when(top > 0, F.array(top.cast("string"))).otherwise(none).alias("post_rerank_ids"),
     )
     return evaluation.corrective_rates(results, results.filter("question_id % 12 = 0").select("question_id"))
+
+
+TERMS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda w: w <> ''))"
+_share = lambda a, b: f"len(list_intersect({a}, {b})) / nullif(len({a}), 0)"
+
+
+@register(
+    f"""WITH c AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS question, arg_min(text, turn) FILTER (role = 'assistant') AS answer,
+      list(text ORDER BY turn) FILTER (role = 'user') AS contexts, arg_max(text, turn) AS reference FROM conversations GROUP BY conv_id),
+    r AS (SELECT conv_id, conv_id % 10 = 0 AS bare, contexts, {TERMS.format('question')} AS q, {TERMS.format('answer')} AS a, {TERMS.format("array_to_string(contexts, ' ')")} AS x, {TERMS.format('reference')} AS ref
+      FROM c WHERE question IS NOT NULL AND answer IS NOT NULL),
+    f AS (SELECT conv_id, i, coalesce({_share('ref', 't')} >= 0.5, false) AS hit FROM (SELECT conv_id, ref, i, {TERMS.format('context')} AS t FROM (SELECT conv_id, ref, unnest(contexts) AS context, generate_subscripts(contexts, 1) AS i FROM r))),
+    p AS (SELECT conv_id, avg(so_far / i) FILTER (hit) AS score FROM (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY conv_id ORDER BY i) AS so_far FROM f) GROUP BY conv_id),
+    m AS (SELECT conv_id, 'faithfulness' AS metric, bare, {_share('a', 'x')} AS score FROM r UNION ALL SELECT conv_id, 'answer_relevancy', false, {_share('q', 'a')} FROM r
+      UNION ALL SELECT conv_id, 'context_precision_with_reference', bare, coalesce(p.score, 0) FROM r JOIN p USING (conv_id) UNION ALL SELECT conv_id, 'context_recall', bare, {_share('ref', 'x')} FROM r)
+    SELECT conv_id AS question_id, metric, CASE WHEN NOT bare THEN round(score, 9) END AS score, CASE WHEN bare THEN 'abstain' END AS skipped FROM m"""
+)
+def metric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations scored by all four metrics: the first answer to the first question, what the user said as context, the last turn as reference."""
+    said = table(spark, sf_dir, "conversations")
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    ordered = F.array_sort(F.collect_list(F.when(user, F.struct("turn", "text"))))
+    rows = said.groupBy("conv_id").agg(
+        F.min_by("text", F.when(user, F.col("turn"))).alias("question"), F.min_by("text", F.when(reply, F.col("turn"))).alias("answer"),
+        F.transform(ordered, lambda x: x["text"]).alias("contexts"), F.max_by("text", "turn").alias("reference"), F.count_if(user).alias("users"), F.count_if(reply).alias("replies"),
+    )
+    rows = rows.filter("users > 0 and replies > 0").withColumn("contexts", F.when(F.col("conv_id") % 10 == 0, F.array().cast("array<string>")).otherwise(F.col("contexts")))
+    rows = rows.select(F.lit("talk").alias("pipeline"), F.col("conv_id").alias("question_id"), "question", "answer", "contexts", "reference")
+    done = rows.limit(0).select("pipeline", "question_id", F.lit("").alias("metric"), F.lit("").alias("err"))
+    plan = evaluation.scoring_plan(rows.withColumn("has_context", F.size("contexts") > 0), evaluation.METRICS, done)
+    return evaluation.scored(plan, rows, evaluation.LEXICAL).select("question_id", "metric", F.round("score", 9).alias("score"), "skipped")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,30 @@ def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise_text(F.col("text")), 256).alias("text_sha256"))
 
 
+@register("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+def compatible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with ligatures, wide letters and decomposed accents in places, which normalising takes back."""
+    odd = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), [("fi", "\ufb01"), ("e", "\uff45"), ("é", "e\u0301"), ("ñ", "n\u0303")], F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise_text(odd), 256).alias("text_sha256"))
+
+
+@register(
+    f"""WITH RECURSIVE lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, 2 + {WORDS.format('line')} AS w
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+    fold AS (SELECT doc_id, k, w, w AS size, 1 AS piece FROM lines WHERE k = 1
+      UNION ALL SELECT l.doc_id, l.k, l.w, CASE WHEN f.size < 150 AND l.w < 150 THEN f.size + l.w ELSE l.w END, f.piece + CASE WHEN f.size < 150 AND l.w < 150 THEN 0 ELSE 1 END
+      FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.k = f.k + 1)
+    SELECT doc_id, CAST(piece AS INTEGER) AS seq, 'Note' AS heading, 'policy_discussion' AS category, CAST(count(*) AS BIGINT) AS n_parts, CAST(sum(w) AS BIGINT) AS tokens FROM fold GROUP BY doc_id, piece"""
+)
+def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as a section of its own, of which small neighbours merge."""
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("## Note\n"), x)), "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
+    found = sections.merged(sections.categorised(sections.sections(docs), F.lit("MPC_minutes")))
+    parts = F.size(F.filter("lines", lambda x: x == "## Note")).cast("long")
+    return found.select("doc_id", F.col("seq").cast("int").alias("seq"), "heading", "category", parts.alias("n_parts"), "tokens")
+
+
 @register(
     f"""SELECT 'doc_' || doc_id || '.txt' AS filename, source AS document_type, 'doc_' || doc_id || '.txt' AS title,
     CAST(CASE WHEN text IS NULL THEN 0 ELSE {WORDS.format('text')} END AS INTEGER) AS word_count, CASE WHEN text IS NULL THEN 'missing' ELSE 'ok' END AS status FROM documents"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from millrace.functions.text import ABSTAIN, NOTHING_FOUND, clean
 BASELINE_K, CORRECTIVE_K, RERANK_N = 5, 10, 5
 #: Questions whose terms go to all tasks; those of more meet the chunks' terms by a shuffle.
 MOST_BROADCAST = 2_000
+#: How the answer of a model that failed begins.
+FAILED = "[Pipeline error"
 FILTERS = ["document_type", "date", "section_category", "speaker"]
 RESULT = ["question_id", "question", "answer", "pipeline", "chunks_retrieved", "chunks_used", "rewrites", "failures", "is_grounded", "filters", "trace", "pre_rerank_ids", "post_rerank_ids"]
 
@@ -94,29 +97,74 @@ def _steps(*names: str) -> Column:
     return F.array(*map(F.lit, names))
 
 
-def baseline(questions: DataFrame, chunks: DataFrame, models: Models | None = None) -> DataFrame:
-    """Retrieve the best five, answer from them; without any, say so and ask no model."""
+def failed(answer: Column) -> Column:
+    """Whether a model failed: its answer tells the error."""
+    return F.coalesce(answer.startswith(FAILED), F.lit(False))
+
+
+def with_error_rows(results: DataFrame) -> DataFrame:
+    """Results whose model failed as error rows: the error as answer and trace, nothing retrieved, used or grounded."""
+    bad, none = failed(F.col("answer")), F.array().cast("array<string>")
+    instead = {
+        **dict.fromkeys(["chunks_retrieved", "chunks_used", "rewrites", "failures"], F.lit(0)), "is_grounded": F.lit(None).cast("boolean"), "filters": F.lit(None).cast("string"),
+        "trace": _steps("error"), "pre_rerank_ids": none, "post_rerank_ids": none,
+    }
+    kinds = dict(results.dtypes)
+    return results.select(*(F.when(bad, instead[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in instead else F.col(c) for c in results.columns))
+
+
+def guarded(model: Callable[[str, list[str], bool], str]) -> Callable[[Column, Column, bool], Column]:
+    """A Python model of question, context texts and strictness for ``Models.generate``; an exception is an answer that tells it."""
+
+    def generate(question: Column, texts: Column, strict: bool) -> Column:
+        @F.pandas_udf("string")
+        def answers(questions: pd.Series, contexts: pd.Series) -> pd.Series:
+            def one(asked: str, found: list[str] | None) -> str:
+                try:
+                    return model(asked, list(found) if found is not None else [], strict)
+                except Exception as error:
+                    return f"{FAILED}: {type(error).__name__}: {error}]"
+
+            return pd.Series([one(q, c) for q, c in zip(questions, contexts, strict=True)])
+
+        return answers.asNondeterministic()(question, texts)
+
+    return generate
+
+
+#: Retrieval by other means: chunks of questions (question_id, question, rewritten, filters), k of each, under the named filters.
+Retriever = Callable[[DataFrame, int, list[str]], DataFrame]
+
+
+def baseline(questions: DataFrame, chunks: DataFrame | None, models: Models | None = None, search: Retriever | None = None) -> DataFrame:
+    """Retrieve the best five, answer from them; without any, say so and ask no model.
+
+    ``search`` takes the place of retrieval by words, such as ``Collection.search``.
+    """
     models = models or Models()
     plain = questions.select("question_id", "question").withColumn("rewritten", F.lit(None).cast("string"))
-    found = plain.join(_listed(retrieve(plain, chunks, BASELINE_K), "rank"), "question_id", "left")
+    best = search(plain, BASELINE_K, []) if search else retrieve(plain, chunks, BASELINE_K)
+    found = plain.join(_listed(best, "rank"), "question_id", "left")
     some = F.col("ids").isNotNull()
     n = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
     n = F.when(some, n).otherwise(F.lit(0).cast("long"))
     none = F.array().cast("array<string>")
-    return found.select(
+    results = found.select(
         "question_id", "question", F.when(some, models.generate(F.col("question"), F.col("texts"), False)).otherwise(NOTHING_FOUND).alias("answer"), F.lit("baseline").alias("pipeline"),
         n.alias("chunks_retrieved"), n.alias("chunks_used"), F.lit(0).alias("rewrites"), F.lit(0).alias("failures"), F.lit(None).cast("boolean").alias("is_grounded"),
         F.lit(None).cast("string").alias("filters"), F.when(some, _steps("retrieve", "generate")).otherwise(_steps("retrieve")).alias("trace"), none.alias("pre_rerank_ids"), none.alias("post_rerank_ids"),
     )
+    return with_error_rows(results)
 
 
-def corrective(questions: DataFrame, chunks: DataFrame, models: Models | None = None) -> DataFrame:
+def corrective(questions: DataFrame, chunks: DataFrame | None, models: Models | None = None, search: Retriever | None = None, filters: list[str] | None = None) -> DataFrame:
     """Scope gate, filtered retrieval, grading, one rewrite, reranking, generation, check, one regeneration.
 
     ``questions`` has question_id and question. Grading, generation and its
     check see the question as asked; retrieval and reranking the rewritten
     one. Results of model steps are kept on disk where several branches use
-    them, so that no model runs twice.
+    them, so that no model runs twice. ``search`` takes the place of retrieval
+    by words; ``filters`` names what it can filter by, if there are no chunks to tell.
     """
     models = models or Models()
     keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -131,11 +179,11 @@ def corrective(questions: DataFrame, chunks: DataFrame, models: Models | None =
     analysed = keep(analysed.withColumn("filters", F.when(described != "{}", described)).withColumn("rewritten", F.lit(None).cast("string")))
     outside = analysed.filter(F.col("out_of_corpus").eqNullSafe(True))
     inside = analysed.filter(~F.col("out_of_corpus").eqNullSafe(True))
-    used = [c for c in FILTERS if c in chunks.columns]
-    listed = keep(term_lists(chunks))
+    used = filters if filters is not None else [c for c in FILTERS if chunks is not None and c in chunks.columns]
+    listed = None if search else keep(term_lists(chunks))
 
     def graded(who: DataFrame, filters: list[str]) -> tuple[DataFrame, DataFrame]:
-        found = keep(retrieve(who, chunks, CORRECTIVE_K, filters, listed))
+        found = keep(search(who, CORRECTIVE_K, filters) if search else retrieve(who, chunks, CORRECTIVE_K, filters, listed))
         counts = found.groupBy("question_id").agg(F.count("*").alias("chunks_retrieved"))
         judged = found.join(who.select("question_id", "question", "rewritten"), "question_id").filter(models.relevant(F.col("question"), F.col("text")))
         return keep(judged), counts
@@ -161,6 +209,7 @@ def corrective(questions: DataFrame, chunks: DataFrame, models: Models | None =
     )
     answered = answered.withColumn("answer", models.generate(F.col("question"), F.col("texts"), False))
     answered = keep(answered.withColumn("ok", models.grounded(F.col("answer"), F.col("texts"))))
+    answered = answered.withColumn("ok", F.col("ok") | failed(F.col("answer")))  # a failure is not asked again
     first = answered.filter("ok").withColumn("failures", F.lit(0)).withColumn("is_grounded", F.lit(True))
     second = answered.filter("not coalesce(ok, false)").withColumn("answer", models.generate(F.col("question"), F.col("texts"), True))
     second = second.withColumn("is_grounded", F.coalesce(models.grounded(F.col("answer"), F.col("texts")), F.lit(False)))
@@ -182,4 +231,4 @@ def corrective(questions: DataFrame, chunks: DataFrame, models: Models | None =
     no_chunks = given_up.join(counts2, "question_id", "left").withColumn("chunks_retrieved", F.coalesce("chunks_retrieved", F.lit(0)).cast("long"))
     out_rows = abstained(outside.withColumn("chunks_retrieved", F.lit(0).cast("long")).withColumn("filters", F.lit(None).cast("string")), 0, ["analyze_query", "abstain_out_of_corpus"])
     result = done.unionByName(abstained(no_chunks, 1, [*base, *round_, "abstain"])).unionByName(out_rows)
-    return result.withColumn("pipeline", F.lit("corrective")).select(RESULT)
+    return with_error_rows(result.withColumn("pipeline", F.lit("corrective")).select(RESULT))

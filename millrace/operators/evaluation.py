@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.corrective import failed, terms
+
 # The metrics, those that need context, and bounds of a judge's divergence.
 METRICS = ["faithfulness", "answer_relevancy", "context_precision_with_reference", "context_recall"]
 NEED_CONTEXT = ["faithfulness", "context_precision_with_reference", "context_recall"]
@@ -27,6 +32,70 @@ def scoring_plan(rows: DataFrame, metrics: list[str], done: DataFrame, retry_err
     return left.select("pipeline", "question_id", "metric", F.when(F.col("metric").isin(NEED_CONTEXT) & ~F.col("has_context"), "abstain").alias("skipped"))
 
 
+def _among(mine: Column, others: Column) -> Column:
+    """The share of terms that are among others; null for none."""
+    return F.try_divide(F.size(F.array_intersect(mine, others)), F.size(mine))
+
+
+def _precision(contexts: Column, reference: Column) -> Column:
+    """Mean precision at each context that holds half of the reference's terms; 0 if none does."""
+    own = terms(reference)
+    useful = F.transform(contexts, lambda x: F.coalesce(_among(own, terms(x)) >= 0.5, F.lit(False)))
+
+    def mean(flags: Column) -> Column:
+        at = F.transform(flags, lambda hit, i: F.when(hit, F.size(F.filter(F.slice(flags, F.lit(1), i + 1), lambda y: y)) / (i + 1)).otherwise(F.lit(0.0)))
+        hits = F.size(F.filter(flags, lambda y: y))
+        return F.coalesce(F.try_divide(F.aggregate(at, F.lit(0.0), lambda t, x: t + x), hits), F.lit(0.0))
+
+    return F.get(F.transform(F.array(useful), mean), F.lit(0))
+
+
+#: The metrics as shares of words, which need no judge: of (question, answer, contexts, reference).
+LEXICAL = {
+    "faithfulness": lambda q, a, c, r: _among(terms(a), terms(F.array_join(c, " "))),
+    "answer_relevancy": lambda q, a, c, r: _among(terms(q), terms(a)),
+    "context_precision_with_reference": lambda q, a, c, r: _precision(c, r),
+    "context_recall": lambda q, a, c, r: _among(terms(r), terms(F.array_join(c, " "))),
+}
+
+
+def judged(judge: Callable[[str, str, list[str], str], float]) -> Callable[[Column, Column, Column, Column], Column]:
+    """A metric by a Python judge of question, answer, contexts and reference; an exception is an error of at most 500 characters."""
+
+    def metric(question: Column, answer: Column, contexts: Column, reference: Column) -> Column:
+        @F.pandas_udf("score double, err string")
+        def scores(q: pd.Series, a: pd.Series, c: pd.Series, r: pd.Series) -> pd.DataFrame:
+            out = []
+            for row in zip(q, a, c, r, strict=True):
+                try:
+                    out.append((float(judge(row[0], row[1], list(row[2]), row[3])), None))
+                except Exception as error:
+                    out.append((None, f"{type(error).__name__}: {error}"[:500]))
+            return pd.DataFrame(out, columns=["score", "err"]).astype({"score": "float64", "err": "object"})
+
+        return scores.asNondeterministic()(question, answer, contexts, reference)
+
+    return metric
+
+
+def scored(plan: DataFrame, rows: DataFrame, metrics: dict[str, Callable[..., Column]]) -> DataFrame:
+    """(pipeline, question_id, metric, score, skipped, err) of each row of a ``scoring_plan``.
+
+    ``rows`` has pipeline, question_id, question, answer, contexts and
+    reference. What the plan skips has no score and asks no judge: each metric
+    runs over its own rows only.
+    """
+    todo = plan.filter("skipped is null").join(rows.select("pipeline", "question_id", "question", "answer", "contexts", "reference"), ["pipeline", "question_id"])
+    none = F.lit(None).cast("string")
+    out = plan.filter("skipped is not null").select("pipeline", "question_id", "metric", F.lit(None).cast("double").alias("score"), "skipped", none.alias("err"))
+    for name, metric in metrics.items():
+        value = metric(F.col("question"), F.col("answer"), F.col("contexts"), F.col("reference"))
+        own = todo.filter(F.col("metric") == name).withColumn("x", value)
+        nested = own.schema["x"].dataType.typeName() == "struct"
+        out = out.unionByName(own.select("pipeline", "question_id", "metric", (F.col("x.score") if nested else F.col("x")).cast("double").alias("score"), none.alias("skipped"), (F.col("x.err") if nested else none).alias("err")))
+    return out
+
+
 def last_write(records: DataFrame, keys: list[str], position: str) -> DataFrame:
     """The last record of each key; a max over structs, combined before the shuffle."""
     rest = [c for c in records.columns if c not in keys]
@@ -83,6 +152,17 @@ def divergence_summary(rows: DataFrame) -> DataFrame:
     return found.withColumn("verdict", F.when(F.col("max_diff") < MINOR, "minor").when(F.col("max_diff") < MATERIAL, "moderate").otherwise("material"))
 
 
+def worst(rows: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    """The n pairs on which the judges differ most, ties by key."""
+    return rows.orderBy(F.desc("diff"), *keys).limit(n)
+
+
+def trace_shifts(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after): how many steps the results took that take another number now."""
+    x, y = before.select(key, F.size("trace").alias("before")), after.select(key, F.size("trace").alias("after"))
+    return x.join(y, key).filter("before <> after")
+
+
 def set_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, change): what only one of two sets has."""
     added = after.select(key).distinct().join(before.select(key), key, "left_anti").withColumn("change", F.lit("added"))
@@ -118,7 +198,7 @@ def corrective_rates(results: DataFrame, should_abstain: DataFrame) -> DataFrame
 def run_counters(results: DataFrame) -> DataFrame:
     """Errors, abstentions after retrieval, rewrites and failed checks of a run."""
     return results.agg(
-        F.count_if(F.col("answer").startswith("[Pipeline error")).alias("errors"), F.count_if(F.array_contains("trace", "abstain")).alias("abstains"),
+        F.count_if(failed(F.col("answer"))).alias("errors"), F.count_if(F.array_contains("trace", "abstain")).alias("abstains"),
         F.coalesce(F.sum("rewrites"), F.lit(0)).alias("rewrites"), F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"),
     )
 

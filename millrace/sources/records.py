@@ -28,7 +28,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A report as CSV with a header; doubles with four places, null as nothing."""
-    shown = [F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("")).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
+    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
     df.select(*shown).write.mode("overwrite").csv(path, header=True)
 
 
