@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes of a batch that goes to Python, besides its last row.
-BATCH_BYTES = 1 << 22
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes of a batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22
 
 
 def _session_dir(spark: SparkSession) -> str:
@@ -45,8 +44,13 @@ def discard(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of a batch, so that one of long texts fits beside the heap."""
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    """Bound the batches that go to Python, so that one of long texts fits beside the heap.
+
+    The session keeps the bounds, as what the operators return runs later, when
+    its user asks for it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -55,20 +59,13 @@ def materialise(df: DataFrame) -> DataFrame:
     Lineage ends there, any executor can read it again after a loss, and the
     planner knows its size, so that it broadcasts a side only if it is small.
     """
-    spark = df.sparkSession
-    before = spark.conf.get(_BATCH, None)
-    small_batches(spark)
-    path = shared_dir(spark)
+    small_batches(df.sparkSession)
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    if before is None:
-        spark.conf.unset(_BATCH)
-    else:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for a registered query, which is run later, so that the bound on batches stays set."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
