@@ -78,7 +78,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op7_page_texts, op8_bm25_leaks, op9_line_dedup, op10_token_files)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), branches=True)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.negatives import hard_negatives
+
+    moved = lambda df: df.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op7_page_texts, op8_bm25_leaks, op9_line_dedup, op10_token_files, op12_conversation_trie, op13_hard_negatives)}
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -106,4 +119,28 @@ WITH doc AS (SELECT doc_id, source, coalesce(text, '') AS x, list_filter(string_
     FROM doc d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN left_ USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_left_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left_words >= 0.2 * n_words AS kept FROM facts""",
+    "op12_conversation_trie": f"""
+WITH turn_ AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL),
+  crc AS (SELECT conv_id, count(*) AS own, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(i AS UBIGINT))), lambda v, i: xor(v >> 1, (v & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 4 AS h FROM turn_ GROUP BY conv_id),
+  conv AS (SELECT c.conv_id, c.h, least(c.h, coalesce(b.own, 0)) AS taken FROM crc c LEFT JOIN crc b ON b.conv_id = c.conv_id - c.conv_id % 20),
+  path AS (SELECT c.conv_id, k + 1 AS depth, role, text FROM conv c JOIN turn_ t ON t.conv_id = c.conv_id - c.conv_id % 20 AND k < taken
+    UNION ALL SELECT c.conv_id, k + 1 - h + taken, role, text FROM conv c JOIN turn_ t ON t.conv_id = c.conv_id AND k >= h),
+  named AS (SELECT conv_id, CAST(depth AS BIGINT) AS depth, text, string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY depth) AS name FROM path
+    UNION ALL SELECT conv_id, 0, '', '' FROM conv),
+  last_ AS (SELECT conv_id, max(depth) AS n FROM named GROUP BY conv_id),
+  node AS (SELECT depth, name, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(text) AS text, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256 FROM named JOIN last_ USING (conv_id) GROUP BY depth, name),
+  child AS (SELECT n.conv_id, n.depth, p.conv_id AS parent FROM node n JOIN named a ON a.conv_id = n.conv_id AND a.depth = n.depth - 1 JOIN node p ON p.depth = a.depth AND p.name = a.name),
+  counted AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM child GROUP BY ALL),
+  fact AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split(translate(text, {_SPACE}, '     '), ' '), lambda w: w <> '')) END AS saving FROM node n LEFT JOIN counted USING (conv_id, depth)),
+  below AS (SELECT a.depth, a.name, count(*) FILTER (n_children = 0) AS n_leaves, sum(saving) AS saved FROM fact f JOIN named a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM fact f JOIN below USING (depth, name) LEFT JOIN child c ON c.conv_id = f.conv_id AND c.depth = f.depth""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
