@@ -78,6 +78,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(table(spark, sf_dir, "documents")))
 
 
+def op11_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.linecrf import fit, held_out, scored
+
+    docs = table(spark, sf_dir, "documents")
+    field = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, field, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_lines", "n_bad_lines")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.trie import prefix_trie
 
@@ -91,7 +99,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op7_page_texts, op8_bm25_leaks, op9_line_dedup, op10_token_files, op12_conversation_trie, op13_hard_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_licence_paragraphs, op3_line_quality, op4_secret_ledger, op5_rank_merge_counts, op6_harmonic_packing, op7_page_texts, op8_bm25_leaks, op9_line_dedup, op10_token_files, op11_line_field, op12_conversation_trie, op13_hard_negatives)}
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
