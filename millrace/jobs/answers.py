@@ -9,6 +9,7 @@ from millrace.jobs.ask import ask
 from millrace.jobs.registry import register, table
 from millrace.operators import corrective as C
 from millrace.operators.collection import search
+from millrace.operators.retrieval import retrieve, share, terms
 
 TERMS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda w: w <> ''))"
 #: Term counts of each question and document, and the documents in order for each question.
@@ -34,7 +35,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"{BASE}, qq AS (SELECT *, '' AS want FROM q), {_hits('h', 'qq', 10)} SELECT question_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(hits / n, 4) AS score FROM h")
 def lexical_top_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).withColumn("rewritten", F.lit(None).cast("string"))
-    return C.retrieve(asked, library(spark, sf_dir), 10).select("question_id", "chunk_id", "rank", "score")
+    return retrieve(asked, library(spark, sf_dir), 10).select("question_id", "chunk_id", "rank", "score")
 
 
 @register(
@@ -49,11 +50,11 @@ def baseline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analyse(asked: DataFrame) -> DataFrame:
     """A plain analysis: items that hold a few words are out of scope, others ask for English or any documents."""
-    words = C.terms(F.col("question"))
+    words = terms(F.col("question"))
     return asked.withColumn("out_of_corpus", F.size(words) < 15).withColumn("document_type", F.when(F.array_contains(words, "the"), "en"))
 
 
-MODELS = C.Models(analyse=analyse, relevant=lambda question, text: C.share(question, text) >= 0.6)
+MODELS = C.Models(analyse=analyse, relevant=lambda question, text: share(question, text) >= 0.6)
 
 
 def _share(a: str, b: str) -> str:

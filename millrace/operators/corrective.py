@@ -3,7 +3,9 @@
 The corrective pipeline rewrites a question at most once and generates an
 answer at most twice, so it is a finite plan over a DataFrame of questions:
 branches are filters and joins, and the result is their union. Models are
-column expressions by default; ``Models`` takes others.
+column expressions by default; ``Models`` takes others. Both pipelines run
+when they are called: what several branches read is written to the shared
+folder, and is gone when the result has been written there too.
 """
 
 from __future__ import annotations
@@ -12,31 +14,20 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ABSTAIN, NOTHING_FOUND, clean
+from millrace.functions.prompts import prompt
+from millrace.functions.text import ABSTAIN, NOTHING_FOUND, clean, context, says_yes
+from millrace.operators.analysis import FILTERS
+from millrace.operators.retrieval import retrieve, share, terms
+from millrace.sources.shared import Steps
 
 # Chunks that are retrieved and kept, and how often a step is repeated.
 BASELINE_K, CORRECTIVE_K, RERANK_N = 5, 10, 5
-#: Questions whose terms go to all tasks; those of more meet the chunks' terms by a shuffle.
-MOST_BROADCAST = 2_000
 #: How the answer of a model that failed begins.
 FAILED = "[Pipeline error"
-FILTERS = ["document_type", "date", "section_category", "speaker"]
-RESULT = ["question_id", "question", "answer", "pipeline", "chunks_retrieved", "chunks_used", "rewrites", "failures", "is_grounded", "filters", "trace", "pre_rerank_ids", "post_rerank_ids"]
-
-
-def terms(text: Column) -> Column:
-    """The different lower-case words of a text, without outer punctuation."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
-
-
-def share(of: Column, among: Column) -> Column:
-    """The share of the terms of one text that are among another's; 0 for none."""
-    mine = terms(of)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(mine, terms(among))), F.size(mine)), F.lit(0.0))
+RESULT = ["question_id", "question", "answer", "pipeline", "chunks_retrieved", "chunks_used", "rewrites", "failures", "is_grounded", "filters", "trace", "pre_rerank_ids", "post_rerank_ids", "sources"]
 
 
 @dataclass
@@ -55,42 +46,23 @@ class Models:
     grounded: Callable[[Column, Column], Column] = field(default=lambda answer, texts: share(answer, F.array_join(texts, " ")) >= 1.0)
 
 
-def term_lists(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, terms) of each chunk."""
-    return chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
-
+def prompted(reply: Callable[[Column], Column], analyse: Callable[[DataFrame], DataFrame] | None = None) -> Models:
+    """Models that all are one model's replies to prompts; a reply is a column of the prompt's."""
+    asked = lambda name, **places: reply(prompt(name, **places))
+    return Models(
+        analyse=analyse,
+        relevant=lambda question, text: says_yes(asked("grade", question=question, passage=text)),
+        rewrite=lambda question: F.trim(asked("rewrite", question=question)),
+        generate=lambda question, texts, strict: asked("answer_strictly" if strict else "answer", context=context(texts), question=question),
+        grounded=lambda answer, texts: says_yes(asked("check", context=context(texts), answer=answer)),
+    )
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int, filters: list[str] | None = None, listed: DataFrame | None = None) -> DataFrame:
-    """(question_id, chunk_id, text, score, rank): the k chunks with the most question terms, ties by chunk_id.
 
-    Only terms that a question has leave their chunk. They are dealt by chunk,
-    where each meets the questions and all terms of a pair are counted; the k
-    best of each task alone are moved, and only the k best of a question fetch
-    their texts. Filters with a value must equal the chunk's. ``listed`` takes
-    the chunks' terms where they are kept.
-    """
-    asked = questions.select("question_id", F.explode(terms(F.coalesce("rewritten", "question"))).alias("term"))
-    if questions.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        asked = F.broadcast(asked)
-    sizes = questions.select("question_id", F.size(terms(F.coalesce("rewritten", "question"))).alias("n_terms"))
-    posted = (term_lists(chunks) if listed is None else listed).select("chunk_id", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = posted.repartition("chunk_id").join(asked, "term").groupBy("chunk_id", "question_id").agg(F.count("*").alias("hits"))
-    if filters:
-        allowed = chunks.select("chunk_id", *[F.col(c).alias(f"c_{c}") for c in filters])
-        wanted = questions.select("question_id", *[clean(F.col(c)).alias(f"q_{c}") for c in filters])
-        hits = hits.join(wanted, "question_id").join(allowed, "chunk_id")
-        for c in filters:
-            hits = hits.filter(F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(f"c_{c}")))
-        hits = hits.select("question_id", "chunk_id", "hits")
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("hits"), "chunk_id"))
-    best = hits.withColumn("rank", rank).filter(F.col("rank") <= k).join(sizes, "question_id")
-    best = best.withColumn("score", F.round(F.col("hits") / F.col("n_terms"), 4))
-    return best.join(chunks.select("chunk_id", "text"), "chunk_id").select("question_id", "chunk_id", "text", "score", "rank")
-
-
-def _listed(found: DataFrame, order: str) -> DataFrame:
-    """Each question's chunks as arrays in order."""
-    return found.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(order, "chunk_id", "text"))).alias("x")).select("question_id", F.transform("x", lambda y: y["chunk_id"]).alias("ids"), F.transform("x", lambda y: y["text"]).alias("texts"))
+def _listed(found: DataFrame, order: str, score: str = "score") -> DataFrame:
+    """Each question's chunks in order: ids, texts, and sources (chunk_id, text, score)."""
+    own = F.struct(F.col(order).alias("at"), F.struct("chunk_id", "text", F.col(score).cast("double").alias("score")).alias("x"))
+    listed = found.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(own)), lambda y: y["x"]).alias("sources"))
+    return listed.select("question_id", F.transform("sources", lambda y: y["chunk_id"]).alias("ids"), F.transform("sources", lambda y: y["text"]).alias("texts"), "sources")
 
 
 def _steps(*names: str) -> Column:
@@ -107,7 +79,7 @@ def with_error_rows(results: DataFrame) -> DataFrame:
     bad, none = failed(F.col("answer")), F.array().cast("array<string>")
     instead = {
         **dict.fromkeys(["chunks_retrieved", "chunks_used", "rewrites", "failures"], F.lit(0)), "is_grounded": F.lit(None).cast("boolean"), "filters": F.lit(None).cast("string"),
-        "trace": _steps("error"), "pre_rerank_ids": none, "post_rerank_ids": none,
+        "trace": _steps("error"), "pre_rerank_ids": none, "post_rerank_ids": none, "sources": F.array(),
     }
     kinds = dict(results.dtypes)
     return results.select(*(F.when(bad, instead[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in instead else F.col(c) for c in results.columns))
@@ -136,25 +108,33 @@ def guarded(model: Callable[[str, list[str], bool], str]) -> Callable[[Column, C
 Retriever = Callable[[DataFrame, int, list[str]], DataFrame]
 
 
+def _none(df: DataFrame, column: str) -> Column:
+    """An empty array of a column's kind."""
+    return F.array().cast(df.schema[column].dataType)
+
+
 def baseline(questions: DataFrame, chunks: DataFrame | None, models: Models | None = None, search: Retriever | None = None) -> DataFrame:
     """Retrieve the best five, answer from them; without any, say so and ask no model.
 
     ``search`` takes the place of retrieval by words, such as ``Collection.search``.
     """
     models = models or Models()
-    plain = questions.select("question_id", "question").withColumn("rewritten", F.lit(None).cast("string"))
-    best = search(plain, BASELINE_K, []) if search else retrieve(plain, chunks, BASELINE_K)
-    found = plain.join(_listed(best, "rank"), "question_id", "left")
-    some = F.col("ids").isNotNull()
-    n = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
-    n = F.when(some, n).otherwise(F.lit(0).cast("long"))
-    none = F.array().cast("array<string>")
-    results = found.select(
-        "question_id", "question", F.when(some, models.generate(F.col("question"), F.col("texts"), False)).otherwise(NOTHING_FOUND).alias("answer"), F.lit("baseline").alias("pipeline"),
-        n.alias("chunks_retrieved"), n.alias("chunks_used"), F.lit(0).alias("rewrites"), F.lit(0).alias("failures"), F.lit(None).cast("boolean").alias("is_grounded"),
-        F.lit(None).cast("string").alias("filters"), F.when(some, _steps("retrieve", "generate")).otherwise(_steps("retrieve")).alias("trace"), none.alias("pre_rerank_ids"), none.alias("post_rerank_ids"),
-    )
-    return with_error_rows(results)
+    with Steps(questions.sparkSession) as steps:
+        plain = questions.select("question_id", "question").withColumn("rewritten", F.lit(None).cast("string"))
+        best = search(plain, BASELINE_K, []) if search else retrieve(plain, chunks, BASELINE_K, steps=steps)
+        found = steps.keep(plain.join(_listed(best, "rank"), "question_id", "left"))
+        none = F.array().cast("array<string>")
+
+        def told(rows: DataFrame, answer: Column, sources: Column, *trace: str) -> DataFrame:
+            n = F.size(sources).cast("long")
+            return rows.select(
+                "question_id", "question", answer.alias("answer"), F.lit("baseline").alias("pipeline"), n.alias("chunks_retrieved"), n.alias("chunks_used"), F.lit(0).alias("rewrites"), F.lit(0).alias("failures"),
+                F.lit(None).cast("boolean").alias("is_grounded"), F.lit(None).cast("string").alias("filters"), _steps(*trace).alias("trace"), none.alias("pre_rerank_ids"), none.alias("post_rerank_ids"), sources.alias("sources"),
+            )
+
+        some = told(found.filter("ids is not null"), models.generate(F.col("question"), F.col("texts"), False), F.col("sources"), "retrieve", "generate")
+        others = told(found.filter("ids is null"), F.lit(NOTHING_FOUND), _none(found, "sources"), "retrieve")
+        return steps.finish(with_error_rows(some.unionByName(others)))
 
 
 def corrective(questions: DataFrame, chunks: DataFrame | None, models: Models | None = None, search: Retriever | None = None, filters: list[str] | None = None) -> DataFrame:
@@ -162,70 +142,79 @@ def corrective(questions: DataFrame, chunks: DataFrame | None, models: Models |
 
     ``questions`` has question_id and question. Grading, generation and its
     check see the question as asked; retrieval and reranking the rewritten
-    one. Results of model steps are kept on disk where several branches use
-    them, so that no model runs twice. ``search`` takes the place of retrieval
-    by words; ``filters`` names what it can filter by, if there are no chunks to tell.
+    one. Model results that several branches use are written once, so that no
+    model runs twice. ``search`` takes the place of retrieval by words;
+    ``filters`` names what it can filter by, if there are no chunks to tell.
     """
-    models = models or Models()
-    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
-    asked = questions.select("question_id", "question")
-    analysed = models.analyse(asked) if models.analyse else asked
+    with Steps(questions.sparkSession) as steps:
+        return steps.finish(_corrected(steps, questions, chunks, models or Models(), search, filters))
+
+
+def _analysed(asked: DataFrame, models: Models) -> DataFrame:
+    """Questions with their filters, the filters as told, and whether they are out of the corpus."""
+    found = models.analyse(asked) if models.analyse else asked
     for c in FILTERS:
-        if c not in analysed.columns:
-            analysed = analysed.withColumn(c, F.lit(None).cast("string"))
-    if "out_of_corpus" not in analysed.columns:
-        analysed = analysed.withColumn("out_of_corpus", F.lit(False))
+        if c not in found.columns:
+            found = found.withColumn(c, F.lit(None).cast("string"))
+    if "out_of_corpus" not in found.columns:
+        found = found.withColumn("out_of_corpus", F.lit(False))
     described = F.to_json(F.struct(*[clean(F.col(c)).alias(c) for c in FILTERS]))
-    analysed = keep(analysed.withColumn("filters", F.when(described != "{}", described)).withColumn("rewritten", F.lit(None).cast("string")))
+    return found.withColumn("filters", F.when(described != "{}", described)).withColumn("rewritten", F.lit(None).cast("string"))
+
+
+def _ranked(good: DataFrame, models: Models) -> DataFrame:
+    """Each question's graded chunks by the reranker's values; a single one is passed through with its own score."""
+    several = F.count("*").over(Window.partitionBy("question_id")) > 1
+    counted = good.withColumn("several", several)
+    value = models.rerank(F.coalesce("rewritten", "question"), F.col("text")).cast("double")
+    scored = counted.filter("several").withColumn("value", value).unionByName(counted.filter("not several").withColumn("value", F.col("score").cast("double")))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("value"), "rank"))
+    scored = scored.withColumn("place", place)
+    before = scored.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda y: y["chunk_id"]).alias("pre_rerank_ids"))
+    return before.join(_listed(scored.filter(F.col("place") <= RERANK_N), "place", "value"), "question_id")
+
+
+def _corrected(steps: Steps, questions: DataFrame, chunks: DataFrame | None, models: Models, search: Retriever | None, filters: list[str] | None) -> DataFrame:
+    analysed = steps.keep(_analysed(questions.select("question_id", "question"), models))
     outside = analysed.filter(F.col("out_of_corpus").eqNullSafe(True))
     inside = analysed.filter(~F.col("out_of_corpus").eqNullSafe(True))
     used = filters if filters is not None else [c for c in FILTERS if chunks is not None and c in chunks.columns]
-    listed = None if search else keep(term_lists(chunks))
 
     def graded(who: DataFrame, filters: list[str]) -> tuple[DataFrame, DataFrame]:
-        found = keep(search(who, CORRECTIVE_K, filters) if search else retrieve(who, chunks, CORRECTIVE_K, filters, listed))
+        found = steps.keep(search(who, CORRECTIVE_K, filters) if search else retrieve(who, chunks, CORRECTIVE_K, filters, steps))
         counts = found.groupBy("question_id").agg(F.count("*").alias("chunks_retrieved"))
         judged = found.join(who.select("question_id", "question", "rewritten"), "question_id").filter(models.relevant(F.col("question"), F.col("text")))
-        return keep(judged), counts
+        return steps.keep(judged), counts
 
     good1, counts1 = graded(inside, used)
     again = inside.join(good1.select("question_id").distinct(), "question_id", "left_anti").withColumn("rewritten", models.rewrite(F.col("question")))
-    again = keep(again)
+    again = steps.keep(again)
     good2, counts2 = graded(again, [])
     given_up = again.join(good2.select("question_id").distinct(), "question_id", "left_anti")
 
-    def ranked(good: DataFrame) -> DataFrame:
-        several = F.count("*").over(Window.partitionBy("question_id")) > 1
-        scored = good.withColumn("value", F.when(several, models.rerank(F.coalesce("rewritten", "question"), F.col("text"))).otherwise(F.lit(0.0)))
-        place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("value"), "rank"))
-        scored = scored.withColumn("place", place)
-        before = scored.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda y: y["chunk_id"]).alias("pre_rerank_ids"))
-        return before.join(_listed(scored.filter(F.col("place") <= RERANK_N), "place"), "question_id")
-
     facts = ["question_id", "question", "filters"]
-    answered = (
-        inside.select(*facts).join(ranked(good1), "question_id").join(counts1, "question_id").withColumn("rewrites", F.lit(0))
-        .unionByName(again.select(*facts).join(ranked(good2), "question_id").join(counts2, "question_id").withColumn("rewrites", F.lit(1)))
-    )
-    answered = answered.withColumn("answer", models.generate(F.col("question"), F.col("texts"), False))
-    answered = keep(answered.withColumn("ok", models.grounded(F.col("answer"), F.col("texts"))))
-    answered = answered.withColumn("ok", F.col("ok") | failed(F.col("answer")))  # a failure is not asked again
-    first = answered.filter("ok").withColumn("failures", F.lit(0)).withColumn("is_grounded", F.lit(True))
-    second = answered.filter("not coalesce(ok, false)").withColumn("answer", models.generate(F.col("question"), F.col("texts"), True))
+    ranked = steps.keep(_ranked(good1.unionByName(good2), models))
+    chosen = inside.select(*facts).join(counts1, "question_id").join(good1.select("question_id").distinct(), "question_id", "left_semi").withColumn("rewrites", F.lit(0))
+    chosen = chosen.unionByName(again.select(*facts).join(counts2, "question_id").join(good2.select("question_id").distinct(), "question_id", "left_semi").withColumn("rewrites", F.lit(1)))
+    answered = steps.keep(chosen.join(ranked, "question_id").withColumn("answer", models.generate(F.col("question"), F.col("texts"), False)))
+    bad = failed(F.col("answer"))  # a failure is not asked again
+    checked = steps.keep(answered.filter(~bad).withColumn("ok", F.coalesce(models.grounded(F.col("answer"), F.col("texts")), F.lit(False))).unionByName(answered.filter(bad).withColumn("ok", F.lit(True))))
+    first = checked.filter("ok").withColumn("failures", F.lit(0)).withColumn("is_grounded", F.lit(True))
+    second = steps.keep(checked.filter("not ok").withColumn("answer", models.generate(F.col("question"), F.col("texts"), True)))
     second = second.withColumn("is_grounded", F.coalesce(models.grounded(F.col("answer"), F.col("texts")), F.lit(False)))
     second = second.withColumn("failures", F.when(F.col("is_grounded"), 1).otherwise(2))
 
     base, round_ = ["analyze_query", "retrieve", "grade_documents"], ["rewrite_query", "retrieve", "grade_documents"]
     none = F.array().cast("array<string>")
     done = first.unionByName(second).select(
-        *facts, "answer", "chunks_retrieved", F.size("ids").cast("long").alias("chunks_used"), "rewrites", "failures", "is_grounded", "pre_rerank_ids", F.col("ids").alias("post_rerank_ids"),
+        *facts, "answer", "chunks_retrieved", F.size("ids").cast("long").alias("chunks_used"), "rewrites", "failures", "is_grounded", "pre_rerank_ids", F.col("ids").alias("post_rerank_ids"), "sources",
         F.concat(_steps(*base), F.when(F.col("rewrites") == 1, _steps(*round_)).otherwise(none), _steps("rerank", "generate", "check_hallucination"), F.when(F.col("failures") > 0, _steps("generate", "check_hallucination")).otherwise(none)).alias("trace"),
     )
 
     def abstained(who: DataFrame, rewrites: int, trace: list[str]) -> DataFrame:
         return who.select(
             *facts, F.lit(ABSTAIN).alias("answer"), "chunks_retrieved", F.lit(0).cast("long").alias("chunks_used"), F.lit(rewrites).alias("rewrites"), F.lit(0).alias("failures"),
-            F.lit(None).cast("boolean").alias("is_grounded"), none.alias("pre_rerank_ids"), none.alias("post_rerank_ids"), _steps(*trace).alias("trace"),
+            F.lit(None).cast("boolean").alias("is_grounded"), *(_none(done, c).alias(c) for c in ("pre_rerank_ids", "post_rerank_ids", "sources")), _steps(*trace).alias("trace"),
         )
 
     no_chunks = given_up.join(counts2, "question_id", "left").withColumn("chunks_retrieved", F.coalesce("chunks_retrieved", F.lit(0)).cast("long"))

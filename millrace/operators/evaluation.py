@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.corrective import failed, terms
+from millrace.operators.corrective import failed
+from millrace.operators.retrieval import terms
 
 # The metrics, those that need context, and bounds of a judge's divergence.
 METRICS = ["faithfulness", "answer_relevancy", "context_precision_with_reference", "context_recall"]
