@@ -61,8 +61,8 @@ def _share(a: str, b: str) -> str:
     return f"coalesce(len(list_intersect({a}, {b})) / nullif(len({a}), 0), 0)"
 
 
-@register(
-    f"""{BASE}, a AS (SELECT *, len(t) < 15 AS oos, CASE WHEN list_contains(t, 'the') THEN 'en' ELSE '' END AS want FROM q),
+#: The steps of the corrective pipeline under these models: analysis (a), chunks by place (p), what each question rests on (k), and how many it found (n).
+CORRECTIVE = f"""{BASE}, a AS (SELECT *, len(t) < 15 AS oos, CASE WHEN list_contains(t, 'the') THEN 'en' ELSE '' END AS want FROM q),
     i AS (SELECT * FROM a WHERE NOT oos), {_hits('h1', 'i', 10, "WHERE want = '' OR want = lang")},
     g1 AS (SELECT h1.question_id, chunk_id, rank, {_share('i.t', 'd.t')} AS value FROM h1 JOIN i USING (question_id) JOIN d USING (chunk_id) WHERE {_share('i.t', 'd.t')} >= 0.6),
     r AS (SELECT question_id, question, want, t AS own, list_filter(t, lambda w: length(w) > 3) AS rt FROM i WHERE question_id NOT IN (SELECT question_id FROM g1)),
@@ -70,9 +70,13 @@ def _share(a: str, b: str) -> str:
     g2 AS (SELECT h2.question_id, chunk_id, rank, {_share('r.rt', 'd.t')} AS value FROM h2 JOIN r USING (question_id) JOIN d USING (chunk_id) WHERE {_share('r.own', 'd.t')} >= 0.6),
     g AS (SELECT *, 0 AS rewrites FROM g1 UNION ALL SELECT *, 1 FROM g2),
     p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(value, 6) DESC, rank) AS place FROM g),
-    k AS (SELECT question_id, any_value(rewrites) AS rewrites, least(count(*), 5) AS used, max(CASE WHEN place = 1 THEN text END) AS top, max(CASE WHEN place = 1 THEN chunk_id END) AS top_id,
+    k AS (SELECT question_id, any_value(rewrites) AS rewrites, least(count(*), 5) AS used, max(CASE WHEN place = 1 THEN text END) AS top, max(CASE WHEN place = 1 THEN chunk_id END) AS top_id, list(text ORDER BY place) FILTER (place <= 5) AS texts,
       {TERMS.format("string_agg(text, ' ') FILTER (place <= 5)")} AS ctx FROM p JOIN d USING (chunk_id) GROUP BY question_id),
-    n AS (SELECT question_id, count(*) AS got FROM (SELECT question_id, chunk_id FROM h1 WHERE question_id NOT IN (SELECT question_id FROM r) UNION ALL SELECT question_id, chunk_id FROM h2) GROUP BY question_id)
+    n AS (SELECT question_id, count(*) AS got FROM (SELECT question_id, chunk_id FROM h1 WHERE question_id NOT IN (SELECT question_id FROM r) UNION ALL SELECT question_id, chunk_id FROM h2) GROUP BY question_id)"""
+
+
+@register(
+    f"""{CORRECTIVE}
     SELECT question_id, CASE WHEN oos OR used IS NULL THEN 'I cannot answer this question from the available documents.' ELSE split_part(top, chr(10), 1) END AS answer,
     CASE WHEN oos THEN 0 ELSE coalesce(got, 0) END AS chunks_retrieved, coalesce(used, 0) AS chunks_used, CAST(CASE WHEN oos THEN 0 WHEN used IS NULL THEN 1 ELSE rewrites END AS INTEGER) AS rewrites,
     CASE WHEN used IS NOT NULL THEN true END AS is_grounded, top_id,

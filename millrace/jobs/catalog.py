@@ -1,3 +1,3 @@
 """Importing this module fills the register."""
 
-from millrace.jobs import answers, collections, comparisons, documents  # noqa: F401
+from millrace.jobs import answers, collections, comparisons, documents, runs  # noqa: F401

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +19,22 @@ NEED_CONTEXT = ["faithfulness", "context_precision_with_reference", "context_rec
 MINOR, MATERIAL = 0.15, 0.30
 
 
+def contexts(results: DataFrame) -> Column:
+    """The texts of a result's sources in order, without empty ones; a source without a text has its preview."""
+    fields = results.schema["sources"].dataType.elementType.names
+    text = lambda x: F.coalesce(*(F.when(x[c] != "", x[c]) for c in ("text", "text_preview") if c in fields), F.lit(""))
+    return F.filter(F.transform("sources", text), lambda t: F.trim(t) != "")
+
+
 def samples(results: DataFrame, tests: DataFrame) -> DataFrame:
-    """Results with their test rows, without empty contexts."""
-    return results.join(tests, "question_id").withColumn("contexts", F.filter("contexts", lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
+    """(pipeline, question_id, question, answer, contexts, reference) of the results that have a test row, to be scored.
+
+    ``results`` has sources (of text, or text_preview), ``tests`` question_id,
+    question and expected_answer; the question is the test's. Results without
+    a test, and tests without a result, are left out.
+    """
+    own = results.select("pipeline", "question_id", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce(contexts(results), F.array().cast("array<string>")).alias("contexts"))
+    return own.join(tests.select("question_id", "question", F.col("expected_answer").alias("reference")), "question_id").select("pipeline", "question_id", "question", "answer", "contexts", "reference")
 
 
 def scoring_plan(rows: DataFrame, metrics: list[str], done: DataFrame, retry_errors: bool = False) -> DataFrame:
@@ -60,26 +75,43 @@ LEXICAL = {
 }
 
 
-def judged(judge: Callable[[str, str, list[str], str], float]) -> Callable[[Column, Column, Column, Column], Column]:
-    """A metric by a Python judge of question, answer, contexts and reference; an exception is an error of at most 500 characters."""
+@dataclass
+class Judge:
+    """A metric by a Python judge of question, answer, contexts and reference, asked by up to ``calls`` threads of a task and in ``tasks`` tasks at once.
+
+    An exception is an error of at most 500 characters.
+    """
+
+    judge: Callable[[str, str, list[str], str], float]
+    calls: int = 4
+    tasks: int = 4
+
+    def scores(self, rows: DataFrame) -> DataFrame:
+        """(pipeline, question_id, metric, score, err) of ``rows``."""
+        judge, calls = self.judge, self.calls
 
-    def metric(question: Column, answer: Column, contexts: Column, reference: Column) -> Column:
-        @F.pandas_udf("score double, err string")
-        def scores(q: pd.Series, a: pd.Series, c: pd.Series, r: pd.Series) -> pd.DataFrame:
-            out = []
-            for row in zip(q, a, c, r, strict=True):
-                try:
-                    out.append((float(judge(row[0], row[1], list(row[2]), row[3])), None))
-                except Exception as error:
-                    out.append((None, f"{type(error).__name__}: {error}"[:500]))
-            return pd.DataFrame(out, columns=["score", "err"]).astype({"score": "float64", "err": "object"})
+        def one(row) -> tuple[float | None, str | None]:
+            try:
+                return float(judge(row.question, row.answer, list(row.contexts), row.reference)), None
+            except Exception as error:
+                return None, f"{type(error).__name__}: {error}"[:500]
 
-        return scores.asNondeterministic()(question, answer, contexts, reference)
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with ThreadPoolExecutor(calls) as pool:
+                for frame in frames:
+                    out = pd.DataFrame(list(pool.map(one, frame.itertuples(index=False))), columns=["score", "err"]).astype({"score": "float64", "err": "object"})
+                    yield pd.concat([frame[["pipeline", "question_id", "metric"]].reset_index(drop=True), out], axis=1)
 
-    return metric
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        asked = rows.select("pipeline", "question_id", "metric", "question", "answer", "contexts", "reference").repartition(self.tasks, "question_id", "metric")
+        return asked.mapInPandas(run, f"pipeline string, question_id {kinds['question_id']}, metric string, score double, err string")
 
 
-def scored(plan: DataFrame, rows: DataFrame, metrics: dict[str, Callable[..., Column]]) -> DataFrame:
+#: A metric is a column of (question, answer, contexts, reference), or a judge.
+Metric = Callable[..., Column] | Judge
+
+
+def scored(plan: DataFrame, rows: DataFrame, metrics: dict[str, Metric]) -> DataFrame:
     """(pipeline, question_id, metric, score, skipped, err) of each row of a ``scoring_plan``.
 
     ``rows`` has pipeline, question_id, question, answer, contexts and
@@ -90,10 +122,12 @@ def scored(plan: DataFrame, rows: DataFrame, metrics: dict[str, Callable[..., Co
     none = F.lit(None).cast("string")
     out = plan.filter("skipped is not null").select("pipeline", "question_id", "metric", F.lit(None).cast("double").alias("score"), "skipped", none.alias("err"))
     for name, metric in metrics.items():
-        value = metric(F.col("question"), F.col("answer"), F.col("contexts"), F.col("reference"))
-        own = todo.filter(F.col("metric") == name).withColumn("x", value)
-        nested = own.schema["x"].dataType.typeName() == "struct"
-        out = out.unionByName(own.select("pipeline", "question_id", "metric", (F.col("x.score") if nested else F.col("x")).cast("double").alias("score"), none.alias("skipped"), (F.col("x.err") if nested else none).alias("err")))
+        own = todo.filter(F.col("metric") == name)
+        if isinstance(metric, Judge):
+            made = metric.scores(own)
+        else:
+            made = own.select("pipeline", "question_id", "metric", metric(F.col("question"), F.col("answer"), F.col("contexts"), F.col("reference")).cast("double").alias("score"), none.alias("err"))
+        out = out.unionByName(made.select("pipeline", "question_id", "metric", "score", none.alias("skipped"), "err"))
     return out
 
 
@@ -170,6 +204,24 @@ def set_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return added.unionByName(before.select(key).distinct().join(after.select(key), key, "left_anti").withColumn("change", F.lit("removed")))
 
 
+def abstain_invariant(before: DataFrame, after: DataFrame, expected: DataFrame) -> DataFrame:
+    """Whether exactly the ``expected`` questions abstain now that did not, and none stopped.
+
+    One row: n_added, n_removed, n_missing (expected, but not added), n_extra
+    (added, but not expected), and holds, which asks for none of the last three.
+    """
+    abstaining = lambda df: df.filter(F.exists("trace", lambda x: x.startswith("abstain"))).select("question_id")
+    delta = set_delta(abstaining(before), abstaining(after), "question_id")
+    wanted = expected.select("question_id", F.lit(True).alias("wanted")).distinct()
+    both = delta.join(wanted, "question_id", "full")
+    is_ = lambda kind: F.coalesce(F.col("change") == kind, F.lit(False))
+    counts = both.agg(
+        F.count_if(is_("added")).alias("n_added"), F.count_if(is_("removed")).alias("n_removed"),
+        F.count_if(F.col("wanted").isNotNull() & ~is_("added")).alias("n_missing"), F.count_if(F.col("wanted").isNull() & is_("added")).alias("n_extra"),
+    )
+    return counts.withColumn("holds", F.col("n_removed") + F.col("n_missing") + F.col("n_extra") == 0)
+
+
 def corrective_rates(results: DataFrame, should_abstain: DataFrame) -> DataFrame:
     """The loop's rates over all results, as one row; a rate over none is null, no results give no row."""
     named = results.join(should_abstain.select("question_id", F.lit(True).alias("should")).distinct(), "question_id", "left")

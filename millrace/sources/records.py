@@ -86,11 +86,13 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
 def read_scores(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Score records in order of their position; corrupt lines fail if ``strict`` and are passed over otherwise.
 
-    position tells the order of lines, so that the last record of a key can win.
+    position tells the order of lines, later files after earlier ones, so that
+    the last record of a key can win.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).filter(F.trim("value") != "")
+    at = F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")
+    lines = spark.read.text(path).select("value", *at).filter(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", SCORES, {"mode": "FAILFAST" if strict else "PERMISSIVE"}))
-    return parsed.filter("r.query_id is not null").select("r.*", F.struct("file", "line").alias("position"))
+    return parsed.filter("r.query_id is not null").select("r.*", F.struct("time", "file", "line").alias("position"))
 
 
 def append_scores(scores: DataFrame, path: str) -> None:

@@ -78,7 +78,7 @@ def test_scores_are_resumed(spark, tmp_path):
         return 0.5
 
     path = f"file://{tmp_path}/scores"
-    metrics = {"faithfulness": E.judged(judge), "context_recall": E.LEXICAL["context_recall"]}
+    metrics = {"faithfulness": E.Judge(judge), "context_recall": E.LEXICAL["context_recall"]}
     got = {(r.pipeline, r.question_id, r.metric): r for r in evaluate.run_scores(rows, path, metrics).collect()}
     assert len(got) == 6 and calls.value == 2 and got["baseline", "q01", "context_recall"].score == 1.0 and got["baseline", "q01", "faithfulness"].score == 0.5
     assert got["baseline", "q02", "faithfulness"].skipped == "abstain" and got["baseline", "q02", "context_recall"].score is None
@@ -91,6 +91,73 @@ def test_scores_are_resumed(spark, tmp_path):
     assert evaluate.run_scores(rows, path, metrics, fresh=True).count() == 6 and calls.value == 5
 
 
+def asked_rows(spark, n):
+    rows = [("baseline", f"q{k:02d}", f"question {k}", "words", ["words of a chunk"], "words") for k in range(n)]
+    return spark.createDataFrame(rows, "pipeline string, question_id string, question string, answer string, contexts array<string>, reference string")
+
+
+def test_a_broken_run_goes_on(spark, tmp_path):
+    """A run that is killed half way loses its open round only: the next one asks what is left."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def judge(question, answer, contexts, reference, dies=True):
+        import uuid
+
+        (calls / f"{question}-{uuid.uuid4().hex}").touch()
+        if dies and question == "question 31":
+            raise KeyboardInterrupt  # not an error of the judge, but the end of its task
+        return 0.5
+
+    path, rows = f"file://{tmp_path}/scores", asked_rows(spark, 40)
+    with pytest.raises(Exception, match="KeyboardInterrupt|exited|crashed|EOF"):
+        evaluate.run_scores(rows, path, {"faithfulness": E.Judge(judge, calls=1, tasks=1)}, round_rows=8)
+    kept = R.read_scores(spark, path).count()
+    before = len(list(calls.iterdir()))
+    assert 0 < kept < 40 and kept <= before
+    got = evaluate.run_scores(rows, path, {"faithfulness": E.Judge(lambda *a: judge(*a, dies=False))}, round_rows=8)
+    assert got.count() == 40 and got.filter("score = 0.5").count() == 40
+    assert len(list(calls.iterdir())) - before == 40 - kept
+
+
+def test_calls_at_once_are_bounded(spark, tmp_path):
+    def judge(question, answer, contexts, reference):
+        import os
+        import time
+
+        mine = f"{tmp_path}/{os.getpid()}-{time.monotonic_ns()}-{question[9:]}"
+        open(mine, "w").close()
+        time.sleep(0.05)
+        n = len(os.listdir(tmp_path))
+        os.remove(mine)
+        return float(n)
+
+    rows = asked_rows(spark, 30).withColumn("metric", F.lit("faithfulness"))
+    most = max(r.score for r in E.Judge(judge, calls=3, tasks=2).scores(rows).collect())
+    assert 3 < most <= 6
+
+
+def test_a_whole_run(spark, tmp_path):
+    tests = spark.createDataFrame([("q01", "hold rates in spring", "plain", "hold rates"), ("q02", "zebra quagga", "edge", "nothing")], "question_id string, question string, category string, expected_answer string")
+    results, scores = evaluate.evaluated(tests, library(spark), f"file://{tmp_path}", should_abstain=tests.filter("category = 'edge'"))
+    first = {r.question_id: r for r in results["corrective"].collect()}["q01"]
+    assert [x.chunk_id for x in first.sources] == first.post_rerank_ids and first.sources[0].text == "the committee voted to hold rates in spring" and first.sources[0].score == 1.0
+    got = {(r.pipeline, r.question_id, r.metric): r.score for r in scores.collect()}
+    assert len(got) == 16 and got["corrective", "q01", "context_recall"] == 1.0 and got["baseline", "q01", "faithfulness"] == 1.0 and got["corrective", "q02", "faithfulness"] is None
+    assert {p.name for p in (tmp_path / "reports").iterdir()} == {"aggregate", "comparison", "corrective_metrics", "per_category"}
+    with_previews = results["baseline"].withColumn("sources", F.transform("sources", lambda x: F.struct(F.lit("").alias("text"), F.upper(x["text"]).alias("text_preview"))))
+    shown = {r.question_id: r.contexts for r in E.samples(with_previews, tests).collect()}
+    assert shown["q02"] == [] and shown["q01"][0] == "THE COMMITTEE VOTED TO HOLD RATES IN SPRING"
+
+
+def test_invariant(spark):
+    run_ = lambda **traces: spark.createDataFrame(list(traces.items()), "question_id string, trace array<string>")
+    before, after = run_(a=["abstain"], b=["x"], c=["x"]), run_(a=["x"], b=["abstain_out_of_corpus"], c=["x"])
+    want = before.filter("question_id = 'b'")
+    assert E.abstain_invariant(before, after, want).first().asDict() == {"n_added": 1, "n_removed": 1, "n_missing": 0, "n_extra": 0, "holds": False}
+    assert E.abstain_invariant(before, before, want.filter("false")).first().holds and not E.abstain_invariant(before, before, want).first().holds
+
+
 def test_lexical_metrics(spark):
     rows = spark.createDataFrame([("a b c d", "a b x y", ["a b", "q", "c d"], "a b c d")], "q string, a string, c array<string>, r string")
     got = rows.select(*(f(*map(F.col, "qacr")).alias(k) for k, f in E.LEXICAL.items())).first().asDict()
