@@ -63,6 +63,26 @@ def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(pages).select("filename", "document_type", "title", "word_count", "status")
 
 
+@register(
+    f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(CASE WHEN doc_id % 2 = 0 THEN '**Ann Baker:** says ' || coalesce(text, '') ELSE '[BOX START: Box 7] ' || coalesce(text, '') || ' [BOX END]' END, '\\s+'), lambda w: w <> '') AS w FROM documents)
+    SELECT doc_id, true AS within, true AS cut, CAST(len(w) AS BIGINT) AS n_words, sha256(array_to_string(w, ' ')) AS words_sha256 FROM t"""
+)
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as statements or as boxes, chunked by tokens: every chunk within its limit, long ones cut, no word lost or twice but in leads."""
+    import public_tokenizers
+
+    spaced = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("**Ann Baker:** says\n\n"), spaced)).otherwise(F.concat(F.lit("[BOX START: Box 7]\n"), spaced, F.lit("\n[BOX END]")))
+    none = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit("MPC_minutes").alias("document_type"), *(none.alias(c) for c in ("date", "title", "source_url", "speaker")))
+    found = chunks.chunk_documents(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    own = F.struct("chunk_no", F.col("text").substr(F.col("lead") + 1, F.length("text")).alias("own"))
+    listed = found.groupBy("doc_id").agg(F.max("token_count").alias("largest"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "\n").alias("whole"))
+    w = T.words(F.col("whole"))
+    limit = F.when((F.col("doc_id") % 2 == 1) & (F.col("n") == 1), chunks.BOX_MOST_WORDS).otherwise(chunks.MOST_WORDS)
+    return listed.select("doc_id", (F.col("largest") <= limit).alias("within"), ((F.col("n") > 1) | (F.size(w) <= 2000)).alias("cut"), F.size(w).cast("long").alias("n_words"), F.sha2(F.array_join(w, " "), 256).alias("words_sha256"))
+
+
 @register(
     f"""SELECT source, lang, count(*) AS n_docs, CAST(sum({WORDS.format('text')}) AS BIGINT) AS n_words, max(n_chars) AS longest FROM documents GROUP BY source, lang"""
 )

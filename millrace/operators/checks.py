@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import word_count
+from millrace.operators.splitting import measure
 
 # Chunks a document may have, and categories it needs, by type.
 COUNTS = {"MPC_minutes": (5, 40), "MPR": (20, 200), "FSR": (20, 250), "speech": (3, 40)}
@@ -22,10 +22,11 @@ def _by_type(pick, other) -> Column:
     return reduce(lambda rest, kind: F.when(F.col("document_type") == kind, F.lit(pick(kind))).otherwise(rest), COUNTS, F.lit(other))
 
 
-def document_checks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def document_checks(chunks: DataFrame, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, check, status) for each of ``docs`` (doc_id, text, document_type), chunks or none.
 
-    All checks come from one aggregation of the chunks by document.
+    All checks come from one aggregation of the chunks by document. Sizes are
+    those that the chunks were made with: words, or tokens of a vocabulary file.
     """
     fail = lambda bad: F.count_if(bad)
     is_box = F.col("section_category") == "box_analysis"
@@ -48,7 +49,7 @@ def document_checks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     missing = F.array_except(required, F.coalesce("present", F.array().cast("array<string>")))
     in_source = reduce(lambda a, k: a | (F.array_contains(missing, k) & F.coalesce(F.col("text"), F.lit("")).rlike(MARKS[k])), MARKS, F.lit(False))
     no = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, "fail").otherwise("pass")
-    ratio = F.try_divide(F.col("tokens") - OVERLAP * (F.col("n") - 1), word_count(F.col("text")))
+    ratio = F.try_divide(F.col("tokens") - OVERLAP * (F.col("n") - 1), measure(vocabulary).count(F.col("text")))
     results = {
         "chunk_count": F.when(F.col("n") < low, "fail").when(F.col("n") > high, "warn").otherwise("pass"),
         "required_categories": F.when(F.size(missing) == 0, "pass").when(in_source, "fail").otherwise("warn"),

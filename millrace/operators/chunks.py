@@ -1,13 +1,14 @@
-"""Sections to chunks: size limits, greedy packing, overlap, labels and ids. Sizes are in words."""
+"""Sections to chunks: size limits, greedy packing, overlap, labels and ids. Sizes are in words, or in tokens of a vocabulary."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import box_label, chapter_label, normalise_speaker, subsection_label, word_count, words
+from millrace.functions.text import box_label, chapter_label, normalise_speaker, subsection_label, word_count
 from millrace.operators.folds import bind, cut_at, packed_at
 from millrace.operators.sections import body, categorised, merged, sections
+from millrace.operators.splitting import Measure, Words, measure, word_slices
 
 # The limits of chunks.
 BASELINE_WORDS, MOST_WORDS, BOX_MOST_WORDS = 500, 1200, 2000
@@ -25,48 +26,44 @@ def pack(units: Column, sizes, most: int | Column, separator: str, most_units: i
     return bind(F.coalesce(units, F.array().cast("array<string>")), lambda own: bind(F.transform(own, sizes), lambda w: cut_at(own, packed_at(w, most, most_units), lambda x: F.array_join(x, separator))))
 
 
-def word_slices(text: Column, most: int | Column) -> Column:
-    """A text cut after every ``most`` words."""
-    step = most if isinstance(most, Column) else F.lit(most)
-    found = F.transform(F.array(words(text)), lambda w: F.transform(F.sequence(F.lit(0), F.greatest((F.size(w) - 1).cast("int"), F.lit(0)), step), lambda k: F.array_join(F.slice(w, k + 1, step), " ")))
-    return F.filter(F.get(found, F.lit(0)), lambda x: x != "")
-
-
 def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
 
 
-def capped(pieces: Column, most: Column) -> Column:
-    """Pieces that are still too large cut by words, with a margin."""
-    return F.flatten(F.transform(pieces, lambda p: F.when(word_count(p) <= most, F.array(p)).otherwise(word_slices(p, F.greatest(most - MARGIN, F.lit(1))))))
-
-
-def overlapped(pieces: Column, overlap: int = OVERLAP) -> Column:
-    """Each piece but the first after the last words of the piece before it as it was."""
-
-    def lead(all_: Column) -> Column:
-        tail = lambda p: F.when(word_count(p) <= overlap, p).otherwise(F.array_join(F.slice(words(p), F.lit(-overlap), F.lit(overlap)), " "))
-        return F.transform(all_, lambda p, i: F.when(i == 0, p).otherwise(F.concat(tail(F.get(all_, i - 1)), F.lit("\n\n"), p)))
+def with_pieces(found: DataFrame, by: Measure | None = None) -> DataFrame:
+    """``found`` (text, category, heading) with the pieces of each section: whole within its limit, else packed paragraphs.
 
-    return F.get(F.transform(F.array(pieces), lead), F.lit(0))
-
-
-def marked(pieces: Column, heading: Column) -> Column:
-    mark = F.concat(F.lit("[BOX START: "), heading, F.lit("] (continued)\n\n"))
-    return F.transform(pieces, lambda p, i: F.when((i == 0) | p.startswith("[BOX START:"), p).otherwise(F.concat(mark, p)))
-
-
-def with_pieces(found: DataFrame) -> DataFrame:
-    """``found`` (text, category, heading) with the pieces of each section: whole within its limit, else packed paragraphs."""
+    A piece is a struct of its text and lead, the characters at its head that
+    the piece before it ends with, or that mark a box as going on. The lead is
+    the last ``OVERLAP`` of the piece before as it was, or less where the
+    piece would be too large with it.
+    """
+    by = by or Words()
     box = F.col("category") == "box_analysis"
-    sized = found.withColumn("fits_", word_count(F.col("text")) <= F.when(box, BOX_MOST_WORDS).otherwise(MOST_WORDS))
+    no_texts = F.array().cast("array<string>")
+    sized = found.withColumn("fits_", by.count(F.col("text")) <= F.when(box, BOX_MOST_WORDS).otherwise(MOST_WORDS))
     sized = sized.withColumn("most_", F.when(box, MOST_WORDS - BOX_MARK).otherwise(MOST_WORDS - OVERLAP))
-    # What fits has no blocks, so that nothing is packed there.
-    cut = sized.withColumn("blocks_", F.when(~F.col("fits_"), paragraphs(F.col("text"))).otherwise(F.array().cast("array<string>")))
-    cut = cut.withColumn("whole_", F.when(F.size("blocks_") > 1, pack(F.col("blocks_"), word_count, F.col("most_"), "\n\n")).when(~F.col("fits_"), F.array("text")))
-    cut = cut.withColumn("cut_", capped(F.col("whole_"), F.col("most_")))
-    pieces = F.when(F.col("text") == "", F.array().cast("array<string>")).when(F.col("fits_"), F.array("text")).when(box, marked(F.col("cut_"), F.col("heading"))).otherwise(overlapped(F.col("cut_")))
-    return cut.withColumn("pieces", pieces).drop("fits_", "most_", "blocks_", "whole_", "cut_")
+    # What fits has no blocks, so that nothing is measured or packed there.
+    cut = sized.withColumn("blocks_", F.when(~F.col("fits_"), paragraphs(F.col("text"))).otherwise(no_texts))
+    cut = cut.withColumn("sizes_", by.counts(F.col("blocks_")))
+    packed = cut_at(F.col("blocks_"), packed_at(F.col("sizes_"), F.col("most_")), lambda x: F.array_join(x, "\n\n"))
+    cut = cut.withColumn("whole_", F.when(F.size("blocks_") > 1, packed).when(~F.col("fits_"), F.array("text")).otherwise(no_texts))
+    cut = cut.withColumn("sizes_", by.counts(F.col("whole_")))
+    cut = cut.withColumn("cut_", by.capped(F.col("whole_"), F.col("sizes_"), F.col("most_"), MARGIN))
+    # What a measure gives stays out of the lambdas: it may come from Python, which can't run there.
+    cut = cut.withColumn("sizes_", by.counts(F.when(box, no_texts).otherwise(F.col("cut_"))))
+    following = F.concat(F.slice("sizes_", F.lit(2), F.greatest(F.size("sizes_") - 1, F.lit(0))), F.array(F.lit(MOST_WORDS).cast("long")))
+    room = F.transform(F.when(F.size("sizes_") > 0, following).otherwise(F.array().cast("array<long>")), lambda n: F.greatest(F.least(F.lit(OVERLAP).cast("long"), MOST_WORDS - by.JOINT - n), F.lit(0).cast("long")))
+    cut = cut.withColumn("room_", room).withColumn("tails_", by.tails(F.when(box, no_texts).otherwise(F.col("cut_")), F.col("room_")))
+    mark = F.concat(F.lit("[BOX START: "), F.col("heading"), F.lit("] (continued)\n\n"))
+    tail = lambda x: F.when(F.coalesce(x["tail"], F.lit("")) == "", "").otherwise(F.concat(x["tail"], F.lit("\n\n")))
+    lead = lambda x, i: F.when(i == 0, "").when(box, F.when(x["piece"].startswith("[BOX START:"), "").otherwise(mark)).otherwise(tail(x))
+    made = lambda x, i: bind(lead(x, i), lambda y: F.struct(F.concat(y, x["piece"]).alias("text"), F.length(y).alias("lead")))
+    zipped = F.arrays_zip(F.col("cut_").alias("piece"), F.concat(F.array(F.lit("")), F.col("tails_")).alias("tail"))
+    zipped = F.slice(zipped, F.lit(1), F.size("cut_"))
+    whole = F.transform(F.when(F.col("text") == "", no_texts).otherwise(F.array("text")), lambda p: F.struct(p.alias("text"), F.lit(0).alias("lead")))
+    pieces = F.when(F.col("fits_") | (F.col("text") == ""), whole).otherwise(F.transform(zipped.cast("array<struct<piece:string,tail:string>>"), made))
+    return cut.withColumn("pieces", pieces).drop("fits_", "most_", "blocks_", "sizes_", "whole_", "cut_", "room_", "tails_")
 
 
 def paragraph_range(document_type: Column, piece: Column, n_pieces: Column) -> Column:
@@ -85,25 +82,27 @@ def paragraph_range(document_type: Column, piece: Column, n_pieces: Column) -> C
     return F.when(document_type == "MPC_minutes", minutes).when(document_type.isin("MPR", "FSR"), report).otherwise(F.col("heading"))
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
+def chunk_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The chunks of ``docs`` (doc_id, text, document_type, date, title, source_url, speaker) in order.
 
-    Gives chunk_id, chunk_no (from 1 over what is kept), text, token_count and
-    the metadata. Pieces below ``DROP_BELOW`` words go unless they are votes,
-    statements or boxes.
+    Gives chunk_id, chunk_no (from 1 over what is kept), text, token_count,
+    lead (characters at its head that aren't its own) and the metadata. Sizes
+    are words, or tokens of the ``vocabulary`` file. Pieces below
+    ``DROP_BELOW`` go unless they are votes, statements or boxes.
     """
+    by = measure(vocabulary)
     facts = docs.select("doc_id", "document_type", "date", "title", "source_url", F.col("speaker").alias("doc_speaker"))
     known = sections(docs.select("doc_id", "text")).join(docs.select("doc_id", F.col("document_type")), "doc_id")
-    joined = merged(categorised(known, F.col("document_type"))).withColumn("text", body(F.col("lines")))
-    found = with_pieces(joined).drop("text")
-    found = found.select("*", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece", "text")).drop("pieces")
-    found = found.withColumn("token_count", word_count(F.col("text"))).filter(F.col("section_type").isin(KEEP_ANY_SIZE) | (F.col("token_count") >= DROP_BELOW))
+    joined = merged(categorised(known, F.col("document_type"), by.count)).withColumn("text", body(F.col("lines")))
+    found = with_pieces(joined, by).drop("text")
+    found = found.select("*", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece", "own_")).drop("pieces").select("*", "own_.text", "own_.lead")
+    found = found.withColumn("token_count", by.count(F.col("text"))).filter(F.col("section_type").isin(KEEP_ANY_SIZE) | (F.col("token_count") >= DROP_BELOW))
     found = found.join(facts, "doc_id").withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "piece")))
     speech = F.col("document_type") == "speech"
     place = F.when(speech, F.col("chunk_no").cast("string")).otherwise(paragraph_range(F.col("document_type"), F.col("piece"), F.col("n_pieces")))
     own = F.when((F.col("section_type") == "member") & (F.col("speaker") != ""), normalise_speaker(F.col("speaker"))).when(speech & (F.col("doc_speaker") != ""), F.col("doc_speaker"))
     return found.select(
-        "doc_id", "chunk_no", F.format_string("%s_%s_%03d", F.col("doc_id").cast("string"), "category", "chunk_no").alias("chunk_id"), "text", "token_count",
+        "doc_id", "chunk_no", F.format_string("%s_%s_%03d", F.col("doc_id").cast("string"), "category", "chunk_no").alias("chunk_id"), "text", "token_count", "lead",
         "document_type", "date", F.col("category").alias("section_category"), own.alias("speaker"), "source_url", place.alias("paragraph_range"), "title",
     )
 

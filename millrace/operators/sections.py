@@ -7,6 +7,8 @@ whatever stands in it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,8 +87,8 @@ def body(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 
-def categorised(found: DataFrame, document_type: Column) -> DataFrame:
-    return found.withColumn("category", category(F.col("heading"), F.col("section_type"), document_type)).withColumn("tokens", word_count(body(F.col("lines"))))
+def categorised(found: DataFrame, document_type: Column, count: Callable[[Column], Column] = word_count) -> DataFrame:
+    return found.withColumn("category", category(F.col("heading"), F.col("section_type"), document_type)).withColumn("tokens", count(body(F.col("lines"))))
 
 
 def merged(found: DataFrame) -> DataFrame:

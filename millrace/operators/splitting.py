@@ -1,4 +1,8 @@
-"""Sizes in tokens of a public vocabulary, and texts cut at the largest breaks that fit."""
+"""Sizes of texts in words or in tokens of a public vocabulary, and texts cut at the largest breaks that fit.
+
+A ``Measure`` works on whole arrays of texts, a batch of rows at a time, so
+that folds over the sizes need no function inside a lambda.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StringType
+
+from millrace.functions.text import word_count, words
 
+#: Texts that the library encodes at once.
+AT_ONCE = 256
 #: Where texts are cut, the largest breaks first; at last between characters.
 BREAKS = ("\n\n", "\n", " ", "")
 MOST = 500
@@ -26,17 +34,17 @@ def _library(vocabulary: str):
 def _size(vocabulary: str | None) -> Callable[[list[str]], list[int]]:
     if vocabulary is None:
         return lambda texts: [len(x.split()) for x in texts]
-    return lambda texts: [len(x.ids) for x in _library(vocabulary).encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(x.ids) for k in range(0, len(texts), AT_ONCE) for x in _library(vocabulary).encode_batch(texts[k : k + AT_ONCE], add_special_tokens=False)]
 
 
-def token_count(text: Column, vocabulary: str) -> Column:
-    """The tokens of each text by the vocabulary file; a null or empty text has none."""
+def token_count(text: Column, vocabulary: str, in_place: bool = False) -> Column:
+    """The tokens of each text by the vocabulary file; a null or empty text has none. ``in_place`` keeps the planner from moving it."""
 
     @F.arrow_udf(LongType())
     def counts(texts: pa.Array) -> pa.Array:
         return pa.array(_size(vocabulary)([x or "" for x in texts.to_pylist()]), pa.int64())
 
-    return counts(text)
+    return (counts.asNondeterministic() if in_place else counts)(text)
 
 
 def split(text: str, most: int, size: Callable[[list[str]], list[int]], breaks: tuple[str, ...] = BREAKS) -> list[str]:
@@ -59,6 +67,106 @@ def split(text: str, most: int, size: Callable[[list[str]], list[int]], breaks:
     return out
 
 
+class Words:
+    """Sizes in words between Unicode white space."""
+
+    #: What joining two texts by a blank line may add to their sizes.
+    JOINT = 0
+
+    def count(self, text: Column) -> Column:
+        return word_count(text)
+
+    def counts(self, texts: Column) -> Column:
+        return F.transform(texts, word_count)
+
+    def capped(self, pieces: Column, sizes: Column, most: Column, margin: int) -> Column:
+        """Pieces of these sizes, those larger than ``most`` cut to ``margin`` less."""
+        step = F.greatest(most - margin, F.lit(1))
+        return F.flatten(F.zip_with(pieces, sizes, lambda p, n: F.when(n <= most, F.array(p)).otherwise(word_slices(p, step))))
+
+    def tails(self, pieces: Column, sizes: Column) -> Column:
+        """The end of each piece, of so many words."""
+        tail = lambda p, n: F.when(n <= 0, "").when(word_count(p) <= n, p).otherwise(F.array_join(F.slice(words(p), -n.cast("int"), n.cast("int")), " "))
+        return F.zip_with(pieces, sizes, tail)
+
+
+class Tokens:
+    """Sizes in tokens of a vocabulary file; a null text has none.
+
+    The functions count as not deterministic, so that the planner leaves each
+    where it stands: it runs once, and is not moved into a lambda or a generator.
+    """
+
+    JOINT = 2
+
+    def __init__(self, vocabulary: str):
+        self.vocabulary = vocabulary
+
+    def count(self, text: Column) -> Column:
+        return token_count(text, self.vocabulary, in_place=True)
+
+    def counts(self, texts: Column) -> Column:
+        vocabulary = self.vocabulary
+
+        @F.arrow_udf(ArrayType(LongType()))
+        def sizes(lists: pa.Array) -> pa.Array:
+            flat = [x or "" for x in lists.flatten().to_pylist()]
+            return _like(lists, pa.array(_size(vocabulary)(flat), pa.int64()))
+
+        return sizes.asNondeterministic()(texts)
+
+    def capped(self, pieces: Column, sizes: Column, most: Column, margin: int) -> Column:
+        """Pieces of these sizes, those larger than ``most`` cut to ``margin`` less, at the largest breaks that do."""
+        vocabulary = self.vocabulary
+
+        @F.arrow_udf(ArrayType(StringType()))
+        def cut(lists: pa.Array, known: pa.Array, limits: pa.Array) -> pa.Array:
+            size = _size(vocabulary)
+            pieces = lambda x, n, limit: [x] if n <= limit else [y for y in split(x, max(1, limit - margin), size) if y.strip()]
+            rows = zip(lists.to_pylist(), known.to_pylist(), limits.to_pylist(), strict=True)
+            return pa.array([None if own is None else [y for x, n in zip(own, ns, strict=True) for y in pieces(x, n, limit)] for own, ns, limit in rows], pa.list_(pa.string()))
+
+        return cut.asNondeterministic()(pieces, sizes, most.cast("long"))
+
+    def tails(self, pieces: Column, sizes: Column) -> Column:
+        """The end of each piece, of so many tokens."""
+        vocabulary = self.vocabulary
+
+        @F.arrow_udf(ArrayType(StringType()))
+        def ends(lists: pa.Array, wanted: pa.Array) -> pa.Array:
+            def end(text: str, n: int) -> str:
+                if n <= 0:
+                    return ""
+                places = _library(vocabulary).encode(text, add_special_tokens=False).offsets
+                return text if len(places) <= n else text[places[-n][0] :]
+
+            rows = zip(lists.to_pylist(), wanted.to_pylist(), strict=True)
+            return pa.array([None if x is None else [end(t, n) for t, n in zip(x, k, strict=True)] for x, k in rows], pa.list_(pa.string()))
+
+        return ends.asNondeterministic()(pieces, sizes)
+
+
+Measure = Words | Tokens
+
+
+def _like(lists: pa.Array, flat: pa.Array) -> pa.Array:
+    """An array of lists with other values."""
+    lengths = [0 if n is None else n for n in lists.value_lengths().to_pylist()]
+    offsets = pa.array([0, *pd.Series(lengths, dtype="int64").cumsum().tolist()], pa.int32())
+    return pa.ListArray.from_arrays(offsets, flat, mask=lists.is_null() if lists.null_count else None)
+
+
+def measure(vocabulary: str | None) -> Measure:
+    return Words() if vocabulary is None else Tokens(vocabulary)
+
+
+def word_slices(text: Column, most: int | Column) -> Column:
+    """A text cut after every ``most`` words."""
+    step = most if isinstance(most, Column) else F.lit(most)
+    found = F.transform(F.array(words(text)), lambda w: F.transform(F.sequence(F.lit(0), F.greatest((F.size(w) - 1).cast("int"), F.lit(0)), step), lambda k: F.array_join(F.slice(w, k + 1, step), " ")))
+    return F.filter(F.get(found, F.lit(0)), lambda x: x != "")
+
+
 def recursive_chunks(docs: DataFrame, most: int = MOST, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, chunk_no, chunk_id, text, token_count) of ``docs`` (doc_id, text): fixed-size chunks without structure.
 
