@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -12,8 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESAMPLES, SEED, CONFIDENCE = 10_000, 42, 0.95
-#: Pairs of a group that are resampled one by one; larger groups are resampled by the counts of their values.
-SMALL = 1_000
 #: Different values in a block, by expectation, and resamples that a task draws at once.
 BLOCK_VALUES, CHUNK = 4_096, 250
 
@@ -51,18 +50,6 @@ def wilcoxon(diffs: DataFrame, group: str) -> DataFrame:
     return ranked.select(group, "n", "w", F.when((F.col("n") >= 2) & (F.col("variance") > 0), below(z)).alias("p"))
 
 
-def interval(d: np.ndarray, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> tuple[float | None, float | None]:
-    """The bias-corrected and accelerated bootstrap interval of a mean; none below three pairs or without spread."""
-    n = len(d)
-    if n < 3 or np.ptp(d) == 0:
-        return None, None
-    mean = d.mean()
-    drawn = d[np.random.default_rng(seed).integers(0, n, (resamples, n))].mean(1)
-    left_out = (d.sum() - d) / (n - 1)
-    u = (n - 1) * (left_out.mean() - left_out)
-    return _ends(drawn, mean, (u**3).sum() / n**3 / (6 * ((u**2).sum() / n**2) ** 1.5), confidence)
-
-
 def _ends(drawn: np.ndarray, mean: float, skew: float, confidence: float) -> tuple[float | None, float | None]:
     """The interval from the resamples' means and the acceleration; none if all means lie on one side."""
     normal = NormalDist()
@@ -85,10 +72,11 @@ def _draw(seed: int, resamples: int):
                 n = min(CHUNK, resamples - first)
                 sizes = np.asarray([x["size"] for x in row.sizes], np.int64)
                 at = [x["block"] for x in row.sizes].index(row.block)
+                name = zlib.crc32(row.id.encode())
                 # The same for all blocks of a group, so that the blocks' shares of a resample add up to its pairs.
-                shares = np.random.default_rng([seed, int(row.chunk)]).multinomial(int(sizes.sum()), sizes / sizes.sum(), n)[:, at]
+                shares = np.random.default_rng([seed, name, int(row.chunk)]).multinomial(int(sizes.sum()), sizes / sizes.sum(), n)[:, at]
                 t = np.asarray([x["t"] for x in row.own], np.int64)
-                own = np.random.default_rng([seed, int(row.chunk), int(row.block) + 1])
+                own = np.random.default_rng([seed, name, int(row.chunk), int(row.block) + 1])
                 values = np.asarray([x["d"] for x in row.own], np.float64)
                 part = [float(own.multinomial(m, t / t.sum()) @ values) for m in shares]
                 yield pd.DataFrame({"id": row.id, "resample": np.arange(first, first + n), "part": part})
@@ -96,18 +84,22 @@ def _draw(seed: int, resamples: int):
     return run
 
 
-def bootstrap_counted(diffs: DataFrame, group: str, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
-    """(group, n, low, high) from the counts of each group's different values.
+def bootstrap(diffs: DataFrame, group: str, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
+    """(group, n, low, high): the bias-corrected and accelerated bootstrap interval of each group's mean, from the counts of its different values.
 
-    A resample is a multinomial over blocks of values, and one over the values
-    of each block; blocks and runs of resamples go to tasks, and only a
-    group's means of resamples come together.
+    None below three pairs or without spread. A resample is a multinomial over
+    blocks of values, and one over the values of each block, with random
+    numbers by group, run of resamples and block; a group has as many blocks
+    as its own different values ask for. So its interval is the same however
+    the rows are dealt and whatever other groups there are. Blocks and runs go
+    to tasks, and only a group's means of resamples come together.
     """
     values = diffs.groupBy(group, "d").agg(F.count("*").alias("t"))
-    parts = max(1, -(-values.count() // BLOCK_VALUES))
-    values = values.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(parts)))
-    blocks = values.groupBy(group, "block").agg(F.sum("t").alias("size"), F.array_sort(F.collect_list(F.struct("d", "t"))).alias("own"))
     facts = values.groupBy(group).agg(F.sum("t").alias("n"), (F.sum(F.col("t") * F.col("d")) / F.sum("t")).alias("mean"), F.count("*").alias("different"))
+    parts = F.ceil(F.col("f.different") / BLOCK_VALUES)
+    same_group = F.col(f"v.{group}").eqNullSafe(F.col(f"f.{group}"))
+    values = values.alias("v").join(facts.alias("f"), same_group).select("v.*", F.pmod(F.xxhash64("v.d"), parts).alias("block"))
+    blocks = values.groupBy(group, "block").agg(F.sum("t").alias("size"), F.array_sort(F.collect_list(F.struct("d", "t"))).alias("own"))
     same = F.col(f"v.{group}").eqNullSafe(F.col(f"f.{group}"))
     off = F.col("v.d") - F.col("f.mean")
     power = lambda k: F.sum(F.col("v.t") * F.pow(off, k))
@@ -127,16 +119,3 @@ def bootstrap_counted(diffs: DataFrame, group: str, resamples: int = RESAMPLES,
 
     found = skewed.join(means, "id").select(group, "n", ends("totals", "n", "mean", "different", "u3", "u2").alias("x"))
     return found.select(group, "n", "x.low", "x.high")
-
-
-def bootstrap(diffs: DataFrame, group: str, small: int = SMALL) -> DataFrame:
-    """(group, n, low, high); groups of up to ``small`` pairs are resampled in one task, larger ones by the counts of their values."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = interval(np.sort(rows["d"].to_numpy()) if "at" not in rows else rows.sort_values("at")["d"].to_numpy())
-        return pd.DataFrame({group: [rows[group].iloc[0]], "n": [len(rows)], "low": pd.Series([low], dtype="float64"), "high": pd.Series([high], dtype="float64")})
-
-    kind = diffs.schema[group].dataType.simpleString()
-    sized = diffs.alias("d").join(diffs.groupBy(group).agg(F.count("*").alias("pairs_")).alias("s"), F.col(f"d.{group}").eqNullSafe(F.col(f"s.{group}"))).select("d.*", "pairs_")
-    few = sized.filter(F.col("pairs_") <= small).drop("pairs_").groupBy(group).applyInPandas(run, f"{group} {kind}, n long, low double, high double")
-    return few.unionByName(bootstrap_counted(sized.filter(F.col("pairs_") > small), group))

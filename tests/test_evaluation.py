@@ -5,6 +5,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import evaluation as E
 from millrace.operators import paired
@@ -32,32 +33,36 @@ def test_wilcoxon(spark):
     assert paired.wilcoxon(pairs(spark, [(0.1, 0.2)]), "g").first().p is None
 
 
-def test_bootstrap(spark):
-    assert paired.interval(np.array([0.1])) == (None, None) and paired.interval(np.zeros(5)) == (None, None)
-    d = np.random.default_rng(1).normal(0.3, 0.1, 30)
-    low, high = paired.interval(d)
-    assert low < d.mean() < high and high - low < 0.1
+def plain_interval(d, resamples=10_000, seed=7):
+    """The interval by resampling pairs one by one."""
+    n, rng = len(d), np.random.default_rng(seed)
+    drawn = d[rng.integers(0, n, (resamples, n))].mean(1)
+    u = (n - 1) * (((d.sum() - d) / (n - 1)).mean() - (d.sum() - d) / (n - 1))
+    return paired._ends(drawn, d.mean(), (u**3).sum() / n**3 / (6 * ((u**2).sum() / n**2) ** 1.5), 0.95)
+
+
+@pytest.mark.parametrize("n", [4, 30, 1000, 1001])
+def test_bootstrap(spark, n):
+    """One scheme at every size: near the interval of plain resampling, within a tenth of its length."""
+    d = np.round(np.random.default_rng(n).normal(0.3, 0.1, n), 3)
+    low, high = plain_interval(d)
     r = paired.bootstrap(pairs(spark, [(0.0, float(x)) for x in d]), "g").first()
-    assert (r.low, r.high) == pytest.approx(paired.interval(np.sort(d))) and r.n == 30
-
-
-def test_bootstrap_of_a_large_group(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    d = rng.choice([-1.0, 0.0, 1.0], 1500, p=[0.2, 0.3, 0.5])
-    want = paired.interval(np.sort(d))
-    many = pairs(spark, [(0.0, float(x)) for x in d])
-    monkeypatch.setattr(paired, "interval", lambda rows: pytest.fail("a large group in one task"))
-    r = paired.bootstrap(many, "g").first()
-    assert r.n == 1500 and (r.low, r.high) == pytest.approx(want, abs=0.006)
-    monkeypatch.setattr(paired, "BLOCK_VALUES", 100)
-    fine = np.round(rng.normal(0.3, 1, 1200), 4)
-    monkeypatch.undo()
-    want = paired.interval(np.sort(fine))
-    monkeypatch.setattr(paired, "BLOCK_VALUES", 100)
-    r = paired.bootstrap_counted(pairs(spark, [(0.0, float(x)) for x in fine]), "g").first()
-    assert r.n == 1200 and (r.low, r.high) == pytest.approx(want, abs=0.01)
-    same = paired.bootstrap_counted(pairs(spark, [(0.0, 1.0)] * 20), "g").first()
-    assert (same.n, same.low, same.high) == (20, None, None)
+    assert r.n == n and (r.low, r.high) == pytest.approx((low, high), abs=0.1 * (high - low))
+
+
+def test_bootstrap_is_the_same_however_dealt(spark, monkeypatch):
+    """Neither partitions nor other groups change a group's interval; blocks of values add up."""
+    monkeypatch.setattr(paired, "BLOCK_VALUES", 50)
+    d = np.round(np.random.default_rng(3).normal(0.3, 1, 700), 4)
+    one = pairs(spark, [(0.0, float(x)) for x in d])
+    want = paired.bootstrap(one, "g").first()
+    more = one.unionByName(pairs(spark, [(0.0, float(x)) for x in range(300)]).withColumn("g", F.lit("h"))).repartition(7)
+    got = {r.g: r for r in paired.bootstrap(more, "g").collect()}
+    assert (got["g"].n, got["g"].low, got["g"].high) == (want.n, pytest.approx(want.low, rel=1e-12), pytest.approx(want.high, rel=1e-12)) and got["h"].n == 300
+    low, high = plain_interval(d)
+    assert (want.low, want.high) == pytest.approx((low, high), abs=0.1 * (high - low))
+    few = {r.g: (r.n, r.low, r.high) for r in paired.bootstrap(pairs(spark, [(0.0, 1.0)] * 20).unionByName(pairs(spark, [(0.0, 1.0), (0.0, 2.0)]).withColumn("g", F.lit(None))), "g").collect()}
+    assert few == {"g": (20, None, None), None: (2, None, None)}
 
 
 RESULT = "question_id string, rewrites int, failures int, is_grounded boolean, filters string, chunks_retrieved int, chunks_used int, trace array<string>, pre_rerank_ids array<string>, post_rerank_ids array<string>, answer string"
