@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.jobs.documents import WORDS
 from millrace.jobs.registry import register, table
 from millrace.operators import evaluation, vectors
+from millrace.sources.shared import Steps
 from millrace.streaming.ingest import sessions as runs
 
 COSINE = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -55,6 +56,21 @@ def nearest_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_batch(all_, queries, 3)
 
 
+@register("SELECT (SELECT count(*) FROM embeddings) AS n_rows, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS n_queries, true AS enough, true AS all_cells_exact")
+def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in cells, and the stated queries among a part of the cells and among all, against exact search: recall of 0.9, and of 1."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    cells = vectors.fit_cells(rows)
+    with Steps(spark) as steps:
+        stored = steps.keep(vectors.in_cells(rows, cells))
+        exact = vectors.nearest_batch(rows, queries, 10)
+        part = vectors.recall(vectors.nearest_in_cells(stored, cells, queries, 10, max(1, -(-len(cells) * 3 // 4))), exact)
+        whole = vectors.recall(vectors.nearest_in_cells(stored, cells, queries, 10, len(cells)), exact)
+        counts = stored.agg(F.count("cell").alias("n_rows"))
+        return steps.finish(counts.join(F.broadcast(queries.agg(F.count("*").alias("n_queries")))).select("n_rows", "n_queries", F.lit(part >= 0.9).alias("enough"), F.lit(whole == 1.0).alias("all_cells_exact")))
+
+
 @register(
     """SELECT vec_id, label, sha256(CAST(vec_id AS VARCHAR) || ':' || CAST(label AS VARCHAR)) AS mark FROM (
     SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0)"""

@@ -1,24 +1,31 @@
-"""Vector collections: upsert, batches, exact nearest neighbours with metadata filters."""
+"""Vector collections: upsert, batches, exact nearest neighbours with metadata filters, and neighbours by cells."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clean, word_count
+from millrace.sources.shared import Steps
 
 # Records and words of an embedding batch.
 BATCH_RECORDS, BATCH_WORDS = 100, 30_000
 #: Texts in a partition, by expectation, of which only the numbers of words come together.
 RUN_ROWS = 200_000
-#: Query vectors that go to all tasks at once; more are taken in blocks of so many.
-QUERY_BLOCK = 2_000
+#: Bytes of query vectors that go to all tasks in one scan of the collection, and cosines that are computed at once.
+QUERY_BYTES, PAIRS = 64 << 20, 1 << 21
+#: What rounding may do to a product of unit vectors.
+SLACK = 1e-9
+#: Rows that cells are fitted on, rounds of fitting, and cells of a collection if its size doesn't ask for fewer.
+CELL_SAMPLE, CELL_ROUNDS, MOST_CELLS = 20_000, 8, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -118,12 +125,14 @@ def batches(records: DataFrame, group: str, order: str, text: str, run_rows: int
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // run_rows))
     ranged = sized.repartitionByRange(parts, group, order, "w").withColumn("part", F.spark_partition_id())
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "w"))), lambda x: x["w"])
-    runs = ranged.groupBy(group, "part").agg(listed.alias("ws")).withColumn("id", F.to_json(F.struct(group))).persist(StorageLevel.MEMORY_AND_DISK)
+    steps = Steps(spark)
+    runs = steps.keep(ranged.groupBy(group, "part").agg(listed.alias("ws")).withColumn("id", F.to_json(F.struct(group))))
     facts = runs.select("id", "part", "ws").mapInPandas(_summaries, "id string, part int, n long, total long, heads array<long>, steps array<long>, words array<long>, records array<long>")
     starts = facts.groupBy("id").applyInPandas(_starts, "id string, part int, batch int, words long, records long")
     pieces = runs.select("id", "part", "ws").join(starts, ["id", "part"]).mapInPandas(_pieces, "id string, batch int, records int, words long")
     found = pieces.groupBy("id", "batch").agg(F.sum("records").cast("int").alias("records"), F.sum("words").alias("words"))
-    return found.join(runs.select("id", group).distinct(), "id").select(group, "batch", "records", "words")
+    with steps:
+        return steps.finish(found.join(runs.select("id", group).distinct(), "id").select(group, "batch", "records", "words"))
 
 
 def matches(filters: dict[str, str | None]) -> Column:
@@ -143,20 +152,170 @@ def nearest(collection: DataFrame, query: list[float], k: int, filters: dict | N
     return scored.orderBy(F.desc("raw"), "vec_id").limit(k).select("vec_id", F.round("raw", 4).alias("score"))
 
 
+@dataclass
+class _Queries:
+    """Query vectors of one length, in units, with what each asks of each filter (null: any), and the cells that each looks in."""
+
+    ids: pa.Array
+    vectors: np.ndarray
+    wanted: list[pa.Array]
+    cells: np.ndarray | None = None
+
+
+def _plain(listed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places, vectors) of the vectors that have a length, all of them finite and of the most usual size."""
+    sizes = pc.fill_null(pc.list_value_length(listed), -1).to_numpy(zero_copy_only=False)
+    if not (sizes > 0).any():
+        return np.empty(0, np.int64), np.empty((0, 0))
+    width = int(np.bincount(sizes[sizes > 0]).argmax())
+    at = np.flatnonzero(sizes == width)
+    m = pc.list_flatten(listed.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    ok = np.isfinite(m).all(1) & (m != 0).any(1)
+    return at[ok], m[ok]
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(1, keepdims=True)) if len(m) else m
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row with the other's, summed in order, so that equal vectors have equal cosines wherever they lie."""
+    dot_ = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
+    return dot_(a, b) / np.sqrt(dot_(a, a) * dot_(b, b))
+
+
+def _near(batch: pa.RecordBatch, q: _Queries, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of queries, places of rows, cosines) of the k nearest rows of a batch, and of all that tie with the last."""
+    at, m = _plain(batch.column(1))
+    if not len(at) or m.shape[1] != q.vectors.shape[1]:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+    units, asked = _units(m), _units(q.vectors)
+    filters = []
+    for i, wanted in enumerate(q.wanted):
+        own = batch.column(2 + i).take(pa.array(at))
+        kinds = pc.unique(own).drop_null()
+        code = lambda x, none: pc.fill_null(pc.index_in(x, value_set=kinds), none).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        filters.append((pc.is_valid(wanted).to_numpy(zero_copy_only=False), code(wanted, -2), code(own, -3)))
+    cell = batch.column(2 + len(q.wanted)).take(pa.array(at)).to_numpy(zero_copy_only=False) if q.cells is not None else None
+    step, out = max(1, PAIRS // max(1, len(at))), []
+    for start in range(0, len(asked), step):
+        block = slice(start, start + step)
+        score = asked[block] @ units.T
+        for asks, value, own in filters:
+            score[asks[block, None] & (value[block, None] != own[None, :])] = -np.inf
+        if cell is not None:
+            score[~(q.cells[block][:, :, None] == cell[None, None, :]).any(1)] = -np.inf
+        if score.shape[1] > k:
+            least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None] - SLACK
+            who, row = np.nonzero((score >= least) & (score > -np.inf))
+        else:
+            who, row = np.nonzero(score > -np.inf)
+        out.append((who + start, at[row], _cosines(m[row], q.vectors[who + start])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _neighbours(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                who, row, raw = _near(batch, sent.value, k)
+                yield pa.RecordBatch.from_arrays([sent.value.ids.take(pa.array(who)), batch.column(0).take(pa.array(row)), pa.array(raw)], names=["query_id", "vec_id", "raw"])
+
+    return run
+
+
+def _asked(own: pa.Table, columns: list[str], cells: np.ndarray | None = None, probes: int = 0) -> _Queries:
+    at, m = _plain(own["query_vector"].combine_chunks())
+    take = lambda c: own[c].combine_chunks().take(pa.array(at))
+    return _Queries(take("query_id"), m, [take(c) for c in columns], None if cells is None else _closest(_units(m), cells, probes))
+
+
+def _closest(units: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+    """The n cells nearest to each vector, the nearest first."""
+    return np.argsort(-(units @ cells.T), axis=1, kind="stable")[:, :n]
+
+
+def _searched(collection: DataFrame, queries: DataFrame, k: int, columns: list[str], cells: np.ndarray | None, probes: int) -> DataFrame:
+    spark = collection.sparkSession
+    with Steps(spark) as steps:
+        kept = steps.keep(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"), *(clean(F.col(c).cast("string")).alias(c) for c in columns)))
+        size = kept.agg(F.sum(8 * F.size("query_vector"))).first()[0] or 0
+        blocks = max(1, -(-size // QUERY_BYTES))
+        rows = collection.filter("vec_id is not null").select("vec_id", "embedding", *(F.col(c).cast("string").alias(c) for c in columns), *(["cell"] if cells is not None else []))
+        kinds = {"q": queries.schema["query_id"].dataType.simpleString(), "v": collection.schema["vec_id"].dataType.simpleString()}
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "vec_id"))
+        best = None
+        for block in range(blocks):
+            own = _asked(kept.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow(), columns, cells, probes)
+            if cells is not None:  # only the cells that are asked for are read
+                rows = rows.filter(F.col("cell").isin(np.unique(own.cells).tolist())) if blocks == 1 else rows
+            sent = spark.sparkContext.broadcast(own)
+            found = rows.mapInArrow(_neighbours(sent, k), f"query_id {kinds['q']}, vec_id {kinds['v']}, raw double")
+            part = steps.keep(found.withColumn("rank", rank).filter(F.col("rank") <= k))
+            best = part if best is None else best.unionByName(part)
+            sent.destroy()
+        return steps.finish(best.select("query_id", "vec_id", "rank", F.round("raw", 4).alias("score")))
+
+
 def nearest_batch(collection: DataFrame, queries: DataFrame, k: int, columns: list[str] | None = None) -> DataFrame:
-    """(query_id, vec_id, rank, score): the k nearest rows of each of ``queries`` (query_id, query_vector, filters).
+    """(query_id, vec_id, rank, score): the k nearest rows of each of ``queries`` (query_id, query_vector, filters), ties by vec_id.
+
+    Queries are a stated set; ``QUERY_BYTES`` of their vectors go to all tasks
+    in one scan. A task multiplies its rows by all of them and looks at the
+    nearest again, with sums in order; only the k nearest of a task leave it.
+    Vectors that are null, of another size, not finite or without length are
+    no one's neighbours and have none. Filters with a value must be equal.
+    """
+    return _searched(collection, queries, k, columns or [], None, 0)
 
-    Queries are a stated set, taken in blocks of ``QUERY_BLOCK`` that go to all
-    tasks. The limit on the rank is applied in each task before any rows are
-    moved.
+
+def fit_cells(collection: DataFrame, n: int | None = None, sample: int = CELL_SAMPLE) -> np.ndarray:
+    """Centres of cells as unit vectors, by k-means over a bounded sample: the ``sample`` rows with the lowest hashes of their ids.
+
+    About the square root of the collection's rows, or ``n`` of them; fewer where the sample has fewer vectors.
+    """
+    n = n or max(1, min(MOST_CELLS, int(collection.count() ** 0.5)))
+    rows = collection.filter("vec_id is not null and embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    _, m = _plain(rows.select(F.col("embedding").cast("array<double>").alias("embedding")).toArrow()["embedding"].combine_chunks())
+    if not len(m):
+        return np.empty((0, 0))
+    units = _units(m)
+    cells = units[np.unique(np.linspace(0, len(units) - 1, min(n, len(units))).astype(int))]
+    for _ in range(CELL_ROUNDS):
+        own = _closest(units, cells, 1)[:, 0]
+        total = np.zeros_like(cells)
+        np.add.at(total, own, units)
+        cells = np.where((total != 0).any(1, keepdims=True), total, cells)
+        cells = _units(cells)
+    return cells
+
+
+def in_cells(collection: DataFrame, cells: np.ndarray) -> DataFrame:
+    """``collection`` with the cell of each row, -1 for a vector that no one is near to; every row is in a cell, whatever the sample was."""
+    kind = ", ".join([*(f"`{c}` {t}" for c, t in collection.dtypes if c != "cell"), "cell int"])
+    names = [c for c in collection.columns if c != "cell"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full(len(batch), -1, np.int32)
+            at, m = _plain(batch.column(batch.schema.get_field_index("embedding")))
+            if len(at) and len(cells) and m.shape[1] == cells.shape[1]:
+                out[at] = _closest(_units(m), cells, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "cell"])
+
+    return collection.select(*names).mapInArrow(run, kind)
+
+
+def nearest_in_cells(collection: DataFrame, cells: np.ndarray, queries: DataFrame, k: int, probes: int, columns: list[str] | None = None) -> DataFrame:
+    """As ``nearest_batch``, among the rows of the ``probes`` cells nearest to each query only; with all cells it is the same.
+
+    ``collection`` is one that ``in_cells`` gave, best stored partitioned by
+    cell, so that a few queries read a few cells.
     """
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    numbered = queries.withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    out = None
-    for block in range(parts):
-        own = F.broadcast(numbered.filter(F.col("block_") == block))
-        pairs = collection.alias("c").join(own.alias("q"), filter_or_null("q", "c", columns or []) & F.col("c.vec_id").isNotNull(), "inner")
-        scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("raw")).filter("raw is not null")
-        out = scored if out is None else out.unionByName(scored)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("raw", 4).alias("score"))
+    return _searched(collection, queries, k, columns or [], cells, probes)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours that were found."""
+    hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
+    return hits / max(1, exact.count())

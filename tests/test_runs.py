@@ -39,6 +39,73 @@ def test_collection(spark, tmp_path):
     assert build_index(spark, library(spark), library(spark).limit(3), f"file://{tmp_path}/both") == {"enhanced": 4, "baseline": 3}
 
 
+def test_a_collection_grows_by_what_changes(spark, tmp_path):
+    """A change of one in a hundred writes about that much; deltas merge once they are large; all reads equal a rewritten table."""
+    store = Collection(spark, f"file://{tmp_path}/v", merge_at=0.05)
+    rows = spark.range(2000).select(F.concat(F.lit("r"), "id").alias("id"), F.concat(F.lit("text of "), F.col("id") * 7).alias("text"))
+    store.index(rows)
+    names = lambda kind: [x.name for x in tmp_path.joinpath("v").iterdir() if x.name.startswith(kind)]
+    size = lambda name: sum(p.stat().st_size for p in tmp_path.joinpath("v", name).rglob("*.parquet"))
+    want = {r.id: r.text for r in rows.collect()}
+    for turn in range(6):
+        part = rows.filter(F.col("id").endswith(f"{turn}0")).withColumn("text", F.lit(f"turn {turn}"))
+        store.upsert(part.unionByName(rows.filter("id = 'r1'")))
+        want |= {r.id: r.text for r in part.collect()}
+        if turn == 0:
+            (delta,) = names("delta")
+            assert size(delta) < 0.2 * size(names("base")[0]) and spark.read.parquet(f"{tmp_path}/v/{delta}").count() == part.count()
+        gone = [f"r{turn}5", f"r{turn}6", "nothing"]
+        store.delete(spark.createDataFrame([(x,) for x in gone], "id string"))
+        want = {k: v for k, v in want.items() if k not in gone}
+        assert {r.id: r.text for r in store.read().collect()} == want and store.count() == len(want)
+    assert len(names("base")) == 2 and len(names("delta")) < 12
+    again = store.upsert(rows.filter("id = 'r05' or id = 'r15'"))
+    assert again.filter("id = 'r15'").first()["text"] == "text of 105"
+    assert store.index(rows.limit(3), force=True)[0].count() == 3
+
+
+def test_two_writers(spark, tmp_path):
+    """Changes that began from the same state are both kept."""
+    first, second = (Collection(spark, f"file://{tmp_path}/v") for _ in range(2))
+    first.index(spark.createDataFrame([("a", "one"), ("b", "two")], "id string, text string"))
+    row = lambda i, t: first.embedded(spark.createDataFrame([(i, t)], "id string, text string")).withColumn("gone", F.lit(False))
+    first._put(row("c", "three"), "delta")
+    second._put(row("d", "four"), "delta")
+    assert sorted(r.id for r in second.read().collect()) == ["a", "b", "c", "d"]
+    first.merge()
+    assert sorted(r.id for r in second.read().collect()) == ["a", "b", "c", "d"]
+
+
+def test_a_bounded_cache(spark, tmp_path):
+    """Hits write no responses; beyond the cap the responses used longest ago go."""
+    import time
+
+    from millrace.operators import cache
+
+    store, runs = f"file://{tmp_path}/answers", []
+
+    def answer(q):
+        runs.append(q.count())
+        return q.withColumn("answer", F.repeat(F.sha2("question", 256), 40))
+
+    ask_ = lambda *xs, cap=1 << 30: cache.cached(spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "question_id long, question string"), store, answer, "p", "m", "1", cap).collect()
+    ask_("a", "b", "c")
+    ask_("c", "b", "b")
+    assert runs == [3] and len(cache._builds(spark, store, "answers")) == 1
+    time.sleep(0.05)
+    ask_("d", "b")
+    held = cache.size(spark, store)
+    time.sleep(0.05)
+    ask_("e", cap=int(held * 0.95))
+    assert len(cache._builds(spark, store, "answers")) == 1 and cache.size(spark, store) <= held * 0.95
+    runs.clear()
+    assert len(ask_("e", "d", "b")) == 3 and runs == []
+    ask_("a")
+    assert runs == [1]
+    cache.clear(spark, store)
+    assert cache.read(spark, store) is None
+
+
 def test_pipelines_over_a_collection(spark, tmp_path):
     store = Collection(spark, f"file://{tmp_path}/vectors")
     store.index(library(spark).withColumnRenamed("chunk_id", "id"))
