@@ -47,20 +47,10 @@ def word_count(text: Column) -> Column:
     return F.size(words(F.coalesce(text, F.lit("")))).cast("long")
 
 
-def _settled() -> str:
-    """A class of the characters of Latin and general punctuation that are their own compatible form, next to whichever of them."""
-    own = [c for c in [*range(0x250), *range(0x2010, 0x2070)] if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]
-    return "".join(f"\\x{{{c:x}}}" for c in own)
-
-
-#: Whether a text holds characters that may have another compatible form; the others need no look from Python.
-UNSETTLED = f"[^{_settled()}]"
-
-
 @F.arrow_udf(StringType())
 def compatible(text: pa.Array) -> pa.Array:
     """A text in its compatible composed form (NFKC), a batch at a time."""
-    form = lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
+    form = lambda x: x if x is None or x.isascii() or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x)
     return pa.array(map(form, text.to_pylist()), pa.string())
 
 
@@ -69,7 +59,7 @@ def normalise_text(text: Column) -> Column:
     plain = F.translate(text, "\u00a0‘’“”–", " ''\"\"-")
     plain = F.replace(plain, F.lit("—"), F.lit(" - "))
     plain = F.regexp_replace(plain, r"(?i)\s*footnote\s*\[\d+\]", "")
-    return F.coalesce(compatible(F.when(plain.rlike(UNSETTLED), plain)), plain)
+    return compatible(plain)
 
 
 def normalise_speaker(name: Column) -> Column:

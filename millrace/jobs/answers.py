@@ -9,7 +9,7 @@ from millrace.jobs.ask import ask
 from millrace.jobs.registry import register, table
 from millrace.operators import corrective as C
 from millrace.operators.collection import search
-from millrace.operators.retrieval import retrieve, share, terms
+from millrace.operators.retrieval import holders, retrieve, share, terms
 
 TERMS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda w: w <> ''))"
 #: Term counts of each question and document, and the documents in order for each question.
@@ -93,17 +93,9 @@ def corrective_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT item_id, count(doc_id) AS n_docs, min(doc_id) AS first_doc FROM (SELECT item_id, b.text FROM benchmark b) q LEFT JOIN documents d ON contains(d.text, q.text) GROUP BY item_id"""
 )
 def item_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold an item word for word: they meet on the rarest of the terms within the item, then are compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    split = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    inner = lambda w: F.when(F.size(w) > 2, F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))).otherwise(w)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    wanted = items.select("item_id", F.explode(F.array_distinct(inner(split("item")))).alias("term"))
-    found = docs.select("doc_id", F.explode(F.array_distinct(split("text"))).alias("term")).join(wanted.select("term").distinct(), "term")
-    spread = found.groupBy("term").count()
-    rarest = wanted.join(spread, "term").groupBy("item_id").agg(F.min_by("term", F.struct("count", "term")).alias("term"))
-    pairs = rarest.join(found, "term").join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", F.col("item")))
-    hits = pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    """The documents that hold an item, wherever in their text."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    hits = holders(items, docs).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"), "first_doc")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import is_abstain, preview
-from millrace.operators.corrective import Models, baseline, corrective
+from millrace.operators.corrective import Models, Retriever, baseline, corrective
+from millrace.sources.records import fingerprint
 
 # The longest question, and the pipelines there are.
 LONGEST = 2000
@@ -24,10 +25,15 @@ def checked(questions: DataFrame) -> DataFrame:
     return asked.withColumn("error", F.when(F.col("question") == "", "blank").when(F.length("question") > LONGEST, "too long"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, pipeline: str = "corrective", models: Models | None = None) -> DataFrame:
-    """(question_id, pipeline, answer, is_abstain, answer_preview, trace, error) of each of ``questions``; a bad one is not answered."""
+def ask(questions: DataFrame, chunks: DataFrame | None, pipeline: str = "corrective", models: Models | None = None, search: Retriever | None = None, filters: list[str] | None = None) -> DataFrame:
+    """(question_id, pipeline, answer, is_abstain, answer_preview, trace, error) of each of ``questions``; a bad one is not answered.
+
+    ``search`` takes the place of retrieval by words among ``chunks``, and can
+    filter by the ``filters``.
+    """
     known = checked(questions)
-    found = PIPELINES[pipeline](known.filter("error is null").drop("error"), chunks, models)
+    more = {"filters": filters} if pipeline == "corrective" else {}
+    found = PIPELINES[pipeline](known.filter("error is null").drop("error"), chunks, models, search, **more)
     shown = found.select("question_id", F.lit(pipeline).alias("pipeline"), "answer", is_abstain(F.col("answer")).alias("is_abstain"), preview(F.col("answer")).alias("answer_preview"), "trace", F.lit(None).cast("string").alias("error"))
     none = lambda kind: F.lit(None).cast(kind)
     bad = known.filter("error is not null").select("question_id", F.lit(pipeline).alias("pipeline"), none("string").alias("answer"), none("boolean").alias("is_abstain"), none("string").alias("answer_preview"), none("array<string>").alias("trace"), "error")
@@ -52,14 +58,8 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def run_facts(spark: SparkSession, tests: DataFrame, models: dict[str, str]) -> DataFrame:
-    """One row that tells a run: time, commit, versions, models, and a fingerprint of the tests in their order.
-
-    The fingerprint hashes the hashes of the rows, so that only these, a few
-    bytes each, come together.
-    """
+    """One row that tells a run: time, commit, versions, models, the number of tests and a fingerprint of them in their order."""
     git = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True).stdout.strip()
-    columns = sorted(tests.columns)
-    key = F.sha2(F.to_json(F.struct(*[F.trim(F.col(c).cast("string")).alias(c) for c in columns])), 256)
-    listed = tests.agg(F.count("*").alias("n_queries"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question_id", key.alias("k")))), lambda x: x["k"]), "\n"), 256)).alias("test_set_hash"))
     facts = {"timestamp": datetime.now(timezone.utc).isoformat(), "git_sha": git("rev-parse", "HEAD"), "git_dirty": str(bool(git("status", "--porcelain"))), "spark": pyspark.__version__, "python": platform.python_version(), **models}
-    return listed.select(*[F.lit(v).alias(k) for k, v in facts.items()], "n_queries", "test_set_hash")
+    told = fingerprint(tests).join(F.broadcast(tests.agg(F.count("*").alias("n_queries"))))
+    return told.select(*[F.lit(v).alias(k) for k, v in facts.items()], "n_queries", "test_set_hash")

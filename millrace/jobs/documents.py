@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.jobs.registry import register, table
 from millrace.operators import checks, chunks, sections
-from millrace.sources.records import manifest
+from millrace.sources.records import manifest, site_manifest
 from millrace.sources.site import site_texts
 
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
@@ -258,3 +258,25 @@ def minutes_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_minutes = F.replace(F.replace("html", F.lit("<article>"), F.lit('<main><div class="page-content">')), F.lit("</article>"), F.lit("</div></main>"))
     found = site_texts(table(spark, sf_dir, "pages").select("page_id", as_minutes.alias("html"), F.lit("MPC_minutes").alias("document_type")))
     return found.select("page_id", F.sha2("text", 256).alias("text_sha256"), F.size(F.split("text", "\n\n")).cast("long").alias("n_lines"))
+
+
+@register(
+    r"""WITH p AS (SELECT page_id, url, page_id % 4 AS kind, regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>(?:<b>)?([^<]+)', 1) AS x FROM pages),
+    t AS (SELECT *, len(list_filter(regexp_split_to_array(array_to_string(list_transform(x, lambda t: replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), ' '), '\s+'), lambda w: w <> '')) AS w,
+      array_to_string(list_transform(list_slice(string_split(rtrim(url, '/'), '/'), -3, -1), lambda y: y), '_') || '.txt' AS filename FROM p)
+    SELECT page_id, filename, CASE WHEN kind = 3 THEN filename ELSE 'On page ' || page_id END AS title, CAST(CASE WHEN kind = 0 THEN 0 ELSE w END AS INTEGER) AS word_count, CASE WHEN kind = 0 THEN 'missing' ELSE 'ok' END AS status,
+      CASE WHEN kind = 1 THEN 'Ann Baker' END AS speaker, CASE WHEN kind = 0 THEN 'no content' END AS error FROM t""".replace("\\\\", "\\")
+)
+def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the pages: a quarter without content, a quarter with a speaker, a quarter without a title."""
+    kind = F.col("page_id") % 4
+    pages = table(spark, sf_dir, "pages")
+    article = F.replace(F.replace("html", F.lit("<article>"), F.lit('<main><div class="page-content">')), F.lit("</article>"), F.lit("</div></main>"))
+    named = F.when(kind == 3, "").otherwise(F.concat(F.lit('<h1 itemprop="name">On page '), F.col("page_id").cast("string"), F.lit("</h1>")))
+    spoken = F.when(kind == 1, '<div class="col3"><a class="med-block-cta"><h3>Professor Ann C. Baker</h3></a></div>').otherwise("")
+    html = F.when(kind == 0, F.col("html")).otherwise(F.concat(named, spoken, article))
+    rows = pages.select("page_id", "url", html.alias("html"), F.lit("MPC_minutes").alias("document_type"), F.lit("2025-01").alias("date"))
+    found, _ = site_manifest(rows)
+    ids = rows.select("page_id", F.col("url").alias("source_url"))
+    titled = F.when(kind == 0, F.concat(F.lit("On page "), F.col("page_id").cast("string"))).otherwise(F.col("title"))
+    return found.join(ids, "source_url").select("page_id", "filename", titled.alias("title"), "word_count", "status", "speaker", "error")

@@ -132,3 +132,52 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int, filters: list[str]
         sent.destroy()
     scored = best.join(asked.select("question_id", F.size("terms").alias("n_terms")), "question_id").withColumn("score", F.round(F.col("hits") / F.col("n_terms"), 4))
     return scored.join(chunks.select("chunk_id", "text"), "chunk_id").select("question_id", "chunk_id", "text", "score", "rank")
+
+
+def _holding(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids, texts = sent.value
+        found = ahocorasick.Automaton()
+        for k, text in enumerate(texts):
+            if text:
+                found.add_word(text, [*found.get(text, []), k])
+        found.make_automaton()
+        always = [k for k, text in enumerate(texts) if text == ""]
+        for batch in batches:
+            docs, items = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    own = {k for _, ks in found.iter(text) for k in ks} if len(found) else set()
+                    own |= set(always)
+                    docs += [at] * len(own)
+                    items += sorted(own)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(items, pa.int64())), batch.column(0).take(pa.array(docs, pa.int64()))], names=["item_id", "doc_id"])
+
+    return run
+
+
+#: Characters of the items that are looked for in one scan of the texts.
+ITEM_CHARS = 8_000_000
+
+
+def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of each of ``docs`` (doc_id, text) that holds an item of ``items`` (item_id, item), wherever in its text.
+
+    All items of a block are looked for at once, in one pass over a text. An
+    empty item is in every text; a null one, or a null text, is in none.
+    """
+    spark = items.sparkSession
+    with Steps(spark) as steps:
+        wanted = steps.keep(items.select("item_id", "item").filter("item is not null"))
+        blocks = max(1, -(-(wanted.agg(F.sum(F.length("item"))).first()[0] or 0) // ITEM_CHARS))
+        kinds = {"i": items.schema["item_id"].dataType.simpleString(), "d": docs.schema["doc_id"].dataType.simpleString()}
+        found = None
+        for block in range(blocks):
+            own = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
+            sent = spark.sparkContext.broadcast((own["item_id"].combine_chunks(), own["item"].to_pylist()))
+            part = steps.keep(docs.select("doc_id", "text").mapInArrow(_holding(sent), f"item_id {kinds['i']}, doc_id {kinds['d']}"))
+            found = part if found is None else found.unionByName(part)
+            sent.destroy()
+        return steps.finish(found)

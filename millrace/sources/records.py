@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import HEADING_RULES, clean, word_count
+from millrace.functions.text import HEADING_RULES, cache_name, clean, normalise_speaker, word_count
+from millrace.sources.site import site_texts
 
 MANIFEST = "filename string, document_type string, date string, title string, source_url string, word_count int, status string, speaker string"
 SCORES = "pipeline string, query_id string, metric string, score double, skipped string, err string, ts string"
@@ -13,10 +19,27 @@ CHUNK = "chunk_id string, text string, token_count int, metadata struct<document
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """A manifest row for each of ``pages`` (filename, document_type, date, title, source_url, speaker, text); without text it is missing."""
+    """A manifest row for each of ``pages`` (filename, document_type, date, title, source_url, speaker, text, any error).
+
+    Without a text it is missing; a blank title is the filename, a speaker is
+    a first and a last name without titles, null for none. The error of a page
+    that could not be read follows the fields of ``MANIFEST``.
+    """
     status = F.when(F.col("text").isNull(), "missing").otherwise("ok")
     title = F.coalesce(clean(F.trim("title")), F.col("filename"))
-    return pages.select("filename", "document_type", "date", title.alias("title"), "source_url", word_count(F.col("text")).cast("int").alias("word_count"), status.alias("status"), "speaker")
+    error = (F.col("error") if "error" in pages.columns else F.lit(None).cast("string")).alias("error")
+    return pages.select("filename", "document_type", "date", title.alias("title"), "source_url", word_count(F.col("text")).cast("int").alias("word_count"), status.alias("status"), clean(normalise_speaker(F.col("speaker"))).alias("speaker"), error)
+
+
+def site_manifest(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The manifest and the texts (filename, text) of ``pages`` (page_id, url, html, document_type, date).
+
+    Files are named by their pages' addresses; a page that can't be read is a
+    missing row with its error.
+    """
+    found = site_texts(pages).join(pages.select("page_id", "url", "document_type", "date"), "page_id")
+    named = found.withColumn("filename", F.regexp_replace(cache_name(F.col("url")), "html$", "txt")).withColumn("source_url", F.col("url"))
+    return manifest(named), named.filter("text is not null").select("filename", "text")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -76,11 +99,41 @@ def _nested(ddl: str) -> str:
     return StructType.fromDDL(ddl).simpleString().removeprefix("struct<").removesuffix(">")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their numbers from 1 in the order in which they are read, from counts by partition."""
+    placed = rows.withColumn("at_", F.monotonically_increasing_id()).withColumn("part_", F.shiftrightunsigned("at_", 33))
+    counts = placed.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = F.broadcast(counts.select("part_", before.alias("before_")))
+    own = F.col("at_") - F.shiftleft("part_", 33)
+    return placed.join(bases, "part_").withColumn(name, F.col("before_") + own + 1).drop("at_", "part_", "before_")
+
+
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
     """A test-set CSV with question_id q01, q02, ... by the order of its rows."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    at = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-    return rows.withColumn("question_id", F.format_string("q%02d", at))
+    return numbered(rows, "number_").withColumn("question_id", F.format_string("q%02d", "number_")).drop("number_")
+
+
+def fingerprint(tests: DataFrame, order: str = "question_id") -> DataFrame:
+    """One row with test_set_hash: ``sha256:`` and the hash of a line of JSON for each row in order, keys sorted, values without outer white space.
+
+    Rows are sorted in ranges; a hash reads its lines in order, so one task
+    reads the ranges one after another, a batch at a time.
+    """
+    columns = [c for c in tests.columns if c != order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, first = hashlib.sha256(), True
+        for batch in batches:
+            for row in batch.to_pylist():
+                told = {k: v.strip() if v is not None else None for k, v in row.items()}
+                state.update(("" if first else "\n").encode() + json.dumps(told, sort_keys=True, ensure_ascii=False).encode())
+                first = False
+        yield pa.RecordBatch.from_pydict({"test_set_hash": [f"sha256:{state.hexdigest()}"]})
+
+    lines = tests.orderBy(order).select(*(F.col(c).cast("string").alias(c) for c in columns))
+    return lines.coalesce(1).mapInArrow(run, "test_set_hash string")
 
 
 def read_scores(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

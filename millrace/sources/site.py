@@ -8,6 +8,7 @@ parser knows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -21,6 +22,8 @@ from millrace.functions.text import normalise_text
 EMPTY = set("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements that a start tag leaves no element beyond; an item's does beyond items.
+WALLS = {"ul", "ol", "table", "div", "li"}
 CUT = [("div", "img-block"), ("div", "footnotes-container"), ("nav", "nav-chapters"), ("div", "pdf-form")]
 # Lines that belong to a chart.
 CAPTIONS = [r"(?i)^\s*Sources?\s*:", r"(?i)^\s*Notes?\s*:", r"^\s*\([a-z]\)\s"]
@@ -33,33 +36,38 @@ class Node:
     attrs: dict = field(default_factory=dict)
     parent: Node | None = None
     items: list = field(default_factory=list)
+    gone: bool = False
+
+    def kept(self) -> Iterator[Node | str]:
+        """What is in this element, the last first, without what was dropped."""
+        return (x for x in reversed(self.items) if not isinstance(x, Node) or not x.gone)
 
     def all(self) -> Iterator[Node]:
         """Elements below this one, in order."""
-        todo = [x for x in reversed(self.items) if isinstance(x, Node)]
+        todo = [x for x in self.kept() if isinstance(x, Node)]
         while todo:
             x = todo.pop()
             yield x
-            todo.extend(y for y in reversed(x.items) if isinstance(y, Node))
+            todo.extend(y for y in x.kept() if isinstance(y, Node))
 
     def under(self, *tests: Callable[[Node], bool]) -> Iterator[tuple[Node, list[bool]]]:
         """Elements below this one, in order, and which of the tests an element above each passes."""
         here = [any(test(a) for a in (self, *self.above())) for test in tests]
-        todo = [(x, here) for x in reversed(self.items) if isinstance(x, Node)]
+        todo = [(x, here) for x in self.kept() if isinstance(x, Node)]
         while todo:
             x, here = todo.pop()
             yield x, here
             own = [a or test(x) for a, test in zip(here, tests, strict=True)]
-            todo.extend((y, own) for y in reversed(x.items) if isinstance(y, Node))
+            todo.extend((y, own) for y in x.kept() if isinstance(y, Node))
 
     def strings(self) -> Iterator[str]:
-        todo = list(reversed(self.items))
+        todo = list(self.kept())
         while todo:
             x = todo.pop()
             if not isinstance(x, Node):
                 yield x
             elif x.name not in ("script", "style"):
-                todo.extend(reversed(x.items))
+                todo.extend(x.kept())
 
     def text(self) -> str:
         return " ".join(filter(None, (s.strip() for s in self.strings())))
@@ -77,31 +85,60 @@ class Node:
         return next((x for x in self.all() if (name is None or x.name == name) and (cls is None or x.has(cls))), None)
 
     def drop(self) -> None:
-        if self.parent is not None:
-            self.parent.items = [x for x in self.parent.items if x is not self]
+        self.gone = True
 
 
 class Reader(HTMLParser):
+    """Reads a page in time linear in its length: it climbs only to an element that it then leaves.
+
+    ``open`` counts the open names; ``near`` counts those since the last
+    element that a start tag doesn't look beyond, with one count for list
+    items, which look beyond items, and one for all others.
+    """
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("")
+        self.open: Counter[str] = Counter()
+        self.near: dict[bool, list[Counter[str]]] = {False: [Counter()], True: [Counter()]}
+
+    def _walls(self, item: bool) -> set[str]:
+        return WALLS - {"li"} if item else WALLS
+
+    def _enter(self, node: Node) -> None:
+        self.at = node
+        self.open[node.name] += 1
+        for item, scopes in self.near.items():
+            if node.name in self._walls(item):
+                scopes.append(Counter())
+            else:
+                scopes[-1][node.name] += 1
+
+    def _leave(self, names: set[str]) -> None:
+        """Leave elements up to and with the first of these names, which is known to be open."""
+        while True:
+            node, self.at = self.at, self.at.parent
+            self.open[node.name] -= 1
+            for item, scopes in self.near.items():
+                if node.name in self._walls(item):
+                    scopes.pop()
+                else:
+                    scopes[-1][node.name] -= 1
+            if node.name in names:
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         shut = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        x = self.at
-        while x.parent is not None and x.name not in shut and x.name not in ("ul", "ol", "table", "div", "li" if tag != "li" else ""):
-            x = x.parent
-        if x.parent is not None and x.name in shut:
-            self.at = x.parent
+        if any(self.near[tag == "li"][-1][n] for n in shut):
+            self._leave(shut)
         node = Node(tag, dict(attrs), self.at)
         self.at.items.append(node)
         if tag not in EMPTY:
-            self.at = node
+            self._enter(node)
 
     def handle_endtag(self, tag: str) -> None:
-        own = next((x for x in (self.at, *self.at.above()) if x.name == tag), None)
-        if own is not None and own.parent is not None:
-            self.at = own.parent
+        if self.open[tag] > 0:
+            self._leave({tag})
 
     def handle_data(self, data: str) -> None:
         self.at.items.append(data)
@@ -117,19 +154,24 @@ def root_of(page: Node, kind: str) -> Node | None:
 
 
 def tables(root: Node) -> list[str]:
-    """Tables under their titles, which go from the tree with them."""
-    out, gone = [], []
-    order = list(root.all())
-    for k, x in enumerate(order):
-        if x.name != "table":
-            continue
-        block = next((a for a in x.above() if a.has("img-block")), None)
-        title = block.find("h3", "img-title") if block else None
-        title = title or next((y for y in reversed(order[:k]) if y.has("img-title")), None)
-        rows = [[c.text() for c in r.all() if c.name in ("td", "th")] for r in x.all() if r.name == "tr"]
-        if any(rows):
-            out.append(f"[TABLE: {title.text() if title else 'Table'}]\n" + "\n".join(" | ".join(r) for r in rows if r))
-        gone += [x, *([title] if title else [])]
+    """Tables under their titles, which go from the tree with them: the title of their own image block, or else the last one before."""
+    out, gone, last = [], [], None
+    block_of = lambda x, block: x if x.has("img-block") else block
+    todo = [(x, block_of(root, next((a for a in root.above() if a.has("img-block")), None))) for x in root.kept() if isinstance(x, Node)]
+    titles: dict[int, Node | None] = {}
+    while todo:
+        x, block = todo.pop()
+        if x.name == "table":
+            if block is not None and id(block) not in titles:
+                titles[id(block)] = block.find("h3", "img-title")
+            title = (titles[id(block)] if block is not None else None) or last
+            rows = [[c.text() for c in r.all() if c.name in ("td", "th")] for r in x.all() if r.name == "tr"]
+            if any(rows):
+                out.append(f"[TABLE: {title.text() if title else 'Table'}]\n" + "\n".join(" | ".join(r) for r in rows if r))
+            gone += [x, *([title] if title else [])]
+        last = x if x.has("img-title") else last
+        own = block_of(x, block)
+        todo.extend((y, own) for y in x.kept() if isinstance(y, Node))
     for x in gone:
         x.drop()
     return out

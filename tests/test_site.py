@@ -34,3 +34,28 @@ def test_rows(spark):
     rows = [(1, '<div id="output"><p>a–b ﬁne footnote [3] x</p></div>', "MPR"), (2, None, "speech"), (3, "", "MPC_minutes")]
     got = {r.page_id: (r.text, r.error) for r in site_texts(spark.createDataFrame(rows, "page_id long, html string, document_type string")).collect()}
     assert got == {1: ("a-b fine x", None), 2: (None, "no content"), 3: (None, "no content")}
+
+
+def test_floods_take_linear_time():
+    """Runs of open, closed and mixed tags of some hundred kilobytes, each within seconds."""
+    import time
+
+    n = 40_000
+    floods = ["<span>y" * n, "<b>" * n + "x", "<div>y" * n + "</p>" * n, "<p><li>" + "<span>y<p>" * n, "<table>" * 3000 + "<tr><td>z" * n, "<li>a" * n, "</div>" * n + "<p>q", "<ul><li>" * 20 + "<i>s</b>" * n]
+    for flood in floods:
+        began = time.time()
+        extract(f'<div id="output"><p>start</p>{flood}', "speech")
+        assert time.time() - began < 8, flood[:20]
+    began = time.time()
+    text = extract('<div id="output"><p>start</p>' + '<div class="img-block"><h3 class="img-title">T</h3><table><tr><td>c</td></tr></table></div>' * 8000, "MPR")[0]
+    assert time.time() - began < 8 and text.count("[TABLE: T]") == 8000
+
+
+def test_manifest_of_pages(spark):
+    from millrace.sources.records import site_manifest
+
+    page = '<h1 itemprop="name"> </h1><div class="col3"><a class="med-block-cta"><h3>Sir John A. Hill</h3></a></div><div id="output"><p>four words of text</p></div>'
+    rows = spark.createDataFrame([(1, "https://x.org/a/b/c/", page, "speech", "2025-01"), (2, "https://x.org/a/b/d", "", "speech", "2025-02")], "page_id long, url string, html string, document_type string, date string")
+    found, texts = site_manifest(rows)
+    assert sorted((r.filename, r.title, r.word_count, r.status, r.speaker, r.error) for r in found.collect()) == [("a_b_c.txt", "a_b_c.txt", 4, "ok", "John Hill", None), ("a_b_d.txt", "a_b_d.txt", 0, "missing", None, "no content")]
+    assert [tuple(r) for r in texts.collect()] == [("a_b_c.txt", "four words of text")]
