@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, tidy
+from millrace.llm.common import materialise, shared_dir, tidy
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge")
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -32,11 +32,34 @@ MORE = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "forge": re.compile("(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
 }
-LEAST_VALUE, LEAST_ACCESS = 6, 20
+#: A run of characters of a web token, of which each part is a whole run but the first, which begins in one.
+RUN = re.compile("[A-Za-z0-9_-]+")
+LEAST_VALUE, LEAST_ACCESS, LEAST_PART = 6, 20, 8
 RULES = hashlib.sha256(repr([LEAST_VALUE, LEAST_ACCESS, *((k, x.pattern) for k, x in [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), *MORE.items()])]).encode()).hexdigest()[:16]
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:long,end:long>>"
 
 
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of ``MORE["jwt"]``, in time linear in the text.
+
+    What follows ``eyJ`` to the end of its run is the first part, so if it is
+    no token, neither is another ``eyJ`` of that run.
+    """
+    at = text.find("eyJ")
+    while at >= 0:
+        end = RUN.match(text, at).end()
+        ends = [end] if end - at >= 3 + LEAST_PART else []
+        while ends and len(ends) < 3 and text.startswith(".", ends[-1]):
+            part = RUN.match(text, ends[-1] + 1)
+            if part is None or part.end() - part.start() < LEAST_PART:
+                break
+            ends.append(part.end())
+        if len(ends) == 3:
+            yield at, ends[-1]
+            end = ends[-1]
+        at = text.find("eyJ", end)
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) in code points, by start, then kind as listed."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
@@ -44,7 +67,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for kind, rule in MORE.items():
-        found += [(kind, *m.span()) for m in rule.finditer(text)]
+        found += [(kind, *x) for x in (web_tokens(text) if kind == "jwt" else (m.span() for m in rule.finditer(text)))]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -111,6 +134,7 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     made = ["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     docs = docs.drop(*made)
     ledger = update(docs, shared_dir(docs.sparkSession)) if ledger is None else ledger
-    entries = ledger.filter(F.col("rules") == RULES).drop("rules").dropDuplicates(["blob"])
+    # Written, so that the rows of a blob that many hold can be split between tasks.
+    entries = materialise(ledger.filter(F.col("rules") == RULES).drop("rules").dropDuplicates(["blob"]))
     out = docs.withColumn("blob", blob()).alias("d").join(entries.alias("e"), F.col("d.blob") == F.col("e.blob"), "left")
     return out.select(*(F.col(f"d.`{c}`") for c in docs.columns), *(F.col(f"{'d' if c == 'blob' else 'e'}.{c}") for c in made))

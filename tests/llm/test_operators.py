@@ -664,3 +664,32 @@ def test_minimal_perfect_hash():
         assert (probe(blob, keys[order]) == order + 1).all()
         assert (probe(blob, rng.integers(-(2**63), 2**63 - 1, 1000)) == 0).mean() > 0.99
         assert len(blob) < 16 * n + 400
+
+
+# --- long runs and hot texts
+
+
+def test_web_tokens_are_linear_and_the_same():
+    """Spans equal those of the pattern on random runs; a megabyte of beginnings takes no time."""
+    import random
+    import time
+
+    from millrace.llm import secrets
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "a", "b" * 7, "c" * 9, ".", ".", " ", "-", "_", "eyJeyJ", "\n"]) for _ in range(rng.randrange(30)))
+        assert list(secrets.web_tokens(text)) == [m.span() for m in secrets.MORE["jwt"].finditer(text)], text
+    began = time.time()
+    for text in ("eyJ" * 4_000_000, "eyJaaaaaaaaa." * 800_000, "eyJ.eyJ" * 500_000, "password" + " " * 5_000_000 + "x", "AKIA" * 1_000_000 + "a"):
+        secrets.scan(text)
+    assert time.time() - began < 20
+
+
+def test_a_text_that_a_third_of_all_rows_hold(spark):
+    from millrace.llm import secrets
+
+    rows = [(k, "token = abcdef123456" if k % 3 == 0 else f"plain text {k}") for k in range(3000)]
+    out = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.n_assign for r in out.select("doc_id", "n_assign").collect()}
+    assert len(got) == 3000 and all(n == int(k % 3 == 0) for k, n in got.items())
