@@ -1,15 +1,17 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max skipping.
 
 Scores are shares of an item's score for its own text, so that one threshold
-fits items of any length. The index is dealt to blocks of items; for each term
-it holds the greatest share that the term adds to any item of a block. As the
-threshold is fixed and passages come in columns, bounds are summed for all
-passages of a batch and all blocks at once, instead of moving one passage's
-pivot along sorted lists as WAND does: terms that all items have, whose shares
-together stay under half the threshold, are never looked up on their own, and
-a passage reaches a block only if its other terms and that bound pass the
-threshold together. What is left is scored exactly, and five-word windows of
-the question part and the answer part of the item confirm it.
+fits items of any length. The index is dealt to blocks of items. Of each item
+the terms that most items have, whose shares together stay under half the
+threshold, are its rest; the others are essential. For each term the index
+holds the greatest share that it adds as an essential term to any item of a
+block, for each block the greatest rest of its items. As the threshold is
+fixed and passages come in columns, bounds are summed for many passages and
+all blocks at once, instead of moving one passage's pivot along sorted lists
+as WAND does: a passage reaches a block only if the block's shares of its
+terms and the block's rest pass the threshold together. Only reached blocks
+are scored, exactly, from lists by block, and five-word windows of the
+question part and the answer part of the item confirm it.
 
 Statistics of terms and lengths are those of all items, and a passage's length
 follows from the item's own, so how items are dealt to indexes changes no hit.
@@ -38,22 +40,33 @@ K1, B = 1.2, 0.75
 HITS = "item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
+#: Postings of blocks whose bounds are summed at once.
+CELLS = 1 << 21
+
+
 @dataclass
 class Index:
     item_ids: list
     vocab: np.ndarray  # sorted word hashes
-    first: np.ndarray  # postings of term t: first[t]:first[t + 1]
-    item: np.ndarray
-    share: np.ndarray
-    essential: np.ndarray  # by term
-    block_first: np.ndarray  # block postings of term t, for essential terms
+    own_first: np.ndarray  # postings of block b: own_first[b]:own_first[b + 1]
+    own_term: np.ndarray
+    own_item: np.ndarray
+    own_share: np.ndarray
+    block_first: np.ndarray  # blocks in which term t is essential to an item: block_first[t]:block_first[t + 1]
     block: np.ndarray
     block_share: np.ndarray
-    rest: np.ndarray  # by block: the most that other terms add
-    parts: list  # window hashes of question and answer of each item
+    rest: np.ndarray  # by block: the most that an item's other terms add
+    window_first: np.ndarray  # window hashes of item k: windows[window_first[k]:window_first[k + 1]]
+    windows: np.ndarray
     step: int  # half the words of a passage, no less than those of any item
     width: np.ndarray  # words of an item's windows: WIDTH, or all of a shorter item
 
+    def parts(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        """Window hashes of an item's question and answer."""
+        own = self.windows[self.window_first[item] : self.window_first[item + 1]]
+        half = -(-len(own) // 2)
+        return own[:half], own[half:]
+
 
 @dataclass
 class Statistics:
@@ -87,29 +100,26 @@ def build(item_ids: list, texts: list[str | None], known: Statistics | None = No
     size = grid.n_words
     add = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(known.mean, 1))) if n else np.zeros(0)
     share = add / np.bincount(item, add, n)[item] if n else add
-    order = np.lexsort((item, term))
+    # Each item's terms from the most frequent on: its rest are those whose shares stay under half the threshold together.
+    order = np.lexsort((term, -df[term], item))
     item, term, share = item[order], term[order], share[order]
-    first = np.searchsorted(term, np.arange(len(vocab) + 1))
-    essential, used = np.ones(len(vocab), bool), np.zeros(n)
-    for t in np.argsort(-df, kind="stable"):
-        own = slice(first[t], first[t + 1])
-        if (used[item[own]] + share[own] > SCORE / 2).any():
-            break
-        used[item[own]] += share[own]
-        essential[t] = False
+    total = np.cumsum(share)
+    begin = np.searchsorted(item, np.arange(n + 1))
+    before = np.concatenate([[0.0], total])[begin[item]] if n else total
+    essential = total - before > SCORE / 2
     n_blocks = max(1, -(-n // BLOCK))
-    key, back = np.unique(term * np.int64(n_blocks) + item // BLOCK, return_inverse=True)
+    block = item // BLOCK
+    key, back = np.unique(term[essential] * np.int64(n_blocks) + block[essential], return_inverse=True)
     top = np.zeros(len(key))
-    np.maximum.at(top, back, share)
+    np.maximum.at(top, back, share[essential])
     rest = np.zeros(n_blocks)
-    np.maximum.at(rest, np.arange(n) // BLOCK, used)
+    np.maximum.at(rest, np.arange(n) // BLOCK, np.bincount(item[~essential], share[~essential], n))
     win = windows(grid, WIDTH)
-    parts = []
-    for k in range(n):
-        own = win.hashes[win.first[k] : win.first[k + 1]]
-        half = -(-len(own) // 2)
-        parts.append((own[:half], own[half:]))
-    return Index(list(item_ids), vocab, first, item, share, essential, np.searchsorted(key // n_blocks, np.arange(len(vocab) + 1)), key % n_blocks, top, rest, parts, step or half_passage(int(size.max()) if n else 0), np.minimum(size, WIDTH))
+    return Index(
+        list(item_ids), vocab, np.searchsorted(block, np.arange(n_blocks + 1)), term.astype(np.int32), item.astype(np.int32), share,
+        np.searchsorted(key // n_blocks, np.arange(len(vocab) + 1)), (key % n_blocks).astype(np.int32), top, rest,
+        np.asarray(win.first), win.hashes, step or half_passage(int(size.max()) if n else 0), np.minimum(size, WIDTH),
+    )
 
 
 def half_passage(n_words: int) -> int:
@@ -143,46 +153,70 @@ def search(index: Index, grid: Grid, score: float = SCORE) -> Iterator[tuple[int
     place = np.arange(len(row)) - grid.first[row]
     n_windows = np.maximum(-(-grid.n_words // step), 1)
     base = np.concatenate([[0], np.cumsum(n_windows)])
-    held = np.flatnonzero((term >= 0) & index.essential[np.maximum(term, 0)])
+    wanted = np.diff(index.block_first) > 0
+    held = np.flatnonzero((term >= 0) & wanted[np.maximum(term, 0)])
     if not len(held):
         return
     window = base[row[held]] + place[held] // step
     key = window * np.int64(len(index.vocab)) + term[held]
     key = np.unique(np.concatenate([key, (key - len(index.vocab))[place[held] >= step]]))
     window, t = key // len(index.vocab), key % len(index.vocab)
-    n_blocks = len(index.rest)
-    of, post = _spread(index.block_first, t)
-    cell, back = np.unique(window[of] * np.int64(n_blocks) + index.block[post], return_inverse=True)
-    reach = np.bincount(back, index.block_share[post], len(cell)) + index.rest[cell % n_blocks]
-    cell = cell[reach >= score]
+    present = np.zeros(len(index.vocab), bool)
     best: dict[tuple[int, int], tuple] = {}
-    for w in np.unique(cell // n_blocks):
+    for w, blocks in _reached(index, window, t, score):
         r = int(np.searchsorted(base, w, side="right")) - 1
         start = grid.first[r] + (w - base[r]) * step
         end = min(start + 2 * step, grid.first[r + 1])
-        own = np.unique(term[start:end])
-        of, post = _spread(index.first, own[own >= 0])
-        total = np.bincount(index.item[post], index.share[post], len(index.item_ids))
-        blocks = cell[cell // n_blocks == w] % n_blocks
-        found = np.flatnonzero((total >= score) & np.isin(np.arange(len(total)) // BLOCK, blocks))
+        own = term[start:end]
+        own = own[own >= 0]
+        present[own] = True
+        _, post = _spread(index.own_first, blocks)
+        post = post[present[index.own_term[post]]]
+        present[own] = False
+        items, back = np.unique(index.own_item[post], return_inverse=True)
+        total = np.bincount(back, index.own_share[post], len(items))
+        found = np.flatnonzero(total >= score)
         if not len(found):
             continue
         passage, seen_by = Grid(grid.hashes[start:end], np.asarray([0, end - start])), {}
-        for item in found.tolist():
+        for k in found.tolist():
+            item = int(items[k])
             width = int(index.width[item])
             if width not in seen_by:
                 seen_by[width] = windows(passage, width).hashes
             seen = seen_by[width]
-            question, answer = index.parts[item]
+            question, answer = index.parts(item)
             hit = [int(np.isin(x, seen).sum()) for x in (question, answer)]
             shares = [h / len(x) if len(x) else 1.0 for h, x in zip(hit, (question, answer), strict=True)]
             overlap = sum(hit) / max(len(question) + len(answer), 1)
             if overlap >= OVERLAP and min(shares) >= PART_OVERLAP:
-                best[r, item] = max(best.get((r, item), ()), (overlap, float(total[item]), *shares))
+                best[r, item] = max(best.get((r, item), ()), (overlap, float(total[k]), *shares))
     for (r, item), (overlap, total, q, a) in sorted(best.items()):
         yield r, item, total, overlap, q, a
 
 
+def _reached(index: Index, window: np.ndarray, term: np.ndarray, score: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(passage, blocks that it reaches) from the different essential terms of passages, in order; bounds of about ``CELLS`` postings at a time."""
+    n_blocks = len(index.rest)
+    sizes = index.block_first[term + 1] - index.block_first[term]
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.append(np.flatnonzero(np.diff(window)) + 1, len(window))
+    start = 0
+    while start < len(window):
+        # As many whole passages as fit, one at least.
+        fits = np.searchsorted(total[ends], total[start] + CELLS, side="right") - 1
+        end = int(ends[max(fits, np.searchsorted(ends, start, side="right"))])
+        of, post = _spread(index.block_first, term[start:end])
+        cell, back = np.unique(window[start:end][of] * np.int64(n_blocks) + index.block[post], return_inverse=True)
+        reach = np.bincount(back, index.block_share[post], len(cell)) + index.rest[cell % n_blocks]
+        cell = cell[reach >= score - 1e-9]
+        passages = cell // n_blocks
+        cuts = np.flatnonzero(np.diff(passages)) + 1
+        for own in np.split(cell, cuts) if len(cell) else ():
+            yield int(own[0] // n_blocks), own % n_blocks
+        start = end
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Items with their word counts and different terms."""
     for batch in batches:

@@ -693,3 +693,35 @@ def test_a_text_that_a_third_of_all_rows_hold(spark):
     out = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: r.n_assign for r in out.select("doc_id", "n_assign").collect()}
     assert len(got) == 3000 and all(n == int(k % 3 == 0) for k, n in got.items())
+
+
+def test_short_items_among_many(monkeypatch):
+    """Hits don't depend on blocks or slices; an item of one word skips no term for the others, and memory stays bounded."""
+    import tracemalloc
+
+    from millrace.llm import decontaminate as D
+    from millrace.llm.grid import words
+
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, n) - 1, 3000))
+    items = [text(40) for _ in range(3000)] + ["w0", "w1 w0 w2"]
+    docs = [text(600) for _ in range(12)] + ["", "w1 w0 w2", items[5], f"{text(50)} {items[9]} {text(50)}"]
+    grid = words(pa.array(docs, pa.string()), punctuation=True, fold=True)
+
+    def hits(block, cells):
+        monkeypatch.setattr(D, "BLOCK", block)
+        monkeypatch.setattr(D, "CELLS", cells)
+        known = D.statistics(items)
+        found = []
+        for some in (range(3000), range(3000, 3002)):
+            index = D.build(list(some), [items[k] for k in some], known)
+            tracemalloc.start()
+            found += [(r, index.item_ids[i], round(total, 9), round(overlap, 9)) for r, i, total, overlap, *_ in D.search(index, grid)]
+            assert tracemalloc.get_traced_memory()[1] < 200e6
+            tracemalloc.stop()
+        return sorted(found)
+
+    want = hits(8, 1 << 21)
+    assert want == hits(1, 1000) == hits(64, 1) and {(14, 5), (15, 9), (13, 3001), (13, 3000)} <= {x[:2] for x in want}
+    plain = {(r, 3000) for r, x in enumerate(docs) if "w0" in x.split()} | {(r, 3001) for r, x in enumerate(docs) if " w1 w0 w2 " in f" {x} "}
+    assert {x[:2] for x in want if x[1] >= 3000} == plain
