@@ -27,26 +27,30 @@ from millrace.llm.grid import GOLDEN, Grid, U, slices, windows, words
 
 # Usual statements of licence families, in plain words.
 TEMPLATES = {
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "distributed under the terms of the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "This project is licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This is free software licensed under the GPL version 2 or later", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "distributed under the terms of the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "Apache License 2.0", "Apache-2.0 licensed", "Released under the Apache 2.0 license", "license: Apache-2.0"],
+    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "This project is licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT", "MIT License", "This project is MIT licensed", "license: MIT", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This is free software licensed under the GPL version 2 or later", "SPDX-License-Identifier: GPL-3.0-or-later", "GPLv3", "licensed under the GPLv3", "GNU GPL version 3", "license: GPL-3.0"],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
     "agpl": ["This work is licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "BSD 3-Clause License", "license: BSD-3-Clause"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License 2.0", "license: MPL-2.0"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
-    "public-domain": ["This is free and unencumbered software released into the public domain", "To the extent possible under law, the author has waived all copyright and related rights to this work", "Released under CC0 1.0 Universal"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
+    "public-domain": ["This is free and unencumbered software released into the public domain", "To the extent possible under law, the author has waived all copyright and related rights to this work", "Released under CC0 1.0 Universal", "Unlicense", "This work is in the public domain", "released into the public domain", "The Unlicense"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License", "ISC License", "license: ISC"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0", "Boost Software License", "SPDX-License-Identifier: BSL-1.0"],
+    "epl": ["made available under the terms of the Eclipse Public License v2.0", "Eclipse Public License", "SPDX-License-Identifier: EPL-2.0"],
+    "eupl": ["Licensed under the EUPL, Version 1.2", "European Union Public Licence", "SPDX-License-Identifier: EUPL-1.2"],
     "proprietary": ["All rights reserved", "All rights reserved. No part of this publication may be reproduced", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited"],
 }
 # Prose that has licence words without being a licence.
 OTHER = [
     "the city council will license new taxis next year", "her driving license had expired", "the general public was invited to the opening of the free library",
     "software for the new version will be released in spring", "permission was granted to build the house", "the apache helicopter landed near the village",
-    "students at mit won the prize", "copyright law protects authors of original works", "the work is distributed among several teams", "he reserved all the rooms on the second floor",
+    "students at mit won the prize", "mit released a report on its new license", "the bars lost their license last year", "a boost for the software industry", "the eclipse was public news",
+    "the union of european states published a licence plan", "the domain was public for years", "copyright law protects authors of original works", "the work is distributed among several teams", "he reserved all the rooms on the second floor",
     "the foundation published a report on creative work", "use this form to modify the terms of your order", "a person obtaining a copy of the letter kept it",
     "the source of the river is in the mountains", "all members have equal rights and duties", "in compliance with the rules of the house", "the library lends books free of charge",
     "the commons debated the public accounts", "an attribution of the painting to the master is doubtful", "the warranty of the car covers two years",
@@ -218,27 +222,42 @@ def _scan(shared):
         templates = _template_pairs()
         stretches = Stretches(templates)
 
-        def match(family: str, text: str) -> tuple[float, int]:
-            own = np.unique(_pairs(words(pa.array([re.sub(r"[0-9.]+", " ", text)]), punctuation=True, fold=True)).hashes)
-            return max((float(h.mean()), int(h.sum())) for h in (np.isin(x, own) for x in templates[family]))
+        def matched(families: list[int], said: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """The share and the number of the pairs of each text's best template of its family."""
+            pairs = _pairs(words(pc.replace_substring_regex(said, "[0-9.]+", " "), punctuation=True, fold=True))
+            of = np.repeat(np.arange(len(said)), np.diff(pairs.first))
+            kinds, share, n = np.asarray(families), np.zeros(len(said)), np.zeros(len(said), np.int64)
+            for kind in np.unique(kinds).tolist():
+                mine = kinds[of] == kind
+                text, hashes = of[mine], pairs.hashes[mine]
+                for template in templates[FAMILIES[kind]]:
+                    at = np.minimum(np.searchsorted(template, hashes), len(template) - 1)
+                    hit = template[at] == hashes
+                    own = np.bincount(np.unique(text[hit] * np.int64(len(template)) + at[hit]) // len(template), minlength=len(said))
+                    better = (own / len(template) > share) | ((own / len(template) == share) & (own > n))
+                    share, n = np.where(better, own / len(template), share), np.where(better, own, n)
+            return share, n
 
         def merge(out: list[list[dict]], found: list, said: list[str], p: np.ndarray) -> None:
             """Adds the confirmed stretches whose family no line or fuller stretch at their place has."""
             held = []
-            for (r, text, a, b), x, own in zip(found, said, p, strict=True):
-                family, probability = FAMILIES[own.argmax()], float(own.max())
-                if family == "unknown" or probability < LEAST_PROBABILITY:
-                    continue
-                share, n = match(family, x)
-                if share >= LEAST_MATCH:
-                    held.append((r, -n, -probability, a, b, family, share, text))
+            sure = np.flatnonzero((p.argmax(1) > 0) & (p.max(1) >= LEAST_PROBABILITY))
+            if len(sure):
+                share, n = matched(p[sure].argmax(1).tolist(), pa.array([said[k] for k in sure], pa.string()))
+                for k, one, pairs in zip(sure.tolist(), share.tolist(), n.tolist(), strict=True):
+                    if one >= LEAST_MATCH:
+                        r, text, a, b = found[k]
+                        held.append((r, -pairs, -float(p[k].max()), a, b, FAMILIES[p[k].argmax()], one, text))
             taken: dict[int, list[tuple[int, int]]] = {}
             lines = [{(x["paragraph"], x["family"]) for x in own} for own in out]
+            breaks: dict[int, np.ndarray] = {}
             for r, _, probability, a, b, family, share, text in sorted(held, key=lambda x: x[:5]):
                 if not _take(taken.setdefault(r, []), a, b - 1):
                     continue
-                line = text.count(b"\n", 0, a)
-                if not any((k, family) in lines[r] for k in range(line, line + text.count(b"\n", a, b) + 1)):
+                if r not in breaks:
+                    breaks[r] = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+                line, last = np.searchsorted(breaks[r], [a, b]).tolist()
+                if not any((k, family) in lines[r] for k in range(line, last + 1)):
                     out[r].append({"paragraph": line, "family": family, "probability": -probability, "match": share})
             for r in taken:
                 out[r].sort(key=lambda x: x["paragraph"])
@@ -253,11 +272,12 @@ def _scan(shared):
                 best = p.argmax(1)
                 out: list[list[dict]] = [[] for _ in range(len(texts))]
                 first = lines.offsets.to_numpy()
-                for k in np.flatnonzero((best > 0) & (p.max(1) >= LEAST_PROBABILITY)).tolist():
-                    family = FAMILIES[best[k]]
-                    share, _ = match(family, flat[k].as_py())
-                    if share >= LEAST_MATCH:
-                        out[doc[k]].append({"paragraph": int(k - first[doc[k]]), "family": family, "probability": float(p[k].max()), "match": share})
+                sure = np.flatnonzero((best > 0) & (p.max(1) >= LEAST_PROBABILITY))
+                if len(sure):
+                    shares, _ = matched(best[sure].tolist(), flat.take(pa.array(sure)))
+                    for k, share in zip(sure.tolist(), shares.tolist(), strict=True):
+                        if share >= LEAST_MATCH:
+                            out[doc[k]].append({"paragraph": int(k - first[doc[k]]), "family": FAMILIES[best[k]], "probability": float(p[k].max()), "match": share})
                 found = list(stretches.of(texts.fill_null("")))
                 if found:
                     said = [text[a:b].decode(errors="replace") for _, text, a, b in found]

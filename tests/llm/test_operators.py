@@ -725,3 +725,57 @@ def test_short_items_among_many(monkeypatch):
     assert want == hits(1, 1000) == hits(64, 1) and {(14, 5), (15, 9), (13, 3001), (13, 3000)} <= {x[:2] for x in want}
     plain = {(r, 3000) for r, x in enumerate(docs) if "w0" in x.split()} | {(r, 3001) for r, x in enumerate(docs) if " w1 w0 w2 " in f" {x} "}
     assert {x[:2] for x in want if x[1] >= 3000} == plain
+
+
+STATEMENTS = [
+    ("MIT License", "mit"), ("Apache-2.0 licensed", "apache"), ("license: MIT", "mit"), ("GPLv3", "gpl"), ("This project is MIT licensed.", "mit"), ("Released under the Apache 2.0 license.", "apache"), ("Unlicense", "public-domain"),
+    ("This work is in the public domain.", "public-domain"), ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "boost"), ("This program is made available under the terms of the Eclipse Public License 2.0", "epl"),
+    ("Licensed under the EUPL, Version 1.2 or later", "eupl"), ("Neither the name of the company nor the names of its contributors may be used to endorse or promote products derived from this software without permission.", "bsd"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY', "mit"), ("All rights reserved.", "proprietary"),
+]
+
+
+def test_usual_short_statements(spark):
+    """Usual short statements, each a line among prose; and prose with their words."""
+    from millrace.llm.licences import licences
+
+    plain = ["The license of the bar was lost.", "MIT opened a public lab in the domain of health.", "The software got a boost from its users.", "An eclipse is free for the public to watch.", "He is the general of the public guard.", "The works of the city are public and free."]
+    rows = [(k, f"some words before\n{x}\nand some after") for k, (x, _) in enumerate(STATEMENTS)] + [(100 + k, x) for k, x in enumerate(plain)]
+    got = {r.doc_id: [x.family for x in r.found] for r in licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in range(len(STATEMENTS))} == {k: [f] for k, (_, f) in enumerate(STATEMENTS)}
+    assert all(not got[100 + k] for k in range(len(plain)))
+
+
+def test_many_statements_take_seconds(spark):
+    import time
+
+    from millrace.llm.licences import licences, model
+
+    model()
+    text = "All rights reserved. No part\n" * 20_000 + "Released under the\nMIT License " * 12_000
+    began = time.time()
+    (got,) = licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.time() - began < 45 and sum(x.family == "proprietary" for x in got.found) == 20_000
+
+
+def test_licence_scores_by_dictionaries():
+    """Scores of n-grams against sums over plain dictionaries of the same slots."""
+    from millrace.llm import licences as L
+    from millrace.llm.grid import GOLDEN, U, words
+
+    weight, bias, _ = L.model()
+    texts = [x for x, _ in STATEMENTS] + ["", "one", "the city council"]
+    grid = words(pa.array(texts, pa.string()), punctuation=True, fold=True)
+    got = L._scores(weight, bias, grid)
+    for k, text in enumerate(texts):
+        parts = [w for w in re.split(r"[^0-9A-Za-z]+", text.lower()) if w]
+        one = words(pa.array([text], pa.string()), punctuation=True, fold=True)
+        assert len(parts) == len(one.hashes)
+        total = bias.astype(float).copy()
+        for n in L.ORDERS:
+            runs = [" ".join(parts[i : i + n]) for i in range(len(parts) - n + 1)] if len(parts) >= n else ([" ".join(parts)] if parts else [])
+            for run in runs:
+                own = L.windows(words(pa.array([run], pa.string()), punctuation=True, fold=True), n).hashes
+                slot = int((own[0] + U(n) * GOLDEN) >> U(64 - L.BITS))
+                total += weight[slot]
+        assert np.allclose(total, got[k], atol=1e-3)
