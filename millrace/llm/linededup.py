@@ -4,6 +4,9 @@ The index has one row a shard: a minimal perfect hash (levels of bit arrays,
 each key at the first level where it is alone), and by its slot a 32-bit
 fingerprint and the count of documents. Texts send their line hashes to the
 shards and get back those that are frequent; no line is joined or moved.
+
+A line is named by a 64-bit hash. A second hash tells whether two lines share
+a name; such lines are named anew by both hashes.
 """
 
 from __future__ import annotations
@@ -91,10 +94,29 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(SPACES)), upper, upper.lower())
 
 
+def name(key: Column) -> Column:
+    return F.xxhash64(key)
+
+
+def check(key: Column) -> Column:
+    """A second hash of a key, by another rule than its name."""
+    return F.crc32(key)
+
+
+def renamed(key: Column) -> Column:
+    """The name of a key whose first name another key has, too."""
+    return F.xxhash64(check(key), name(key), F.length(key))
+
+
 def line_hashes(text: Column, least: int) -> Column:
-    """Hashes of the different keys of at least ``least`` code points."""
+    """Names, checks and second names of the different keys of at least ``least`` code points."""
     keys = F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: F.length(k) >= least)
-    return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
+    return F.array_distinct(F.transform(keys, lambda k: F.struct(name(k).alias("h"), check(k).alias("g"), renamed(k).alias("other"))))
+
+
+def shared_names(lines: DataFrame) -> DataFrame:
+    """(h) of the names that keys with different checks have, one row each."""
+    return lines.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("h")
 
 
 def line_counts(docs: DataFrame, least: int = 1, copies: bool = True, spare_single: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -103,8 +125,12 @@ def line_counts(docs: DataFrame, least: int = 1, copies: bool = True, spare_sing
     Copies count each time or once; with ``spare_single`` they count each time
     but where all are of one text, which then counts once.
     """
-    lines = docs.filter("text is not null").select(F.xxhash64("text").alias("text_key"), F.explode(line_hashes(F.col("text"), least)).alias("h"))
-    lines = materialise(lines.groupBy("text_key", "h").agg(F.count("*").alias("copies")))
+    lines = docs.filter("text is not null").select(F.xxhash64("text").alias("text_key"), F.explode(line_hashes(F.col("text"), least)).alias("x")).select("text_key", "x.*")
+    lines = materialise(lines.groupBy("text_key", "h", "g").agg(F.count("*").alias("copies"), F.first("other").alias("other")))
+    clashing = materialise(shared_names(lines).withColumn("clash", F.lit(True)))
+    if clashing.limit(1).count():
+        lines = materialise(lines.join(clashing, "h", "left").withColumn("h", F.when(F.col("clash"), F.col("other")).otherwise(F.col("h"))).drop("clash"))
+    lines = lines.select("text_key", "h", "copies")
     each, once = F.sum("copies"), F.count("*")
     if spare_single:
         each = F.when(once == 1, F.lit(1).cast("long")).otherwise(each)
@@ -158,7 +184,7 @@ def deduplicated(docs: DataFrame, documents: int = 10, least: int = 1, copies: b
     found = docs.withColumn("text_key_", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(hits.select(F.col("text_key").alias("text_key_"), F.col("hs").alias("hits_")).hint("merge"), "text_key_", "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.when(F.col("hits_").isNull(), split).otherwise(
-        F.transform(F.array("hits_"), lambda hs: F.filter(split, lambda line: ~F.array_contains(hs, F.xxhash64(line_key(line))) | (F.length(line_key(line)) < least)))[0]
+        F.transform(F.array("hits_"), lambda hs: F.filter(split, lambda line: ~(F.array_contains(hs, name(line_key(line))) | F.array_contains(hs, renamed(line_key(line)))) | (F.length(line_key(line)) < least)))[0]
     )
     out = found.select(*docs.columns, F.size(split).cast("long").alias("n_lines"), kept.alias("kept_"))
     return out.select(*docs.columns, "n_lines", (F.col("n_lines") - F.size("kept_")).alias("n_dropped"), F.array_join("kept_", "\n").alias("clean_text"))

@@ -779,3 +779,21 @@ def test_licence_scores_by_dictionaries():
                 slot = int((own[0] + U(n) * GOLDEN) >> U(64 - L.BITS))
                 total += weight[slot]
         assert np.allclose(total, got[k], atol=1e-3)
+
+
+def test_lines_that_share_a_name(spark, monkeypatch):
+    """With names of a few bits many lines clash: they are named anew, and all results are those of whole names."""
+    from millrace.llm import linededup
+
+    rows = [(k, "\n".join(f"line {j}" for j in range(k, k + 6)) + ("\nshared by many" if k % 2 else "") + f"\nown {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda: sorted((r.doc_id, r.n_dropped, r.clean_text) for r in linededup.deduplicated(docs, documents=5).collect())
+    want = told()
+    plain = []
+    for k, text in rows:
+        own = [x for x in text.split("\n") if sum(x in y.split("\n") for _, y in rows) < 5]
+        plain.append((k, len(text.split("\n")) - len(own), "\n".join(own)))
+    assert want == plain
+    monkeypatch.setattr(linededup, "name", lambda key: F.pmod(F.xxhash64(key), F.lit(7)))
+    monkeypatch.setattr(linededup, "renamed", lambda key: F.xxhash64(key) + 100)
+    assert told() == want
