@@ -141,3 +141,84 @@ def test_ask(spark):
         subset(questions, ["q9"])
     one, other = (run_facts(spark, q, {"judge": "lexical"}).first() for q in (questions, questions.filter("question_id <> 'q1'")))
     assert (one.n_queries, other.n_queries, one.judge) == (3, 2, "lexical") and one.test_set_hash != other.test_set_hash
+
+
+def test_retrieval_of_many_questions(spark, monkeypatch):
+    """Thousands of questions with a term that all share, in several blocks, against counting by sets."""
+    import random
+
+    from millrace.operators import retrieval
+
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(300)]
+    chunks = [(f"c{k}", " ".join(["the", *rng.choices(vocabulary, k=rng.randrange(1, 30))]), rng.choice(["a", "b", None])) for k in range(150)] + [("empty", "", "a"), ("none", None, "a")]
+    asked_ = [(k, " ".join(["The", *rng.choices(vocabulary, k=rng.randrange(0, 6))]), None if k % 3 else " ".join(rng.choices(vocabulary, k=4)), rng.choice(["a", "b", "", None, "zz"])) for k in range(3000)]
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 5000)
+    monkeypatch.setattr(retrieval, "PAIRS", 20_000)
+    questions = spark.createDataFrame(asked_, "question_id long, question string, rewritten string, kind string")
+    got = retrieval.retrieve(questions, spark.createDataFrame(chunks, "chunk_id string, text string, kind string"), 3, ["kind"]).collect()
+    bags = {c: set((t or "").lower().split()) for c, t, _ in chunks}
+    kinds = {c: k for c, _, k in chunks}
+    want = set()
+    for i, q, other, kind in asked_:
+        own = set((other if other is not None else q).lower().split())
+        hits = sorted((-len(own & bags[c]), c) for c in bags if own & bags[c] and kind in (None, "", kinds[c]))[:3]
+        want |= {(i, c, r + 1, round(-n / len(own), 4)) for r, (n, c) in enumerate(hits)}
+    assert {(r.question_id, r.chunk_id, r["rank"], r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_prompted_models(spark):
+    """One model that answers prompts takes all parts of the pipeline."""
+
+    @F.pandas_udf("string")
+    def reply(prompts):
+        def one(p):
+            if p.startswith("Does this passage"):
+                return "Yes." if "rates" in p.split("Passage:")[1] else "no"
+            if p.startswith("Is every statement"):
+                return "yes indeed" if "held" in p.split("Answer:")[1] else "No"
+            return "held at five" if "borne out" in p else "unknown"
+
+        return prompts.map(one)
+
+    found = {r.question_id: r for r in C.corrective(asked(spark, "bank rates", "inflation march"), library(spark), C.prompted(reply)).collect()}
+    assert found["q0"].answer == "held at five" and found["q0"].failures == 1 and found["q0"].is_grounded and len(found["q0"].sources) == 2
+    assert found["q1"].answer == ABSTAIN and found["q1"].sources == []
+
+
+def test_near_in_cells(spark):
+    """With all cells the neighbours are exact; copies tie by id wherever they lie; odd vectors are no one's."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16)) * 4
+    m = [[float(x) for x in centres[k % 12] + rng.normal(size=16)] for k in range(1500)]
+    rows = [(k, v) for k, v in enumerate(m)] + [(2000 + k, m[7]) for k in range(40)] + [(3000, None), (3001, [0.0] * 16), (3002, [1.0]), (3003, [float("nan")] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    queries = frame.filter("vec_id % 50 = 7 or vec_id >= 3000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    exact = vectors.nearest_batch(frame, queries, 10)
+    seven = [r.vec_id for r in exact.filter("query_id = 7").orderBy("rank").collect()]
+    assert seven == [7, *range(2000, 2009)] and exact.filter("query_id >= 3000").count() == 0
+    cells = vectors.fit_cells(frame, 12)
+    stored = vectors.in_cells(frame, cells)
+    assert stored.count() == len(rows) and stored.filter("cell = -1").count() == 4
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    assert told(vectors.nearest_in_cells(stored, cells, queries, 10, 12)) == told(exact)
+    assert vectors.recall(vectors.nearest_in_cells(stored, cells, queries, 10, 3), exact) >= 0.9
+
+
+def test_tests_in_order(spark, tmp_path):
+    """Numbers and the fingerprint follow the rows' order, however many files and partitions there are."""
+    import hashlib
+    import json
+
+    from millrace.sources import records
+
+    (tmp_path / "t.csv").write_text('question,category\n" first, with\nbreak ",a\nsécond/2,\nthird "x",b\n')
+    tests = records.read_tests(spark, f"file://{tmp_path}/t.csv")
+    rows = [{"question": "first, with\nbreak", "category": "a"}, {"question": "sécond/2", "category": None}, {"question": 'third "x"', "category": "b"}]
+    want = "sha256:" + hashlib.sha256("\n".join(json.dumps(r, sort_keys=True, ensure_ascii=False) for r in rows).encode()).hexdigest()
+    assert [r.question_id for r in tests.orderBy("question_id").collect()] == ["q01", "q02", "q03"]
+    assert records.fingerprint(tests).first().test_set_hash == want == records.fingerprint(tests.repartition(5)).first().test_set_hash
+    many = records.numbered(spark.range(0, 1000, 1, 7).select((F.col("id") * 3).alias("x")), "n")
+    assert sorted((r.n, r.x) for r in many.collect()) == [(k + 1, 3 * k) for k in range(1000)]

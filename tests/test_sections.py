@@ -82,6 +82,31 @@ def test_oversized(spark):
     assert len(kept) == 1
 
 
+def test_sizes_in_tokens(spark):
+    """Oversized sections and boxes by tokens of a vocabulary: limits, leads, marks, and every word once beside the leads."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(vocabulary)
+    size = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    part = lambda k, n: " ".join(f"antidisestablished{k}x{j}" for j in range(n))
+    body = "\n\n".join([part(1, 60), part(2, 60), part(3, 400), part(4, 20)])
+    found = chunks.chunk_documents(docs(spark, f"## Outlook\n{body}", "MPR"), vocabulary).orderBy("chunk_no").collect()
+    assert len(found) > 4 and all(c.token_count == size(c.text) <= 1200 for c in found)
+    assert " ".join(c.text[c.lead :] for c in found).split() == f"## Outlook\n{body}".split()
+    for before, after in zip(found, found[1:], strict=False):
+        lead = after.text[: after.lead].removesuffix("\n\n")
+        assert before.text.endswith(lead) and 40 <= size(lead) <= 51
+    box = chunks.chunk_documents(docs(spark, f"[BOX START: Box B]\n{body}\n[BOX END]", "MPR"), vocabulary).orderBy("chunk_no").collect()
+    mark = "[BOX START: Box B] (continued)\n\n"
+    assert len(box) > 4 and all(c.text.startswith(mark) and c.lead == len(mark) for c in box[1:]) and box[0].lead == 0
+    whole = chunks.chunk_documents(docs(spark, f"[BOX START: Box B]\n{part(1, 260)}\n[BOX END]", "MPR"), vocabulary).collect()
+    assert len(whole) == 1 and 1200 < whole[0].token_count <= 2000
+    assert checks.document_checks(chunks.chunk_documents(docs(spark, f"## Outlook\n{body}", "MPR"), vocabulary), docs(spark, f"## Outlook\n{body}", "MPR"), vocabulary).filter("check = 'max_size'").first()["status"] == "pass"
+    assert chunks.chunk_documents(docs(spark, None, "MPR"), vocabulary).count() == 0
+
+
 def test_pack(spark):
     units = F.split(F.col("t"), "/")
     row = spark.createDataFrame([("a b/c/d e f g h/i/",)], "t string")
