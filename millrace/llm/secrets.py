@@ -102,7 +102,11 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: str = RULES) -> Dat
     Copies are folded within each task before any text is moved.
     """
     texts = docs.select(blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    return texts if ledger is None else texts.join(ledger.filter(F.col("rules") == rules).select("blob").hint("merge"), "blob", "left_anti")
+    if ledger is None:
+        return texts
+    # Not an anti join, which the planner would move below the folding of the copies.
+    seen = ledger.filter(F.col("rules") == rules).select("blob", F.lit(True).alias("seen"))
+    return texts.join(seen.hint("merge"), "blob", "left").filter("seen is null").drop("seen")
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame | None:
