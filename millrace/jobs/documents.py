@@ -280,3 +280,48 @@ def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = rows.select("page_id", F.col("url").alias("source_url"))
     titled = F.when(kind == 0, F.concat(F.lit("On page "), F.col("page_id").cast("string"))).otherwise(F.col("title"))
     return found.join(ids, "source_url").select("page_id", "filename", titled.alias("title"), "word_count", "status", "speaker", "error")
+
+
+def _told(html: str) -> str:
+    """Plain text of a piece of HTML, in SQL."""
+    return f"trim(replace(replace(replace(replace({html}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'))"
+
+
+_PARAGRAPHS = f"""WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, {_told("regexp_extract(html, '<article><h1>([^<]*)', 1)")} AS h1, regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>(?:<b>)?([^<]+)', 1) AS x FROM pages),
+    t AS (SELECT *, array_to_string(list_transform(x, lambda t: {_told('t')}), chr(10) || chr(10)) AS body, chr(10) || chr(10) AS gap FROM p)"""
+
+
+def _around(before: str, after: str):
+    """Pages with their articles between other markup, in which @@ stands for the page's number."""
+    number = F.col("page_id").cast("string")
+    at = lambda x: F.replace(F.lit(x), F.lit("@@"), number)
+    article = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
+    return F.concat(at(before), article, at(after))
+
+
+@register(
+    f"""{_PARAGRAPHS} SELECT page_id, sha256('## 1: Outlook ' || n || gap || body || gap || '- point ' || n || gap || '[BOX START: Box ' || n || ' - costs]' || gap || '[Summary: short ' || n || ']' || gap || 'inside ' || n || gap || '[BOX END]' || gap || 'after'
+      || gap || '[CHART: Chart ' || n || ']' || gap || '[TABLE: Table ' || n || ']' || chr(10) || 'page | value' || chr(10) || n || ' | 1' || gap || '[TABLE: Table ' || n || ' b]' || chr(10) || 'x') AS text_sha256 FROM t"""
+)
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as reports: the first output that has text, points, boxes with summaries, charts, tables with and without a block."""
+    before = '<div id="output"></div><main><div id="output"><h2>1: Outlook @@</h2><div class="footnotes-container"><p>no</p></div>'
+    after = (
+        '<ul><li><h3>point @@</h3></li></ul><div class="img-block"><h3 class="img-title">Chart @@</h3><img></div><nav class="nav-chapters"><p>no</p></nav>'
+        '<div class="img-block"><h3 class="img-title">Table @@</h3><table><tr><th>page</th><th>value</th></tr><tr><td>@@</td><td>1</td></tr></table></div>'
+        '<div class="box-highlight"><h2>Box @@ - costs</h2><p class="text-box-highlight">short @@</p><p>inside @@</p><ul><li><p>no</p></li></ul></div><p class="img-title">Table @@ b</p><table><tr><td>x</td></tr></table><p>after</p></div></main>'
+    )
+    kind = F.when(F.col("page_id") % 2 == 0, "MPR").otherwise("FSR")
+    found = site_texts(table(spark, sf_dir, "pages").select("page_id", _around(before, after).alias("html"), kind.alias("document_type")))
+    return found.select("page_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@register(
+    f"""{_PARAGRAPHS} SELECT page_id, sha256('In short ' || n || gap || CASE WHEN h1 = '' THEN '' ELSE '## ' || h1 || gap END || body || gap || '### Where next' || gap || '- kept ' || n) AS text_sha256, 'Speech ' || n AS title, 'Professor Ann Baker' AS speaker, n || ' May' AS published FROM t"""
+)
+def speech_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as speeches: title, speaker, day, the hero's text first, headings, and no captions."""
+    before = '<h1 itemprop="name">Speech @@</h1><div class="published-date">@@\n  May</div><div class="col3"><a class="med-block-cta"><h3>Professor Ann Baker</h3></a></div><div><div class="hero-paragraph"><span class="hero">In short @@</span></div><div id="output">'
+    after = "<h3>Where next</h3><p>Source: someone</p><p>Notes: none</p><ul><li>(a) caption</li><li>kept @@</li></ul></div></div>"
+    found = site_texts(table(spark, sf_dir, "pages").select("page_id", _around(before, after).alias("html"), F.lit("speech").alias("document_type")))
+    return found.select("page_id", F.sha2("text", 256).alias("text_sha256"), "title", "speaker", "published")

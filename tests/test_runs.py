@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.text import ABSTAIN
 from millrace.jobs import evaluate
 from millrace.operators import corrective as C
 from millrace.operators import evaluation as E
@@ -112,6 +113,10 @@ def test_pipelines_over_a_collection(spark, tmp_path):
     asked = spark.createDataFrame([("q01", "hold rates in spring"), ("q02", "zebra quagga")], "question_id string, question string")
     plain = {r.question_id: r for r in C.baseline(asked, None, search=store.search).collect()}
     assert plain["q01"].answer == "the committee voted to hold rates in spring" and plain["q01"].chunks_used == 4
+    from millrace.jobs.ask import ask
+
+    said = {r.question_id: (r.answer, r.error) for r in ask(asked.union(spark.createDataFrame([("q03", " ")], asked.schema)), None, "corrective", search=store.search, filters=[]).collect()}
+    assert said == {"q01": ("the committee voted to hold rates in spring", None), "q02": (ABSTAIN, None), "q03": (None, "blank")}
     found = {r.question_id: r for r in C.corrective(asked, None, search=store.search, filters=[]).collect()}
     assert found["q01"].post_rerank_ids[0] == "c" and found["q01"].is_grounded and found["q02"].trace[-1] == "abstain"
 
