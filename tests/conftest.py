@@ -15,6 +15,8 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]")
+        # Beside the plans, one session holds the broadcasts and generated classes of all tests.
+        .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         # One session runs all tests: it keeps the plans of few queries, as nobody looks at them.
