@@ -23,12 +23,13 @@ def manifest(pages: DataFrame) -> DataFrame:
 
     Without a text it is missing; a blank title is the filename, a speaker is
     a first and a last name without titles, null for none. The error of a page
-    that could not be read follows the fields of ``MANIFEST``.
+    that could not be read follows the fields of ``MANIFEST``, and then its
+    page_id, if pages have one: pages may share an address, and so a filename.
     """
     status = F.when(F.col("text").isNull(), "missing").otherwise("ok")
     title = F.coalesce(clean(F.trim("title")), F.col("filename"))
     error = (F.col("error") if "error" in pages.columns else F.lit(None).cast("string")).alias("error")
-    return pages.select("filename", "document_type", "date", title.alias("title"), "source_url", word_count(F.col("text")).cast("int").alias("word_count"), status.alias("status"), clean(normalise_speaker(F.col("speaker"))).alias("speaker"), error)
+    return pages.select("filename", "document_type", "date", title.alias("title"), "source_url", word_count(F.col("text")).cast("int").alias("word_count"), status.alias("status"), clean(normalise_speaker(F.col("speaker"))).alias("speaker"), error, *(["page_id"] if "page_id" in pages.columns else []))
 
 
 def site_manifest(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
