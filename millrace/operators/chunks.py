@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import box_label, chapter_label, normalise_speaker, subsection_label, word_count
 from millrace.operators.folds import bind, cut_at, packed_at
 from millrace.operators.sections import body, categorised, merged, sections
-from millrace.operators.splitting import Measure, Words, measure, word_slices
+from millrace.operators.splitting import Library, Measure, Tokens, Words, library, measure, split, word_slices
 
 # The limits of chunks.
 BASELINE_WORDS, MOST_WORDS, BOX_MOST_WORDS = 500, 1200, 2000
 OVERLAP, BOX_MARK, MARGIN = 50, 60, 50
 DROP_BELOW = 15
+#: What joining two texts by a blank line may add to their tokens.
+JOINT = 2
+#: Paragraphs as columns tell them, whose white space is that of ASCII.
+BLANK, ASCII_SPACE = re.compile(r"\n\s*\n", re.ASCII), " \t\n\x0b\x0c\r"
 KEEP_ANY_SIZE = ["vote", "member", "box"]
 
 
@@ -30,16 +37,65 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
 
 
+def token_pieces(text: str, box: bool, heading: str, own: Library) -> list[tuple[str, int, int]]:
+    """(text, lead, size) of the pieces of a section by tokens, as ``with_pieces`` tells them."""
+    sizes: dict[str, int] = {}
+
+    def size(texts: list[str]) -> list[int]:
+        new = [x for x in dict.fromkeys(texts) if x not in sizes]
+        sizes.update(zip(new, own.sizes(new), strict=True))
+        return [sizes[x] for x in texts]
+
+    n = size([text])[0]
+    if n <= (BOX_MOST_WORDS if box else MOST_WORDS):
+        return [(text, 0, n)] if text else []
+    most = MOST_WORDS - (BOX_MARK if box else OVERLAP)
+    blocks = [x for x in (b.strip(ASCII_SPACE) for b in BLANK.split(text)) if x]
+    packed: list[list[str]] = []
+    total = 0
+    for block, n in zip(blocks, size(blocks), strict=True):
+        if packed and total + n <= most:
+            packed[-1].append(block)
+            total += n
+        else:
+            packed.append([block])
+            total = n
+    whole = ["\n\n".join(x) for x in packed] if len(blocks) > 1 else [text]
+    cut = [y for x, n in zip(whole, size(whole), strict=True) for y in ([x] if n <= most else [z for z in split(x, max(1, most - MARGIN), own.sizes) if z.strip()])]
+    if box:
+        leads = ["" if x.startswith("[BOX START:") else f"[BOX START: {heading}] (continued)\n\n" for x in cut[1:]]
+    else:
+        room = [max(0, min(OVERLAP, MOST_WORDS - JOINT - n)) for n in size(cut)[1:]]
+        leads = [f"{x}\n\n" if x else "" for x in map(own.end, cut, room)]
+    found = [(lead + x, len(lead)) for lead, x in zip(["", *leads], cut, strict=False)]
+    return [(x, lead, n) for (x, lead), n in zip(found, size([x for x, _ in found]), strict=True)]
+
+
+def _by_tokens(text: Column, box: Column, heading: Column, vocabulary: str) -> Column:
+    @F.arrow_udf("array<struct<text:string,lead:int,size:long>>")
+    def pieces(texts: pa.Array, boxes: pa.Array, headings: pa.Array) -> pa.Array:
+        own, kind = library(vocabulary), pa.list_(pa.struct([("text", pa.string()), ("lead", pa.int32()), ("size", pa.int64())]))
+        rows = zip(texts.to_pylist(), boxes.to_pylist(), headings.to_pylist(), strict=True)
+        return pa.array([[dict(zip(("text", "lead", "size"), x, strict=True)) for x in token_pieces(t or "", bool(b), h or "", own)] for t, b, h in rows], kind)
+
+    return pieces.asNondeterministic()(text, box, heading)
+
+
 def with_pieces(found: DataFrame, by: Measure | None = None) -> DataFrame:
     """``found`` (text, category, heading) with the pieces of each section: whole within its limit, else packed paragraphs.
 
     A piece is a struct of its text and lead, the characters at its head that
-    the piece before it ends with, or that mark a box as going on. The lead is
-    the last ``OVERLAP`` of the piece before as it was, or less where the
-    piece would be too large with it.
+    the piece before it ends with, or that mark a box as going on, and of its
+    size, if that is in tokens. The lead is the last ``OVERLAP`` of the piece
+    before as it was, or less where the piece would be too large with it.
+
+    Tokens are measured at every step, so one function does all of them for a
+    section, which keeps its text in one place and what it has measured in mind.
     """
     by = by or Words()
     box = F.col("category") == "box_analysis"
+    if isinstance(by, Tokens):
+        return found.withColumn("pieces", _by_tokens(F.col("text"), box, F.col("heading"), by.vocabulary))
     no_texts = F.array().cast("array<string>")
     sized = found.withColumn("fits_", by.count(F.col("text")) <= F.when(box, BOX_MOST_WORDS).otherwise(MOST_WORDS))
     sized = sized.withColumn("most_", F.when(box, MOST_WORDS - BOX_MARK).otherwise(MOST_WORDS - OVERLAP))
@@ -50,10 +106,9 @@ def with_pieces(found: DataFrame, by: Measure | None = None) -> DataFrame:
     cut = cut.withColumn("whole_", F.when(F.size("blocks_") > 1, packed).when(~F.col("fits_"), F.array("text")).otherwise(no_texts))
     cut = cut.withColumn("sizes_", by.counts(F.col("whole_")))
     cut = cut.withColumn("cut_", by.capped(F.col("whole_"), F.col("sizes_"), F.col("most_"), MARGIN))
-    # What a measure gives stays out of the lambdas: it may come from Python, which can't run there.
     cut = cut.withColumn("sizes_", by.counts(F.when(box, no_texts).otherwise(F.col("cut_"))))
     following = F.concat(F.slice("sizes_", F.lit(2), F.greatest(F.size("sizes_") - 1, F.lit(0))), F.array(F.lit(MOST_WORDS).cast("long")))
-    room = F.transform(F.when(F.size("sizes_") > 0, following).otherwise(F.array().cast("array<long>")), lambda n: F.greatest(F.least(F.lit(OVERLAP).cast("long"), MOST_WORDS - by.JOINT - n), F.lit(0).cast("long")))
+    room = F.transform(F.when(F.size("sizes_") > 0, following).otherwise(F.array().cast("array<long>")), lambda n: F.greatest(F.least(F.lit(OVERLAP).cast("long"), MOST_WORDS - n), F.lit(0).cast("long")))
     cut = cut.withColumn("room_", room).withColumn("tails_", by.tails(F.when(box, no_texts).otherwise(F.col("cut_")), F.col("room_")))
     mark = F.concat(F.lit("[BOX START: "), F.col("heading"), F.lit("] (continued)\n\n"))
     tail = lambda x: F.when(F.coalesce(x["tail"], F.lit("")) == "", "").otherwise(F.concat(x["tail"], F.lit("\n\n")))
@@ -95,8 +150,9 @@ def chunk_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
     known = sections(docs.select("doc_id", "text")).join(docs.select("doc_id", F.col("document_type")), "doc_id")
     joined = merged(categorised(known, F.col("document_type"), by.count)).withColumn("text", body(F.col("lines")))
     found = with_pieces(joined, by).drop("text")
-    found = found.select("*", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece", "own_")).drop("pieces").select("*", "own_.text", "own_.lead")
-    found = found.withColumn("token_count", by.count(F.col("text"))).filter(F.col("section_type").isin(KEEP_ANY_SIZE) | (F.col("token_count") >= DROP_BELOW))
+    sized = F.col("own_.size") if isinstance(by, Tokens) else by.count(F.col("own_.text"))
+    found = found.select("*", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece", "own_")).drop("pieces").select("*", "own_.text", "own_.lead", sized.alias("token_count"))
+    found = found.filter(F.col("section_type").isin(KEEP_ANY_SIZE) | (F.col("token_count") >= DROP_BELOW))
     found = found.join(facts, "doc_id").withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "piece")))
     speech = F.col("document_type") == "speech"
     place = F.when(speech, F.col("chunk_no").cast("string")).otherwise(paragraph_range(F.col("document_type"), F.col("piece"), F.col("n_pieces")))

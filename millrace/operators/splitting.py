@@ -1,11 +1,13 @@
 """Sizes of texts in words or in tokens of a public vocabulary, and texts cut at the largest breaks that fit.
 
-A ``Measure`` works on whole arrays of texts, a batch of rows at a time, so
-that folds over the sizes need no function inside a lambda.
+Words are counted by columns; tokens by Python, which knows the sizes of
+pieces that it has met.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import LongType
 
 from millrace.functions.text import word_count, words
 
@@ -24,17 +26,84 @@ BREAKS = ("\n\n", "\n", " ", "")
 MOST = 500
 
 
-@lru_cache(maxsize=2)
-def _library(vocabulary: str):
-    from tokenizers import Tokenizer
+#: White space as vocabularies by bytes have it, and the pieces that none of their tokens crosses.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: Pieces whose sizes a worker remembers, of at most so many characters.
+KNOWN, KNOWN_CHARS = 400_000, 64
+
+
+class _Pieces(dict):
+    """Sizes of pieces, each of which the library encodes once."""
+
+    def __init__(self, library):
+        self.library = library
 
-    return Tokenizer.from_file(vocabulary)
+    def __missing__(self, piece: str) -> int:
+        n = len(self.library.encode(piece, add_special_tokens=False).ids)
+        if len(piece) <= KNOWN_CHARS:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[piece] = n
+        return n
+
+
+class Library:
+    """Sizes in tokens of a vocabulary file, and ends of texts.
+
+    Where the vocabulary is one of bytes that splits texts by the usual
+    pattern, no token goes from a character to white space after it; so texts
+    are cut there, and repeated pieces are encoded once. Texts that hold the
+    library's special strings, and all texts for other vocabularies, go to it whole.
+    """
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(vocabulary)
+        told = json.loads(self.library.to_str())
+        pattern, model = told["pre_tokenizer"] or {}, told["model"]
+        by_bytes = pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern.get("add_prefix_space")
+        self.cut = by_bytes and told["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout")
+        self.special = [x["content"] for x in told["added_tokens"]]
+        self.known = _Pieces(self.library)
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, or none if it can't be cut."""
+        return PIECES.findall(text) if self.cut and not any(x in text for x in self.special) else None
+
+    def sizes(self, texts: list[str]) -> list[int]:
+        known, cut = self.known.__getitem__, [self.pieces(x) for x in texts]
+        whole = [x for x, own in zip(texts, cut, strict=True) if own is None]
+        rest = iter([len(x.ids) for k in range(0, len(whole), AT_ONCE) for x in self.library.encode_batch(whole[k : k + AT_ONCE], add_special_tokens=False)])
+        return [next(rest) if own is None else sum(map(known, own)) for own in cut]
+
+    def end(self, text: str, n: int) -> str:
+        """The last ``n`` tokens of a text."""
+        if n <= 0:
+            return ""
+        start, own = 0, self.pieces(text)
+        if own:
+            # One piece more than has them, so that none of them begins what is encoded.
+            k, found = len(own), 0
+            while k and found <= n:
+                k -= 1
+                found += self.known[own[k]]
+            start = sum(map(len, own[: max(0, k - 1)]))
+        places = self.library.encode(text[start:], add_special_tokens=False).offsets
+        return text if len(places) <= n else text[start + places[-n][0] :]
+
+
+@lru_cache(maxsize=2)
+def library(vocabulary: str) -> Library:
+    """One for each Python worker."""
+    return Library(vocabulary)
 
 
 def _size(vocabulary: str | None) -> Callable[[list[str]], list[int]]:
     if vocabulary is None:
         return lambda texts: [len(x.split()) for x in texts]
-    return lambda texts: [len(x.ids) for k in range(0, len(texts), AT_ONCE) for x in _library(vocabulary).encode_batch(texts[k : k + AT_ONCE], add_special_tokens=False)]
+    return lambda texts: library(vocabulary).sizes(texts)
 
 
 def token_count(text: Column, vocabulary: str, in_place: bool = False) -> Column:
@@ -70,9 +139,6 @@ def split(text: str, most: int, size: Callable[[list[str]], list[int]], breaks:
 class Words:
     """Sizes in words between Unicode white space."""
 
-    #: What joining two texts by a blank line may add to their sizes.
-    JOINT = 0
-
     def count(self, text: Column) -> Column:
         return word_count(text)
 
@@ -93,69 +159,20 @@ class Words:
 class Tokens:
     """Sizes in tokens of a vocabulary file; a null text has none.
 
-    The functions count as not deterministic, so that the planner leaves each
+    The function counts as not deterministic, so that the planner leaves it
     where it stands: it runs once, and is not moved into a lambda or a generator.
     """
 
-    JOINT = 2
-
     def __init__(self, vocabulary: str):
         self.vocabulary = vocabulary
 
     def count(self, text: Column) -> Column:
         return token_count(text, self.vocabulary, in_place=True)
 
-    def counts(self, texts: Column) -> Column:
-        vocabulary = self.vocabulary
-
-        @F.arrow_udf(ArrayType(LongType()))
-        def sizes(lists: pa.Array) -> pa.Array:
-            flat = [x or "" for x in lists.flatten().to_pylist()]
-            return _like(lists, pa.array(_size(vocabulary)(flat), pa.int64()))
-
-        return sizes.asNondeterministic()(texts)
-
-    def capped(self, pieces: Column, sizes: Column, most: Column, margin: int) -> Column:
-        """Pieces of these sizes, those larger than ``most`` cut to ``margin`` less, at the largest breaks that do."""
-        vocabulary = self.vocabulary
-
-        @F.arrow_udf(ArrayType(StringType()))
-        def cut(lists: pa.Array, known: pa.Array, limits: pa.Array) -> pa.Array:
-            size = _size(vocabulary)
-            pieces = lambda x, n, limit: [x] if n <= limit else [y for y in split(x, max(1, limit - margin), size) if y.strip()]
-            rows = zip(lists.to_pylist(), known.to_pylist(), limits.to_pylist(), strict=True)
-            return pa.array([None if own is None else [y for x, n in zip(own, ns, strict=True) for y in pieces(x, n, limit)] for own, ns, limit in rows], pa.list_(pa.string()))
-
-        return cut.asNondeterministic()(pieces, sizes, most.cast("long"))
-
-    def tails(self, pieces: Column, sizes: Column) -> Column:
-        """The end of each piece, of so many tokens."""
-        vocabulary = self.vocabulary
-
-        @F.arrow_udf(ArrayType(StringType()))
-        def ends(lists: pa.Array, wanted: pa.Array) -> pa.Array:
-            def end(text: str, n: int) -> str:
-                if n <= 0:
-                    return ""
-                places = _library(vocabulary).encode(text, add_special_tokens=False).offsets
-                return text if len(places) <= n else text[places[-n][0] :]
-
-            rows = zip(lists.to_pylist(), wanted.to_pylist(), strict=True)
-            return pa.array([None if x is None else [end(t, n) for t, n in zip(x, k, strict=True)] for x, k in rows], pa.list_(pa.string()))
-
-        return ends.asNondeterministic()(pieces, sizes)
-
 
 Measure = Words | Tokens
 
 
-def _like(lists: pa.Array, flat: pa.Array) -> pa.Array:
-    """An array of lists with other values."""
-    lengths = [0 if n is None else n for n in lists.value_lengths().to_pylist()]
-    offsets = pa.array([0, *pd.Series(lengths, dtype="int64").cumsum().tolist()], pa.int32())
-    return pa.ListArray.from_arrays(offsets, flat, mask=lists.is_null() if lists.null_count else None)
-
-
 def measure(vocabulary: str | None) -> Measure:
     return Words() if vocabulary is None else Tokens(vocabulary)
 
