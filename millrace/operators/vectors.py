@@ -154,12 +154,13 @@ def nearest(collection: DataFrame, query: list[float], k: int, filters: dict | N
 
 @dataclass
 class _Queries:
-    """Query vectors of one length, in units, with what each asks of each filter (null: any), and the cells that each looks in."""
+    """Query vectors of one length, with what each asks of each filter (null: any), and the cells that each looks in, a bit a cell."""
 
     ids: pa.Array
     vectors: np.ndarray
     wanted: list[pa.Array]
     cells: np.ndarray | None = None
+    n_cells: int = 0
 
 
 def _plain(listed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +185,18 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot_(a, b) / np.sqrt(dot_(a, a) * dot_(b, b))
 
 
+def _exact(m: np.ndarray, row: np.ndarray, vectors: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """``_cosines`` of pairs of rows and queries, so many at once that their vectors stay small: ties may be as many as pairs."""
+    step = max(1, PAIRS // max(1, m.shape[1]))
+    return np.concatenate([np.empty(0), *(_cosines(m[row[k : k + step]], vectors[who[k : k + step]]) for k in range(0, len(row), step))])
+
+
 def _near(batch: pa.RecordBatch, q: _Queries, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places of queries, places of rows, cosines) of the k nearest rows of a batch, and of all that tie with the last."""
     at, m = _plain(batch.column(1))
     if not len(at) or m.shape[1] != q.vectors.shape[1]:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-    units, asked = _units(m), _units(q.vectors)
+    units = _units(m)
     filters = []
     for i, wanted in enumerate(q.wanted):
         own = batch.column(2 + i).take(pa.array(at))
@@ -197,20 +204,24 @@ def _near(batch: pa.RecordBatch, q: _Queries, k: int) -> tuple[np.ndarray, np.nd
         code = lambda x, none: pc.fill_null(pc.index_in(x, value_set=kinds), none).to_numpy(zero_copy_only=False)  # noqa: B023, E731
         filters.append((pc.is_valid(wanted).to_numpy(zero_copy_only=False), code(wanted, -2), code(own, -3)))
     cell = batch.column(2 + len(q.wanted)).take(pa.array(at)).to_numpy(zero_copy_only=False) if q.cells is not None else None
-    step, out = max(1, PAIRS // max(1, len(at))), []
-    for start in range(0, len(asked), step):
+    step, out = max(1, PAIRS // max(len(at), q.n_cells)), []
+    for start in range(0, len(q.vectors), step):
         block = slice(start, start + step)
-        score = asked[block] @ units.T
+        score = _units(q.vectors[block]) @ units.T
         for asks, value, own in filters:
             score[asks[block, None] & (value[block, None] != own[None, :])] = -np.inf
         if cell is not None:
-            score[~(q.cells[block][:, :, None] == cell[None, None, :]).any(1)] = -np.inf
+            # One more column, of no one, for rows in no cell.
+            looked = np.pad(np.unpackbits(q.cells[block], axis=1, count=q.n_cells).astype(bool), ((0, 0), (0, 1)))
+            score[~looked[:, cell]] = -np.inf
         if score.shape[1] > k:
             least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None] - SLACK
             who, row = np.nonzero((score >= least) & (score > -np.inf))
         else:
             who, row = np.nonzero(score > -np.inf)
-        out.append((who + start, at[row], _cosines(m[row], q.vectors[who + start])))
+        out.append((who + start, at[row], _exact(m, row, q.vectors, who + start)))
+    if not out:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -227,7 +238,19 @@ def _neighbours(sent, k: int):
 def _asked(own: pa.Table, columns: list[str], cells: np.ndarray | None = None, probes: int = 0) -> _Queries:
     at, m = _plain(own["query_vector"].combine_chunks())
     take = lambda c: own[c].combine_chunks().take(pa.array(at))
-    return _Queries(take("query_id"), m, [take(c) for c in columns], None if cells is None else _closest(_units(m), cells, probes))
+    return _Queries(take("query_id"), m, [take(c) for c in columns], *((None, 0) if cells is None else (_looked_in(m, cells, probes), len(cells))))
+
+
+def _looked_in(m: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
+    """The cells nearest to each vector as bits, a stretch of vectors at a time."""
+    step = max(1, PAIRS // max(1, len(cells)))
+    out = np.zeros((len(m), -(-len(cells) // 8)), np.uint8)
+    for k in range(0, len(m), step):
+        own = np.zeros((len(m[k : k + step]), len(cells)), bool)
+        if own.size:
+            np.put_along_axis(own, _closest(_units(m[k : k + step]), cells, probes), True, axis=1)
+        out[k : k + step] = np.packbits(own, axis=1)
+    return out
 
 
 def _closest(units: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
@@ -235,6 +258,12 @@ def _closest(units: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(-(units @ cells.T), axis=1, kind="stable")[:, :n]
 
 
+def _cell(units: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The cell nearest to each vector, a stretch of vectors at a time."""
+    step = max(1, PAIRS // max(1, len(cells)))
+    return np.concatenate([np.empty(0, np.int64), *((units[k : k + step] @ cells.T).argmax(1) for k in range(0, len(units), step))])
+
+
 def _searched(collection: DataFrame, queries: DataFrame, k: int, columns: list[str], cells: np.ndarray | None, probes: int) -> DataFrame:
     spark = collection.sparkSession
     with Steps(spark) as steps:
@@ -248,7 +277,8 @@ def _searched(collection: DataFrame, queries: DataFrame, k: int, columns: list[s
         for block in range(blocks):
             own = _asked(kept.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow(), columns, cells, probes)
             if cells is not None:  # only the cells that are asked for are read
-                rows = rows.filter(F.col("cell").isin(np.unique(own.cells).tolist())) if blocks == 1 else rows
+                asked = np.bitwise_or.reduce(own.cells, axis=0) if len(own.cells) else np.zeros(own.cells.shape[1], np.uint8)
+                rows = rows.filter(F.col("cell").isin(np.flatnonzero(np.unpackbits(asked, count=len(cells))).tolist())) if blocks == 1 else rows
             sent = spark.sparkContext.broadcast(own)
             found = rows.mapInArrow(_neighbours(sent, k), f"query_id {kinds['q']}, vec_id {kinds['v']}, raw double")
             part = steps.keep(found.withColumn("rank", rank).filter(F.col("rank") <= k))
@@ -282,7 +312,7 @@ def fit_cells(collection: DataFrame, n: int | None = None, sample: int = CELL_SA
     units = _units(m)
     cells = units[np.unique(np.linspace(0, len(units) - 1, min(n, len(units))).astype(int))]
     for _ in range(CELL_ROUNDS):
-        own = _closest(units, cells, 1)[:, 0]
+        own = _cell(units, cells)
         total = np.zeros_like(cells)
         np.add.at(total, own, units)
         cells = np.where((total != 0).any(1, keepdims=True), total, cells)
@@ -300,7 +330,7 @@ def in_cells(collection: DataFrame, cells: np.ndarray) -> DataFrame:
             out = np.full(len(batch), -1, np.int32)
             at, m = _plain(batch.column(batch.schema.get_field_index("embedding")))
             if len(at) and len(cells) and m.shape[1] == cells.shape[1]:
-                out[at] = _closest(_units(m), cells, 1)[:, 0]
+                out[at] = _cell(_units(m), cells)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "cell"])
 
     return collection.select(*names).mapInArrow(run, kind)

@@ -222,3 +222,30 @@ def test_tests_in_order(spark, tmp_path):
     assert records.fingerprint(tests).first().test_set_hash == want == records.fingerprint(tests.repartition(5)).first().test_set_hash
     many = records.numbered(spark.range(0, 1000, 1, 7).select((F.col("id") * 3).alias("x")), "n")
     assert sorted((r.n, r.x) for r in many.collect()) == [(k + 1, 3 * k) for k in range(1000)]
+
+
+def test_cells_of_many_queries_in_little_memory():
+    """Queries that look in most of many cells: what is allocated follows pairs of rows and queries, not their cells, and equal vectors cost no more."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    m, cells = rng.normal(size=(2000, 8)), vectors._units(rng.normal(size=(1024, 8)))
+    m[500:] = m[500]
+    listed = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    own = vectors._closest(vectors._units(m), cells, 1)[:, 0].astype(np.int32)
+    own[7] = -1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), listed(m), pa.array(own)], names=["vec_id", "embedding", "cell"])
+    tracemalloc.start()
+    q = vectors._asked(pa.table({"query_id": pa.array(range(600)), "query_vector": listed(m[:600])}), [], cells, 768)
+    who, row, raw = vectors._near(batch, q, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    units = vectors._units(m)
+    for k in (0, 7, 499, 599):
+        score = np.where(np.isin(own, vectors._closest(units[k : k + 1], cells, 768)[0]), units @ units[k], -np.inf)
+        assert set(np.flatnonzero(score >= np.sort(score)[-3] - 1e-9)) == set(row[who == k])
+        assert np.allclose(raw[who == k], score[row[who == k]])
