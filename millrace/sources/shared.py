@@ -9,6 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of a batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python, so that what a worker holds doesn't follow a partition's rows or their lengths.
+
+    The session keeps the bounds, as plans are run after they are made.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def session_dir(spark: SparkSession) -> str:
     """This session's own folder below the one that the cluster names in ``spark.checkpoint.dir``.
 

@@ -59,3 +59,32 @@ def test_manifest_of_pages(spark):
     found, texts = site_manifest(rows)
     assert sorted((r.filename, r.title, r.word_count, r.status, r.speaker, r.error) for r in found.collect()) == [("a_b_c.txt", "a_b_c.txt", 4, "ok", "John Hill", None), ("a_b_d.txt", "a_b_d.txt", 0, "missing", None, "no content")]
     assert [tuple(r) for r in texts.collect()] == [("a_b_c.txt", "four words of text")]
+
+
+def test_batches_of_pages_are_bounded(spark):
+    """Whatever a session had set, pages and tables go to Python in batches of at most a thousand rows and four megabytes."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from millrace.jobs.registry import table
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [len(b)], "bytes": [b.nbytes]})
+
+    def largest():
+        rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 8000).alias("html"))
+        return tuple(rows.mapInArrow(seen, "rows long, bytes long").agg(F.max("rows"), F.max("bytes")).first())
+
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for use in (lambda: site_texts(spark.createDataFrame([(1, "", "MPR")], "page_id long, html string, document_type string")), lambda: table(spark, "/root/testdata/sf0.001", "pages")):
+            for k, v in keys.items():
+                spark.conf.set(k, v)
+            use()
+            rows, size = largest()
+            assert rows <= 1000 and size < 5e6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
