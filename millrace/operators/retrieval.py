@@ -63,6 +63,23 @@ def _block(asked: pa.Table, filters: list[str]) -> _Block:
     return _Block(asked["question_id"].combine_chunks(), vocabulary, first, owner[order].astype(np.int64), values, wanted)
 
 
+def _hits(owner: np.ndarray, term: np.ndarray, block: _Block, n: int) -> np.ndarray:
+    """How many of these terms of ``n`` chunks each question has, from so many listed questions at a time: a common term is in most of them."""
+    hits, n_q = np.zeros(n * len(block.ids), np.int64), len(block.ids)
+    total = np.cumsum(block.first[term + 1] - block.first[term])
+    a = 0
+    while a < len(term):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
+        own, at = owner[a:b], term[a:b]
+        sizes = block.first[at + 1] - block.first[at]
+        where = np.repeat(block.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        # The terms of a chunk lie together, so what is counted is a stretch of chunks.
+        low, high = int(own[0]), int(own[-1]) + 1
+        hits[low * n_q : high * n_q] += np.bincount((np.repeat(own, sizes) - low) * n_q + block.who[where], minlength=(high - low) * n_q)
+        a = b
+    return hits.reshape(n, n_q)
+
+
 def _best(batch: pa.RecordBatch, block: _Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places of questions, places of chunks, hits) of the k best chunks of a batch for each question, ties by chunk_id."""
     n, n_q = len(batch), len(block.ids)
@@ -78,10 +95,7 @@ def _best(batch: pa.RecordBatch, block: _Block, k: int) -> tuple[np.ndarray, np.
     for start in range(0, n, step):
         end = min(n, start + step)
         a, b = np.searchsorted(owner, [start, end])
-        own, at = owner[a:b] - start, term[a:b]
-        sizes = block.first[at + 1] - block.first[at]
-        where = np.repeat(block.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        hits = np.bincount(np.repeat(own, sizes) * n_q + block.who[where], minlength=(end - start) * n_q).reshape(end - start, n_q)
+        hits = _hits(owner[a:b] - start, term[a:b], block, end - start)
         for i, code in enumerate(codes):
             hits[(block.wanted[i] != -1) & (block.wanted[i] != code[start:end, None])] = 0
         # The more hits the larger the key, and the smaller the place among the ids.
@@ -93,13 +107,27 @@ def _best(batch: pa.RecordBatch, block: _Block, k: int) -> tuple[np.ndarray, np.
     return who, order[(1 << 32) - 1 - (key & ((1 << 32) - 1))], key >> 32
 
 
+def _kept(found: list[pa.Table], k: int) -> pa.Table:
+    """The k best chunks of each question among those of some batches, ties by chunk_id."""
+    rows = pa.concat_tables(found).sort_by([("who", "ascending"), ("hits", "descending"), ("chunk_id", "ascending")])
+    who = rows["who"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(who)) - np.searchsorted(who, who) < k))
+
+
 def _counted(sent, k: int, kinds: tuple[pa.DataType, pa.DataType] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
+        found, least = [], 4 * k * max(1, len(block.ids))
         for batch in batches:
             if len(batch) and len(block.ids):
                 who, chunk, hits = _best(batch, block, k)
-                yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(who)), batch.column(0).take(pa.array(chunk)), pa.array(hits)], names=["question_id", "chunk_id", "hits"])
+                found.append(pa.table({"who": who, "chunk_id": batch.column(0).take(pa.array(chunk)), "hits": hits}))
+                if sum(map(len, found)) > least:
+                    found = [_kept(found, k)]
+        if found:
+            best = _kept(found, k)
+            for out in pa.table({"question_id": block.ids.take(best["who"].combine_chunks()), "chunk_id": best["chunk_id"], "hits": best["hits"]}).combine_chunks().to_batches():
+                yield out
 
     return run
 

@@ -249,3 +249,25 @@ def test_cells_of_many_queries_in_little_memory():
         score = np.where(np.isin(own, vectors._closest(units[k : k + 1], cells, 768)[0]), units @ units[k], -np.inf)
         assert set(np.flatnonzero(score >= np.sort(score)[-3] - 1e-9)) == set(row[who == k])
         assert np.allclose(raw[who == k], score[row[who == k]])
+
+
+def test_common_terms_in_little_memory():
+    """Chunks of terms that all questions have: listed questions are counted so many at a time, and a task gives the k best of all its batches."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from millrace.operators import retrieval
+
+    common = [f"t{k}" for k in range(100)]
+    asked = pa.table({"question_id": pa.array(range(2000)), "terms": pa.array([common[: 100 - k % 3] for k in range(2000)])})
+    block = retrieval._block(asked, [])
+    batches = [pa.RecordBatch.from_pydict({"chunk_id": [f"c{b}{k:03d}" for k in range(100)], "terms": [common[k % 7 :] for k in range(100)]}) for b in range(3)]
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(retrieval._counted(SimpleNamespace(value=block), 2)(iter(batches)))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    want = sorted((q, c, 100 - q % 3) for q in range(2000) for c in ("c0000", "c0007"))
+    assert sorted(zip(found["question_id"], found["chunk_id"], found["hits"], strict=True)) == want
