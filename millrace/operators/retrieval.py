@@ -1,6 +1,7 @@
 """Retrieval by shared words: the chunks with the most terms of a question, exactly, for any number of questions.
 
-Questions go to the chunks, in blocks of a bounded number of terms. A task
+Questions go to the chunks, in blocks of a bounded number of questions and of
+their terms. A task
 looks its chunks' terms up in the block's vocabulary and counts, for a stretch
 of chunks at a time, how many terms each question shares with each chunk, from
 the block's lists of questions by term. Only the k best of a task for each
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import clean
 from millrace.sources.shared import Steps
 
-#: Terms of the questions that go to all tasks at once, and pairs of a chunk and a question that are counted at once.
-BLOCK_TERMS, PAIRS = 1_000_000, 1 << 21
+#: Terms, and questions, that go to all tasks at once, and pairs of a chunk and a question that are counted at once.
+BLOCK_TERMS, BLOCK_QUESTIONS, PAIRS = 1_000_000, 50_000, 1 << 21
 
 
 def terms(text: Column) -> Column:
@@ -139,15 +140,16 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int, filters: list[str]
     the question's place where it isn't null. Filters with a value must equal
     the chunk's. A score is the share of the question's terms. Chunks without
     any of its terms are not found. The chunks are scanned once for each
-    ``BLOCK_TERMS`` terms of questions.
+    ``BLOCK_TERMS`` terms of questions, or ``BLOCK_QUESTIONS`` of short ones,
+    as a task holds the best of all questions of a block.
     """
     if steps is None:
         with Steps(questions.sparkSession) as own:
             return own.finish(retrieve(questions, chunks, k, filters, own))
     filters, spark = filters or [], questions.sparkSession
     asked = steps.keep(questions.select("question_id", terms(F.coalesce("rewritten", "question")).alias("terms"), *(clean(F.col(c).cast("string")).alias(c) for c in filters)))
-    total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_TERMS))
+    total, n = asked.agg(F.sum(F.size("terms")), F.count("*")).first()
+    blocks = max(1, -(-(total or 0) // BLOCK_TERMS), -(-n // BLOCK_QUESTIONS))
     kinds = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in [questions.schema["question_id"], chunks.schema["chunk_id"]])}
     listed = chunks.select("chunk_id", terms(F.col("text")).alias("terms"), *(F.col(c).cast("string").alias(c) for c in filters))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("hits"), "chunk_id"))

@@ -271,3 +271,17 @@ def test_common_terms_in_little_memory():
     assert peak < 300e6
     want = sorted((q, c, 100 - q % 3) for q in range(2000) for c in ("c0000", "c0007"))
     assert sorted(zip(found["question_id"], found["chunk_id"], found["hits"], strict=True)) == want
+
+
+def test_short_questions_in_blocks(spark, monkeypatch):
+    """Questions of one word each come to more blocks than their terms ask for, and none is lost."""
+    from millrace.operators import retrieval
+
+    sizes, make = [], retrieval._block
+    monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 500, raising=False)
+    monkeypatch.setattr(retrieval, "_block", lambda own, filters: sizes.append(len(own)) or make(own, filters))
+    questions = spark.range(2000).selectExpr("id as question_id", "concat('w', id % 40) as question", "cast(null as string) as rewritten")
+    chunks = spark.createDataFrame([(f"c{k:02d}", f"w{k} w{k + 1}") for k in range(39)], "chunk_id string, text string")
+    got = {(r.question_id, r.chunk_id, r["rank"]) for r in retrieval.retrieve(questions, chunks, 1).collect()}
+    assert got == {(i, f"c{max(0, i % 40 - 1):02d}", 1) for i in range(2000)}
+    assert sum(sizes) == 2000 and max(sizes) < 700
